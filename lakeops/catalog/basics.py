@@ -176,14 +176,14 @@ def epoch_and_parse(t: Tables):
 
 
 @query("""SELECT l_orderkey, l_linenumber, CAST(ceil(l_quantity / 7) AS BIGINT) AS packs,
-  round(l_extendedprice / nullif(l_quantity, 0), 6) AS unit, abs(CAST(l_quantity AS INTEGER) - 25) AS off,
+  round(l_extendedprice / nullif(l_quantity, 0), 8) AS unit, abs(CAST(l_quantity AS INTEGER) - 25) AS off,
   greatest(l_quantity, 10.0) AS at_least, CAST(l_quantity AS INTEGER) AS qty,
   CAST(try_cast(l_returnflag AS INTEGER) AS INTEGER) AS bad_cast,
   round(l_discount / nullif(l_tax, 0), 4) AS guarded FROM lineitem""")
 def number_functions(t: Tables):
     q = F.col("l_quantity")
     return t.lineitem.select("l_orderkey", "l_linenumber", F.ceil(q / 7).alias("packs"),
-                             F.round(F.try_divide("l_extendedprice", q), 6).alias("unit"),
+                             F.round(F.try_divide("l_extendedprice", q), 8).alias("unit"),
                              F.abs(q.cast("int") - 25).alias("off"), F.greatest(q, F.lit(10.0)).alias("at_least"),
                              q.cast("int").alias("qty"), F.col("l_returnflag").try_cast("int").alias("bad_cast"),
                              F.round(F.try_divide("l_discount", "l_tax"), 4).alias("guarded"))

@@ -136,7 +136,7 @@ def cdc_yearly_slices(t: Tables):
     return state.select(*KEYS, "l_quantity", "l_shipdate", "is_deleted")
 
 
-@query("""SELECT event_id, to_json({'user_id': user_id, 'value': value}) AS image,
+@query("""SELECT event_id, CAST(to_json({'user_id': user_id, 'value': value}) AS VARCHAR) AS image,
   CASE WHEN event_type = 'error' THEN 'd' ELSE 'u' END AS cdc_operation, CAST(user_id AS BIGINT) AS user_id,
   CAST(value AS DECIMAL(18,2)) AS amount, make_timestamp((epoch_us(ts) // 1000) * 1000) AS source_ts FROM events""")
 def cdc_envelope(t: Tables):

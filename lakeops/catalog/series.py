@@ -154,7 +154,7 @@ def coarse_grain_join(t: Tables):
 
 # ---------------------------------------------------------------- grids and gaps
 
-SLOTS = """sl AS (SELECT DISTINCT user_id, c_nationkey AS block, CAST(epoch(ts) AS BIGINT) // 21600 * 21600 AS slot FROM events JOIN customer ON user_id = c_custkey),
+SLOTS = """sl AS (SELECT DISTINCT user_id, c_nationkey AS block, epoch_us(ts) // 21600000000 * 21600 AS slot FROM events JOIN customer ON user_id = c_custkey),
   b AS (SELECT user_id, block, min(slot) AS a, max(slot) AS z FROM sl GROUP BY ALL),
   g AS (SELECT user_id, block, unnest(range(a, z + 1, 21600)) AS slot FROM b),
   q AS (SELECT g.* FROM g ANTI JOIN sl ON g.user_id = sl.user_id AND g.block = sl.block AND g.slot = sl.slot)"""
@@ -191,7 +191,7 @@ def outage_events(t: Tables):
 
 @query(f"""WITH {OUTAGES} SELECT block, classification, count(*) AS events, CAST(sum(duration_min) AS BIGINT) AS total_minutes,
   max(concurrent_meters) AS largest_cluster FROM ev
-  WHERE last_slot >= (SELECT CAST(epoch(max(ts)) AS BIGINT) - 7 * 86400 FROM events) GROUP BY ALL""")
+  WHERE last_slot >= (SELECT epoch_us(max(ts)) // 1000000 - 7 * 86400 FROM events) GROUP BY ALL""")
 def outage_mart(t: Tables):
     since = t.events.agg(F.unix_seconds(F.max("ts")) - 7 * 86400).scalar()
     return fleet.outage_mart(_outages(t), "block", since)
@@ -268,7 +268,7 @@ def spike_precision_recall(t: Tables):
     return precision_recall(found, t.events.where("value > 150"), ["event_id"])
 
 
-@query("""SELECT event_id, to_timestamp(CAST(epoch(ts) AS BIGINT) // 1800 * 1800)::TIMESTAMP AS slot,
+@query("""SELECT event_id, make_timestamp(epoch_us(ts) // 1800000000 * 1800000000) AS slot,
   CAST(CAST(floor(epoch(ts)) AS BIGINT) % 1800 AS BIGINT) AS drift_s FROM events""")
 def grid_snap(t: Tables):
     return t.events.select("event_id", snap("ts", 1800).alias("slot"),

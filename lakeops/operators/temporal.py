@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeops.operators import sliced
 from lakeops.operators.quantiles import exact_percentiles
+from lakeops.session import materialised
 
 
 def _micros_between(later: Column, earlier: Column) -> Column:
@@ -166,6 +167,7 @@ def overlap_count(df: DataFrame, group: str, member: str, start: str, end: str,
     axis turn that into running counts too, with ``levels + 1`` rows per gap.
     """
     ids = [group, member, start, end]
+    df = materialised(df, "intervals")
     ivs = df.select(*ids)
     starts = ivs.select(group, F.col(start).alias("x"))
     ends = ivs.select(group, F.col(end).alias("x"))

@@ -59,6 +59,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def materialised(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    For results that several branches of a plan use: they are computed once, and a lost executor
+    does not bring the work back.
+    """
+    path = scratch(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Hint a broadcast only after a bounded count proved the side small.
 

@@ -1,7 +1,7 @@
 """All registered queries and their check SQL."""
 
 from lakeops.catalog import registry
-from lakeops.catalog import basics, ledgers, series, telecom, trust  # noqa: F401
+from lakeops.catalog import basics, ledgers, series, storage, telecom, trust  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:

@@ -12,7 +12,7 @@ import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lakeops.sources import files
@@ -28,6 +28,7 @@ class VersionError(ValueError):
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._known: list | None = None
 
     # ------------------------------------------------------------ log
 
@@ -38,15 +39,26 @@ class VersionedTable:
             return self.spark.createDataFrame([], LOG_SCHEMA)
         return self.spark.read.schema(LOG_SCHEMA).parquet(where)
 
+    def refresh(self) -> None:
+        """Forget what was read of the log, after another process wrote to the table."""
+        self._known = None
+
     def _rows(self) -> list:
-        return self.log().orderBy("seq").collect()
+        if self._known is None:
+            self._known = self.log().orderBy("seq").collect()
+        return self._known
 
-    def _write(self, action: str, at: dt.datetime, **fields) -> None:
+    def _write(self, at: dt.datetime, *entries: dict) -> None:
+        """Append log rows, all of them in one file."""
         rows = self._rows()
-        entry = dict.fromkeys([c.split()[0] for c in LOG_SCHEMA.split(", ")])
-        entry.update(seq=len(rows), action=action, committed_at=at, **fields)
-        (self.spark.createDataFrame([tuple(entry.values())], LOG_SCHEMA).coalesce(1)
+        new = []
+        for i, fields in enumerate(entries):
+            entry = dict.fromkeys([c.split()[0] for c in LOG_SCHEMA.split(", ")])
+            entry.update(seq=len(rows) + i, committed_at=at, **fields)
+            new.append(Row(**entry))
+        (self.spark.createDataFrame(new, LOG_SCHEMA).coalesce(1)
          .write.mode("append").parquet(f"{self.path}/_log"))
+        self._known = rows + new
 
     def _commits(self) -> dict:
         rows = self._rows()
@@ -96,21 +108,22 @@ class VersionedTable:
         df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(part)
         before = commits[parent].parts if parent is not None else []
         added = self.spark.read.parquet(part).count()
-        self._write("commit", at, version=version, operation=operation, added_rows=added, parent=parent,
-                    parts=[*before, part] if operation == "append" else [part])
+        entries = [dict(action="commit", version=version, operation=operation, added_rows=added, parent=parent,
+                        parts=[*before, part] if operation == "append" else [part])]
         if live:
-            self._write("set_current", at, version=version)
+            entries.append(dict(action="set_current", version=version))
+        self._write(at, *entries)
         return version
 
     def set_current(self, version: int, at: dt.datetime) -> None:
         """Roll back, or forward again: only the pointer moves."""
         self._parts(version)
-        self._write("set_current", at, version=version)
+        self._write(at, dict(action="set_current", version=version))
 
     def tag(self, name: str, version: int, at: dt.datetime, keep_days: int | None = None) -> None:
         self._parts(version)
         until = at + dt.timedelta(days=keep_days) if keep_days is not None else None
-        self._write("tag", at, version=version, name=name, keep_until=until)
+        self._write(at, dict(action="tag", version=version, name=name, keep_until=until))
 
     def update_where(self, where: str, changes: Mapping[str, Column], at: dt.datetime) -> int:
         now = self.read()
@@ -130,12 +143,13 @@ class VersionedTable:
         readable by number until it expires, but never becomes current.
         """
         version = self.publish(df, operation, at, live=False)
-        self._write("branch", at, version=version, name=branch)
+        self._write(at, dict(action="branch", version=version, name=branch))
         report = audit(self.read(version=version))
         clean = report.where(~F.coalesce(F.col("passed"), F.lit(False))).isEmpty()
+        closing = [dict(action="drop_branch", version=version, name=branch)]
         if clean:
-            self._write("set_current", at, version=version)
-        self._write("drop_branch", at, version=version, name=branch)
+            closing.append(dict(action="set_current", version=version))
+        self._write(at, *closing)
         return clean, report
 
     # ------------------------------------------------------------ read
@@ -191,8 +205,8 @@ class VersionedTable:
                  if r.action == "tag" and (r.keep_until is None or r.keep_until > at)}
         gone = [v for v, r in commits.items() if v not in keep and r.committed_at < older_than]
         needed = {p for v, r in commits.items() if v not in gone for p in r.parts}
-        for v in gone:
-            self._write("expire", at, version=v)
+        if gone:
+            self._write(at, *[dict(action="expire", version=v) for v in gone])
         for part in {p for v in gone for p in commits[v].parts} - needed:
             files.remove(self.spark, part)
         return gone

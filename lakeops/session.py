@@ -17,6 +17,7 @@ def get_spark(app: str = "lakeops", master: str | None = None, shuffle_partition
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites cost driver time per column
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
     if master:

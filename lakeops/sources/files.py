@@ -24,3 +24,8 @@ def children(spark: SparkSession, path: str) -> list[tuple[str, int]]:
 def remove(spark: SparkSession, path: str) -> bool:
     fs, p = _at(spark, path)
     return fs.delete(p, True)
+
+
+def is_directory(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()

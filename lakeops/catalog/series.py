@@ -12,6 +12,12 @@ from lakeops.operators.privacy import suppress_small
 from lakeops.operators.quality import precision_recall
 from lakeops.plans import clickstream, fleet
 
+
+def near(col: str, digits: int):
+    """Rounded for comparison, nudged off exact ties, which two engines may round either way."""
+    return F.round(F.col(col) + 1e-9, digits).alias(col)
+
+
 W = "(PARTITION BY user_id ORDER BY ts, event_id)"
 SESSIONS = f"""g AS (SELECT *, CASE WHEN lag(ts) OVER {W} IS NULL OR ts - lag(ts) OVER {W} > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS st FROM events),
   s AS (SELECT *, CAST(sum(st) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no FROM g)"""
@@ -64,7 +70,7 @@ def runs_above(t: Tables):
   f AS (SELECT *, lag(bad) OVER {W} AS was FROM b),
   r AS (SELECT *, sum(CASE WHEN was IS NULL OR was <> bad THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run_id FROM f),
   g AS (SELECT user_id, min(ts) AS breach_start, max(ts) AS breach_end, min(value) AS min_value, max(value) AS max_value, count(*) AS readings,
-    round(avg(event_id), 4) AS mean_event, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0, 6) AS duration_min FROM r WHERE bad GROUP BY user_id, run_id)
+    round(avg(event_id), 4) AS mean_event, (epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0 AS duration_min FROM r WHERE bad GROUP BY user_id, run_id)
   SELECT *, CASE WHEN duration_min > 120 THEN 'CRITICAL' WHEN duration_min > 60 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM g WHERE duration_min > 30""")
 def breach_runs(t: Tables):
     e = t.events.withColumns({"lo": F.lit(5.0), "hi": F.lit(60.0)})
@@ -144,12 +150,12 @@ def near_events(t: Tables):
 
 
 @query("""WITH h AS (SELECT date_trunc('hour', ts) AS hour, avg(value) AS outside FROM events WHERE event_type = 'signup' GROUP BY 1)
-  SELECT event_id, round(outside, 6) AS outside FROM events LEFT JOIN h ON date_trunc('hour', ts) = hour""")
+  SELECT event_id, round(outside + 1e-9, 6) AS outside FROM events LEFT JOIN h ON date_trunc('hour', ts) = hour""")
 def coarse_grain_join(t: Tables):
     """Readings joined to a series of coarser grain by the truncated hour."""
     e = t.events.withColumn("hour", F.date_trunc("hour", "ts"))
     hourly = e.where("event_type = 'signup'").groupBy("hour").agg(F.avg("value").alias("outside"))
-    return e.join(hourly, "hour", "left").select("event_id", F.round("outside", 6).alias("outside"))
+    return e.join(hourly, "hour", "left").select("event_id", near("outside", 6))
 
 
 # ---------------------------------------------------------------- grids and gaps
@@ -203,10 +209,10 @@ def overlap_blocks(t: Tables):
 
 
 @query(f"""WITH g AS (SELECT user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER {W})) / 1000000.0 AS gap FROM events)
-  SELECT user_id, round(quantile_cont(gap, 0.5), 4) AS median_gap, round(quantile_cont(gap, 0.95), 4) AS p95_gap FROM g WHERE gap IS NOT NULL GROUP BY 1""")
+  SELECT user_id, round(quantile_cont(gap, 0.5) + 1e-9, 4) AS median_gap, round(quantile_cont(gap, 0.95) + 1e-9, 4) AS p95_gap FROM g WHERE gap IS NOT NULL GROUP BY 1""")
 def gap_stats(t: Tables):
     got = temporal.gap_stats(t.events.select("user_id", "ts", "event_id"), ["user_id"], "ts", ["event_id"])
-    return got.select("user_id", F.round("median_gap", 4).alias("median_gap"), F.round("p95_gap", 4).alias("p95_gap"))
+    return got.select("user_id", near("median_gap", 4), near("p95_gap", 4))
 
 
 RESAMPLED = """h AS (SELECT user_id, date_trunc('hour', ts) AS bucket, avg(value) AS mean, count(value) AS obs, arg_max(value, (ts, value)) AS lv, max(ts) AS lt
@@ -218,11 +224,11 @@ RESAMPLED = """h AS (SELECT user_id, date_trunc('hour', ts) AS bucket, avg(value
   rs AS (SELECT user_id, bucket, obs, CASE WHEN obs > 0 THEN mean WHEN (epoch_us(bucket) - epoch_us(ct)) / 1000000.0 <= 14400 THEN cv END AS final FROM j)"""
 
 
-@query(f"""WITH {RESAMPLED} SELECT user_id, bucket, obs, round(final, 6) AS final,
+@query(f"""WITH {RESAMPLED} SELECT user_id, bucket, obs, round(final + 1e-9, 6) AS final,
   CASE WHEN obs > 0 THEN 'observed' WHEN final IS NOT NULL THEN 'carried' ELSE 'gap' END AS source FROM rs""")
 def resample_hourly(t: Tables):
     got = temporal.resample(t.events, ["user_id"], "ts", "value", 4 * 3600)
-    return got.select("user_id", "bucket", "obs", F.round("final", 6).alias("final"), "source")
+    return got.select("user_id", "bucket", "obs", near("final", 6), "source")
 
 
 @query(f"""WITH {RESAMPLED}, k AS (SELECT user_id, CASE WHEN obs > 0 THEN 'observed' WHEN final IS NOT NULL THEN 'carried' ELSE 'gap' END AS source FROM rs)
@@ -327,7 +333,7 @@ def deterioration(t: Tables):
     return got.withColumn("earliest_lead_h", F.round("earliest_lead_h", 6))
 
 
-@query("""WITH g AS (SELECT c_nationkey, CAST(hour(ts) AS INTEGER) AS hour_of_day, count(DISTINCT user_id) AS s, round(avg(value), 6) AS m, count(*) AS n
+@query("""WITH g AS (SELECT c_nationkey, CAST(hour(ts) AS INTEGER) AS hour_of_day, count(DISTINCT user_id) AS s, round(avg(value) + 1e-9, 6) AS m, count(*) AS n
   FROM events JOIN customer ON user_id = c_custkey GROUP BY 1, 2)
   SELECT c_nationkey, hour_of_day, CASE WHEN s >= 5 THEN s END AS subjects, CASE WHEN s >= 5 THEN m END AS mean_value,
   CASE WHEN s >= 5 THEN n END AS readings, s < 5 AS suppressed FROM g""")
@@ -335,7 +341,7 @@ def ward_summary(t: Tables):
     ward = t.customer.select(F.col("c_custkey").alias("user_id"), "c_nationkey")
     seen = t.events.join(ward, "user_id").withColumn("hour_of_day", F.hour("ts"))
     return suppress_small(seen, ["c_nationkey", "hour_of_day"], "user_id",
-                          {"mean_value": F.round(F.avg("value"), 6), "readings": F.count(F.lit(1))})
+                          {"mean_value": F.round(F.avg("value") + 1e-9, 6), "readings": F.count(F.lit(1))})
 
 
 # ---------------------------------------------------------------- clickstream
@@ -443,10 +449,10 @@ def _trips(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {TRIPS} SELECT origin, destination, vehicle_type, count(*) AS trips, max(v) AS worst_var,
-  round(quantile_cont(v, 0.5), 4) AS median_var, round(quantile_cont(v, 0.9), 4) AS p90_var FROM tr GROUP BY 1, 2, 3""")
+  round(quantile_cont(v, 0.5) + 1e-9, 4) AS median_var, round(quantile_cont(v, 0.9) + 1e-9, 4) AS p90_var FROM tr GROUP BY 1, 2, 3""")
 def arrival_performance(t: Tables):
     got = fleet.arrival_performance(_trips(t), ["origin", "destination", "vehicle_type"], "promised", "l_shipdate")
-    return got.withColumns({"median_var": F.round("median_var", 4), "p90_var": F.round("p90_var", 4)})
+    return got.withColumns({"median_var": near("median_var", 4), "p90_var": near("p90_var", 4)})
 
 
 @query(f"""WITH {TRIPS} SELECT vehicle_type, round(corr(v, l_quantity), 8) AS by_quantity, round(corr(v, l_discount), 8) AS by_discount FROM tr GROUP BY 1""")

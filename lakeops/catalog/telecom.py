@@ -121,15 +121,14 @@ def _vendor_mapping(t: Tables) -> DataFrame:
         "vendor", F.concat_ws(".", F.lower("vendor"), "p.k").alias("vendor_counter"), F.col("p.v").alias("canonical_counter"))
 
 
-@query(KPI + """SELECT window_start, cell_id, site_id, round(CAST(CASE WHEN rrc_attempts > 0 THEN 100.0 * rrc_success / rrc_attempts END AS DOUBLE), 3) AS rrc_success_rate,
-  round(CAST(CASE WHEN call_attempts > 0 THEN 100.0 * call_drops / call_attempts END AS DOUBLE), 3) AS drop_call_rate, CAST(NULL AS DOUBLE) AS handover_success_rate,
+@query(KPI + """SELECT window_start, cell_id, site_id, round(CAST(CASE WHEN rrc_attempts > 0 THEN 100.0 * rrc_success / rrc_attempts END AS DOUBLE), 4) AS rrc_success_rate,
+  round(CAST(CASE WHEN call_attempts > 0 THEN 100.0 * call_drops / call_attempts END AS DOUBLE), 4) AS drop_call_rate, CAST(NULL AS DOUBLE) AS handover_success_rate,
   CAST(total_bytes AS DOUBLE) AS total_bytes FROM w""")
 def kpi_pivot(t: Tables):
     topology = t.customer.select(F.col("c_custkey").alias("cell_id"), F.col("c_nationkey").alias("site_id"))
     got = telco.cell_indicators(_counters(t), _vendor_mapping(t), topology)
-    rate = lambda c: F.round(F.col(c).cast("double"), 3).alias(c)
-    return got.select("window_start", "cell_id", "site_id", rate("rrc_success_rate"), rate("drop_call_rate"),
-                      rate("handover_success_rate"), F.col("total_bytes").cast("double").alias("total_bytes"))
+    rates = [F.col(c).cast("double").alias(c) for c in ("rrc_success_rate", "drop_call_rate", "handover_success_rate")]
+    return got.select("window_start", "cell_id", "site_id", *rates, F.col("total_bytes").cast("double").alias("total_bytes"))
 
 
 @query("""WITH s AS (SELECT user_id, avg(value) FILTER (ts < TIMESTAMP '2024-01-29') AS mu, stddev_samp(value) FILTER (ts < TIMESTAMP '2024-01-29') AS sigma,

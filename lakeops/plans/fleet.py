@@ -20,7 +20,7 @@ def breaches(readings: DataFrame, subject: str, ts: str, value: str, low: str, h
     """
     out = readings.withColumn("_out", (F.col(value) < F.col(low)) | (F.col(value) > F.col(high)))
     stretch = temporal.runs(out, [subject], ts, "_out", max_step_seconds, tie)
-    minutes = F.round((F.unix_micros("breach_end") - F.unix_micros("breach_start")) / 60_000_000, 6)
+    minutes = (F.unix_micros("breach_end") - F.unix_micros("breach_start")) / 60_000_000
     return (stretch.groupBy(subject, "run_id")
             .agg(F.min(ts).alias("breach_start"), F.max(ts).alias("breach_end"), F.min(value).alias("min_value"),
                  F.max(value).alias("max_value"), F.count(F.lit(1)).alias("readings"),

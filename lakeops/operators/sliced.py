@@ -29,10 +29,10 @@ def time_slice(ts: str | Column, seconds: int = DAY) -> Column:
 
 
 def value_slice(value: str | Column, width: float, descending: bool = False) -> Column:
-    """Slice number of a numeric order column."""
+    """Slice number of a numeric order column; NULL sorts first, or last when descending."""
     col = F.col(value) if isinstance(value, str) else value
     band = F.floor(col / F.lit(width))
-    return F.coalesce(-band if descending else band, F.lit(_BEFORE_ALL))
+    return F.coalesce(-band, F.lit(-_BEFORE_ALL)) if descending else F.coalesce(band, F.lit(_BEFORE_ALL))
 
 
 def _along(keys: Sequence[str]):

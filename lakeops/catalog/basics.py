@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeops.catalog.registry import Tables, query
 from lakeops.functions.columns import money
 from lakeops.operators.quantiles import exact_percentiles
-from lakeops.operators import sliced
+from lakeops.operators import joins, sliced
 from lakeops.session import broadcast_if_small, materialised
 
 # ---------------------------------------------------------------- projections
@@ -254,23 +256,22 @@ def sequence_days(t: Tables):
   UNION ALL SELECT 'right', count(*) FROM orders o RIGHT JOIN lineitem l ON o_orderkey = l_orderkey
   UNION ALL SELECT 'full', count(*) FROM orders o FULL JOIN lineitem l ON o_orderkey = l_orderkey""")
 def join_counts(t: Tables):
-    o = t.orders.select(F.col("o_orderkey").alias("k"))
-    li = t.lineitem.select(F.col("l_orderkey").alias("k"))
-    parts = [o.join(li, "k", how).agg(F.count("*").alias("n")).select(F.lit(how).alias("how"), "n")
+    """Rows of each join type.  Both sides are counted per key first, so a hot key joins as one row."""
+    o = t.orders.groupBy(F.col("o_orderkey").alias("k")).agg(F.count("*").alias("a"))
+    li = t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("b"))
+    pairs = F.coalesce("a", F.lit(1)) * F.coalesce("b", F.lit(1))
+    parts = [o.join(li, "k", how).agg(F.sum(pairs).alias("n")).select(F.lit(how).alias("how"), "n")
              for how in ("inner", "left", "right", "full")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("""SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal < 0) c
   FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) o ON c_custkey = o_custkey
   WHERE c_custkey IS NULL OR o_orderkey IS NULL""")
 def full_unmatched(t: Tables):
-    c = t.customer.filter("c_acctbal < 0").select("c_custkey")
-    o = t.orders.filter("o_totalprice > 400000").select("o_orderkey", "o_custkey")
-    return (c.join(o, F.col("c_custkey") == F.col("o_custkey"), "full")
+    c = t.customer.filter("c_acctbal < 0").select(F.col("c_custkey").alias("k"), "c_custkey")
+    o = t.orders.filter("o_totalprice > 400000").select(F.col("o_custkey").alias("k"), "o_orderkey")
+    return (joins.salted_join(o, c, ["k"], "full")
             .filter("c_custkey is null or o_orderkey is null").select("c_custkey", "o_orderkey"))
 
 
@@ -514,7 +515,10 @@ def latest_lookup(t: Tables):
 
 @query("""SELECT count(DISTINCT o_custkey) AS keys, CAST(0 AS BIGINT) AS split_keys FROM orders""")
 def repartition_colocates(t: Tables):
-    placed = t.orders.select("o_custkey").repartition(16, "o_custkey").withColumn("pid", F.spark_partition_id())
+    """Repartition by key, merge neighbouring partitions: no key may end up in two of them."""
+    n = 2 * t.spark.sparkContext.defaultParallelism
+    placed = (t.orders.select("o_custkey").repartition(n, "o_custkey").coalesce(n // 2)
+              .withColumn("pid", F.spark_partition_id()))
     per_key = placed.groupBy("o_custkey").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi"))
     return per_key.agg(F.count("*").alias("keys"), F.count_if(F.col("lo") != F.col("hi")).alias("split_keys"))
 
@@ -523,7 +527,7 @@ def repartition_colocates(t: Tables):
   CAST((SELECT max(o_totalprice) FROM orders) AS DOUBLE) AS peak FROM orders GROUP BY o_orderstatus""")
 def cached_reuse(t: Tables):
     """Two results over one cached input; the cache is released once they are written."""
-    small = t.orders.select("o_orderstatus", "o_totalprice").coalesce(4).cache()
+    small = t.orders.select("o_orderstatus", "o_totalprice").cache()
     try:
         peak = small.agg(F.max("o_totalprice")).first()[0]
         return materialised(small.groupBy("o_orderstatus").agg(

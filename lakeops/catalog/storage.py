@@ -346,10 +346,15 @@ def evidence_link(t: Tables):
 
 def _many_files(t: Tables) -> str:
     path = scratch(t.spark, "small-files")
-    t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus").repartition(40).write.partitionBy("o_orderstatus").parquet(path)
+    t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus").repartition(3 * t.spark.sparkContext.defaultParallelism).write.partitionBy("o_orderstatus").parquet(path)
     return path
 
 
+def _target(t: Tables, path: str) -> int:
+    """Ten files for a small table, files of 128 MB for a large one."""
+    return min(128 << 20, max(layout.file_stats(t.spark, path).first()["bytes"] // 10, 1))
+
+
 def _same(t: Tables, before: str, after: str) -> DataFrame:
     a, b = (quality.fingerprint(t.spark.read.parquet(p).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")) for p in (before, after))
     fewer = (layout.file_stats(t.spark, after).select("files").scalar() < layout.file_stats(t.spark, before).select("files").scalar())
@@ -359,15 +364,15 @@ def _same(t: Tables, before: str, after: str) -> DataFrame:
 COMPACTED = "SELECT count(*) AS rows, true AS same_rows, true AS fewer_files FROM orders"
 
 
-@query("SELECT o_orderstatus, count(*) AS rows, CAST(40 AS BIGINT) AS files FROM orders GROUP BY 1")
+@query("SELECT o_orderstatus, count(*) AS rows, true AS many_files FROM orders GROUP BY 1")
 def file_stats(t: Tables):
-    return layout.file_stats(t.spark, _many_files(t), ["o_orderstatus"]).select("o_orderstatus", "rows", "files")
+    return layout.file_stats(t.spark, _many_files(t), ["o_orderstatus"]).select("o_orderstatus", "rows", (F.col("files") > 4).alias("many_files"))
 
 
 @query("SELECT o_orderstatus, false AS compact FROM orders GROUP BY 1")
 def fragmentation_gate(t: Tables):
     stats = layout.file_stats(t.spark, _many_files(t), ["o_orderstatus"])
-    return layout.needs_compaction(stats, 500).select("o_orderstatus", "compact")
+    return layout.needs_compaction(stats, 100 * t.spark.sparkContext.defaultParallelism).select("o_orderstatus", "compact")
 
 
 @query(COMPACTED)
@@ -380,14 +385,14 @@ def compact_binpack(t: Tables):
 @query(COMPACTED)
 def compact_sort(t: Tables):
     before, after = _many_files(t), scratch(t.spark, "sorted")
-    layout.compact_sorted(t.spark, before, after, 64 << 10, ["o_custkey"])
+    layout.compact_sorted(t.spark, before, after, _target(t, before), ["o_custkey"])
     return _same(t, before, after)
 
 
 @query(COMPACTED)
 def compact_zorder(t: Tables):
     before, after = _many_files(t), scratch(t.spark, "zordered")
-    layout.compact_zorder(t.spark, before, after, 64 << 10, ["o_custkey", "o_totalprice"])
+    layout.compact_zorder(t.spark, before, after, _target(t, before), ["o_custkey", "o_totalprice"])
     return _same(t, before, after)
 
 
@@ -395,8 +400,7 @@ def compact_zorder(t: Tables):
 def file_pruning(t: Tables):
     """How many files can hold the middle customer, before and after sorting."""
     before, after = _many_files(t), scratch(t.spark, "prune")
-    total = layout.file_stats(t.spark, before).first()["bytes"]
-    layout.compact_sorted(t.spark, before, after, max(total // 12, 1), ["o_custkey"])
+    layout.compact_sorted(t.spark, before, after, _target(t, before), ["o_custkey"])
     middle = t.customer.agg(F.percentile_approx("c_custkey", 0.5)).first()[0]
     share = lambda path: layout.prunable(t.spark, path, "o_custkey", middle, middle).select(
         F.col("can_match") / F.col("files"))
@@ -417,11 +421,11 @@ def clustered_write(t: Tables):
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
 def bucketed_join(t: Tables):
     """Two tables bucketed alike join without a shuffle."""
-    tag = uuid.uuid4().hex
+    tag, buckets = uuid.uuid4().hex, t.spark.sparkContext.defaultParallelism
     layout.write_bucketed(t.orders.select(F.col("o_orderkey").alias("k"), "o_orderpriority"), f"b_orders_{tag}",
-                          scratch(t.spark, "b-orders"), 8, ["k"])
+                          scratch(t.spark, "b-orders"), buckets, ["k"])
     layout.write_bucketed(t.lineitem.select(F.col("l_orderkey").alias("k"), "l_quantity"), f"b_lines_{tag}",
-                          scratch(t.spark, "b-lines"), 8, ["k"])
+                          scratch(t.spark, "b-lines"), buckets, ["k"])
     joined = t.spark.table(f"b_orders_{tag}").hint("merge").join(t.spark.table(f"b_lines_{tag}"), "k")
     return joined.groupBy("o_orderpriority").agg(
         F.lit(layout.count_exchanges(joined)).alias("exchanges"), F.count(F.lit(1)).alias("lines"),
@@ -431,7 +435,7 @@ def bucketed_join(t: Tables):
 @query("""SELECT event_id, c_mktsegment FROM events JOIN customer ON user_id = c_custkey""")
 def salted_join(t: Tables):
     c = t.customer.select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
-    return joins.salted_join(t.events.select("event_id", "user_id"), c, ["user_id"], threshold=60, salts=8).select("event_id", "c_mktsegment")
+    return joins.salted_join(t.events.select("event_id", "user_id"), c, ["user_id"], salts=8, share=0.008).select("event_id", "c_mktsegment")
 
 
 @query("""SELECT event_id, c_custkey AS user_id, c_mktsegment FROM (SELECT * FROM events WHERE event_type = 'error') FULL JOIN customer ON user_id = c_custkey
@@ -439,7 +443,7 @@ def salted_join(t: Tables):
 def salted_full_join(t: Tables):
     c = t.customer.select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
     e = t.events.where("event_type = 'error'").select("event_id", "user_id")
-    return joins.salted_join(e, c, ["user_id"], threshold=15, salts=8, how="full").select("event_id", "user_id", "c_mktsegment")
+    return joins.salted_join(e, c, ["user_id"], "full", salts=8, share=0.008).select("event_id", "user_id", "c_mktsegment")
 
 
 @query("""WITH d AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 24 AS DOUBLE) AS hours, count(*) AS n, round(avg(value), 6) AS a FROM events GROUP BY 1)

@@ -68,6 +68,10 @@ def snap(ts: str | Column, seconds: int) -> Column:
     return F.timestamp_seconds(F.floor(F.unix_seconds(_col(ts)) / seconds) * seconds)
 
 
-def stable_salt(keys: list[str | Column], buckets: int) -> Column:
-    """A salt that is the same on every attempt of a task, unlike ``rand()``."""
-    return F.pmod(F.xxhash64(*[_col(k) for k in keys]), F.lit(buckets)).cast("int")
+def stable_salt(keys: list[str | Column], buckets: int | Column) -> Column:
+    """A salt that is the same on every attempt of a task, unlike ``rand()``.
+
+    The partition a row is read from takes part, so copies of one row spread as well.
+    """
+    n = F.lit(buckets) if isinstance(buckets, int) else buckets
+    return F.pmod(F.xxhash64(*[_col(k) for k in keys], F.spark_partition_id()), n).cast("int")

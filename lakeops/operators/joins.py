@@ -12,13 +12,21 @@ from lakeops.operators import sliced
 from lakeops.session import broadcast_if_small
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], threshold: int) -> DataFrame:
-    """Keys with more than ``threshold`` rows; there can be at most ``rows / threshold`` of them."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > threshold).select(*keys)
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.001, threshold: int | None = None) -> DataFrame:
+    """Keys that hold more than a share of all rows, or more than ``threshold`` rows.
+
+    There are at most ``1 / share`` (or ``rows / threshold``) of them.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if threshold is not None:
+        return counts.where(F.col("_n") > threshold).select(*keys)
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return counts.where(F.col("_n") > F.lit(share) * total).select(*keys)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], threshold: int, salts: int = 16,
-                how: str = "inner", spread_by: Sequence[str] | None = None) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 16,
+                share: float = 0.001, threshold: int | None = None,
+                spread_by: Sequence[str] | None = None) -> DataFrame:
     """Equi join that spreads the left rows of hot keys over ``salts`` tasks.
 
     Only the right rows of hot keys are replicated.  A full outer join takes the unmatched right
@@ -27,7 +35,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], threshol
     if how not in ("inner", "left", "full"):
         raise ValueError(f"salted_join cannot do a {how} join")
     keys = list(keys)
-    hot = broadcast_if_small(hot_keys(left, keys, threshold).withColumn("_hot", F.lit(True)))
+    hot = hot_keys(left, keys, share, threshold).withColumn("_hot", F.lit(True))
+    hot = F.broadcast(hot) if threshold is None else broadcast_if_small(hot)  # a share bounds the list
     salt = stable_salt(list(spread_by or left.columns), salts)
     spread = (left.join(hot, keys, "left")
               .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot"))

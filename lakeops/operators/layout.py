@@ -48,17 +48,24 @@ def compact(spark: SparkSession, path: str, out: str, target_bytes: int, partiti
         return
     total = wanted.agg(F.sum("_files")).first()[0]
     salted = df.join(wanted, list(partition_cols), "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*df.columns), F.col("_files")))
+        "_salt", stable_salt(list(df.columns), F.col("_files")))
     (salted.repartition(total, *partition_cols, "_salt").drop("_salt", "_files")
      .write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_cols).parquet(out))
 
 
+def _write_ranges(df: DataFrame, n: int, order: Sequence[str | Column], out: str) -> None:
+    """``n`` files of adjacent ranges.  A salt ends the range key, so a value that holds much of the
+    table is cut into several files instead of filling one task."""
+    (df.withColumn("_salt", stable_salt(list(df.columns), 1 << 20)).repartitionByRange(n, *order, "_salt")
+     .sortWithinPartitions(*order).drop("_salt", "_z")
+     .write.mode("overwrite").option("compression", "zstd").parquet(out))
+
+
 def compact_sorted(spark: SparkSession, path: str, out: str, target_bytes: int,
                    sort_cols: Sequence[str | Column]) -> None:
     """Rewrite in range-partitioned, sorted files, so that file bounds are narrow on the sort columns."""
     n = _files_wanted(spark, path, target_bytes, []).first()["_files"]
-    (spark.read.parquet(path).repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-     .write.mode("overwrite").option("compression", "zstd").parquet(out))
+    _write_ranges(spark.read.parquet(path), n, sort_cols, out)
 
 
 def zorder_key(df: DataFrame, cols: Sequence[str], bits: int = 6) -> Column:
@@ -84,8 +91,7 @@ def compact_zorder(spark: SparkSession, path: str, out: str, target_bytes: int,
                    bits: int = 6) -> None:
     df = spark.read.parquet(path)
     n = _files_wanted(spark, path, target_bytes, []).first()["_files"]
-    (df.withColumn("_z", zorder_key(df, cols, bits)).repartitionByRange(n, "_z").sortWithinPartitions("_z")
-     .drop("_z").write.mode("overwrite").option("compression", "zstd").parquet(out))
+    _write_ranges(df.withColumn("_z", zorder_key(df, cols, bits)), n, ["_z"], out)
 
 
 def prunable(spark: SparkSession, path: str, col: str, low, high) -> DataFrame:

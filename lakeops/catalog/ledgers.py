@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lakeops.catalog.registry import Tables, query
 from lakeops.functions.columns import money
 from lakeops.operators import cdc, recon
-from lakeops.operators.quality import dataset_checksum
+from lakeops.operators.quality import dataset_checksum, fingerprint
 from lakeops.plans import ledger
 
 KEYS = ["l_orderkey", "l_linenumber"]
@@ -77,6 +77,15 @@ def cdc_merge_soft(t: Tables):
             .drop("l_partkey"))
 
 
+@query(STATES + f"""SELECT count(*) AS rows, true AS identical FROM ({MERGED})""")
+def rerun_idempotent(t: Tables):
+    """Merging the same changes a second time leaves count and hash as they were."""
+    merge = lambda state: cdc.merge_cdc(state, later_changes(t), KEYS, version="l_shipdate", check=False)
+    once = fingerprint(merge(base_state(t)))
+    twice = fingerprint(merge(merge(base_state(t))))
+    return twice.select("rows", (F.struct("rows", "hash_sum") == once.select(F.struct("rows", "hash_sum")).scalar()).alias("identical"))
+
+
 @query(STATES + f"""SELECT l_orderkey, l_linenumber, l_shipdate, l_suppkey, l_extendedprice, l_quantity
   FROM ({MERGED}) WHERE NOT is_deleted""")
 def cdc_merge_hard(t: Tables):

@@ -11,6 +11,7 @@ from lakeops.operators import joins, sliced, temporal
 from lakeops.operators.privacy import suppress_small
 from lakeops.operators.quality import precision_recall
 from lakeops.plans import clickstream, fleet
+from lakeops.session import materialised
 
 
 def near(col: str, digits: int):
@@ -417,7 +418,8 @@ def elasticity(t: Tables):
   SELECT product // 10 AS category, count(*) AS abandoned, CAST(sum(catalog_price) AS DOUBLE) AS lost_at_cart, round(CAST(sum(prev_value) AS DOUBLE), 2) AS lost_at_old
   FROM cart WHERE NOT EXISTS (SELECT 1 FROM xs b WHERE b.kind = 'purchase' AND b.user_id = cart.user_id AND b.session_no = cart.session_no AND b.product = cart.product) GROUP BY 1""")
 def abandonment(t: Tables):
-    seen = temporal.sessionize(_priced(t), "user_id", "ts", 6 * 3600, tie=["event_id"])
+    priced = materialised(_priced(t), "priced")
+    seen = materialised(temporal.sessionize(priced, "user_id", "ts", 6 * 3600, tie=["event_id"]), "sessions")
     got = clickstream.abandoned_carts(seen, _shop_changes(t), "product", "ts", "kind", "session_key", "catalog_price",
                                       F.expr("cast(product div 10 as int)"), within_seconds=sliced.DAY)
     return got.withColumns({"lost_at_cart": F.col("lost_at_cart").cast("double"), "lost_at_old": F.round("lost_at_old", 2)})

@@ -131,6 +131,25 @@ def half_hour_batches(t: Tables):
     return got.groupBy("_batch_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT CAST(ts AS DATE) AS dt, count(*) AS n FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-09 18:00:00' AND TIMESTAMP '2024-01-11' GROUP BY 1""")
+def pruned_window(t: Tables):
+    """A window over a table by day: directories are pruned on the day, rows filtered on the time."""
+    path = tables.write_table(t.events.withColumn("dt", F.to_date("ts")), scratch(t.spark, "by-day"), "raw", "events", ["dt"])
+    got = t.spark.read.parquet(path).where(F.col("dt").between(F.lit("2024-01-09").cast("date"), F.lit("2024-01-11").cast("date")))
+    inside = F.col("ts").between(F.lit("2024-01-09 18:00:00").cast("timestamp"), F.lit("2024-01-11").cast("timestamp"))
+    return got.where(inside).groupBy("dt").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT o_orderpriority, count(*) AS lines FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
+def cross_format_join(t: Tables):
+    """Orders kept as JSON joined to lines kept as Parquet."""
+    path = scratch(t.spark, "orders-json")
+    t.orders.select("o_orderkey", "o_orderpriority").write.json(path)
+    o = t.spark.read.schema("o_orderkey bigint, o_orderpriority string").json(path)
+    per_order = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("c"))
+    return o.join(per_order, "o_orderkey").groupBy("o_orderpriority").agg(F.sum("c").alias("lines"))
+
+
 @query("""SELECT 'b1' AS _batch_id, DATE '2024-02-01' AS extract_date, TIMESTAMP '2024-02-01 05:00:00' AS _ingested_at, count(*) AS n, true AS has_file FROM events""")
 def audit_columns(t: Tables):
     raw = t.spark.read.parquet(f"{t.root}/events.parquet")
@@ -147,7 +166,7 @@ def slice_replace(t: Tables):
     again = t.orders.where("o_orderstatus = 'F'").select("o_orderkey", (F.col("o_totalprice") * 2).alias("o_totalprice"), "o_orderstatus")
     for _ in range(2):
         tables.overwrite_slices(again, path, ["o_orderstatus"])
-    return t.spark.read.parquet(path)
+    return tables.read_table(t.spark, path.rsplit("/", 2)[0], "silver", "orders")
 
 
 @query("""SELECT CAST(ts AS DATE) AS day, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total FROM events GROUP BY 1""")
@@ -307,6 +326,16 @@ def expire_versions(t: Tables):
                       F.lit("expired versions").alias("what"), "rows"))
 
 
+@query("""SELECT 'live rows' AS what, count(*) AS rows FROM orders UNION ALL SELECT 'stray directories', 1""")
+def unreferenced_files(t: Tables):
+    """A data directory no version knows of is reported, and left where it is."""
+    table = _orders_table(t)
+    t.orders.select("o_orderkey").write.parquet(f"{table.path}/data/v=99")
+    stray = table.unreferenced(older_than=dt.datetime(2100, 1, 1), now=dt.datetime(2100, 1, 3))
+    live = _count(table.read(), "live rows")
+    return live.unionByName(live.select(F.lit("stray directories").alias("what"), F.lit(len(stray)).cast("bigint").alias("rows")))
+
+
 @query("""SELECT o_orderkey, o_orderpriority AS priority, CAST(CASE WHEN o_orderstatus <> 'F' THEN 'web' END AS VARCHAR) AS channel, CAST(o_custkey AS BIGINT) AS o_custkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders""")
 def schema_evolution(t: Tables):
     """Old files with an old name, a narrower type and no channel, read together with new ones."""

@@ -55,11 +55,13 @@ def derive_intervals(df: DataFrame, key: str, ts: str, value: str, min_delta: fl
                      slice_seconds: int = 30 * sliced.DAY) -> DataFrame:
     """Validity intervals of an observed value: ``[effective_start, effective_end)``, last one open.
 
-    A change no larger than ``min_delta`` is noise.  Expects one observation per key and time.
+    A change no larger than ``min_delta`` is noise.  Expects one observation per key and time.  The
+    changes are written once, since the second pass and most callers read them more than once.
     """
     by = sliced.time_slice(ts, slice_seconds)
     seen = sliced.neighbours(df.select(key, ts, value), [key], [ts], by, prev={"_was": value})
     moved = seen.where(F.col("_was").isNull() | (F.abs(F.col(value) - F.col("_was")) > min_delta)).drop("_was")
+    moved = materialised(moved, "changes")  # the second pass reads it twice
     closed = sliced.neighbours(moved, [key], [ts], by, prev={"prev_value": value},
                                following={"effective_end": ts})
     return closed.select(key, F.col(value), "prev_value", F.col(ts).alias("effective_start"), "effective_end")
@@ -75,7 +77,8 @@ def gaps(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = (),
 def gap_stats(df: DataFrame, keys: Sequence[str], ts: str, tie: Sequence[str] = (),
               slice_seconds: int = sliced.DAY) -> DataFrame:
     """Median and 95th percentile of the gaps of every series."""
-    return exact_percentiles(gaps(df, keys, ts, tie, slice_seconds), keys, "gap_seconds",
+    measured = gaps(df.select(*keys, ts, *tie), keys, ts, tie, slice_seconds).select(*keys, "gap_seconds")
+    return exact_percentiles(materialised(measured, "gaps"), keys, "gap_seconds",
                              {"median_gap": 0.5, "p95_gap": 0.95})
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeops.operators.joins import near_events
+from lakeops.session import materialised
 
 WEEK = 7 * 86_400
 BASE_BLOCKS = 84  # two-hour blocks in seven days
@@ -48,8 +49,8 @@ def elasticity(conversion: DataFrame, changes: DataFrame, product: str, price: s
     The week is divided into two-hour blocks; changes with fewer than ``floor`` purchases in that
     week are left out.
     """
-    rows = conversion.select(product, "event_hour", price, "purchases")
-    at = changes.select(product, "effective_start", "prev_value", "pct_change")
+    rows = materialised(conversion.select(product, "event_hour", price, "purchases"), "conversion")
+    at = materialised(changes.select(product, "effective_start", "prev_value", "pct_change"), "price-changes")
     keys = [product, "effective_start"]
     post = (near_events(rows, at, [product], "event_hour", "effective_start", 0, 7_200)
             .groupBy(*keys).agg(F.sum("purchases").alias("post_purchases")))

@@ -1,7 +1,7 @@
 """Time the headline queries and print one JSON line.
 
 Every query is run to the end (all rows, all columns, into a sink that discards them), once to warm
-up and then three times; the median counts.
+up and then BENCH_RUNS times (2); the median counts.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ HEADLINE = [
 def main() -> None:
     root = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = get_spark("bench", f"local[{cpus}]", cpus, **{
         "spark.driver.memory": "16g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")

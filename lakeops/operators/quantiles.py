@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,11 +37,13 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
                 F.when(~small, F.col("_q")[F.col("_w.lo_at")]).alias("_lo"),
                 F.when(~small, F.col("_q")[F.col("_w.hi_at")]).alias("_hi"))
     )
+    counted = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    brackets = brackets.withColumnsRenamed({k: f"_b_{k}" for k in keys})
     if keys == ["_all"]:
         brackets = F.broadcast(brackets)  # one row per requested percentile
-    counted = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys])  # NULL is a group too
     inside = (
-        counted.join(brackets, keys)
+        counted.join(brackets, same)
         .where(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
         .withColumn("_v", F.when(F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")), F.col("_v")))
         .groupBy(*keys, "_name", "_pos", "_v").agg(F.sum("_c").alias("_c"))

@@ -164,10 +164,9 @@ def rolling(df: DataFrame, keys: Sequence[str], ts: str, seconds: int,
     everything its rows look back on; the copies are dropped afterwards.
     """
     width = max(seconds, slice_seconds)
-    t = F.unix_seconds(ts)
-    own = F.floor(t / width)
-    spread = df.withColumn("_own", own).withColumn(
-        SLICE, F.explode(F.sequence(own, F.floor((t + seconds + 1) / width))))
+    own = time_slice(ts, width)
+    reach = F.coalesce(F.floor((F.unix_seconds(ts) + seconds + 1) / width), own)  # no time: its own slice only
+    spread = df.withColumn("_own", own).withColumn(SLICE, F.explode(F.sequence(own, reach)))
     frame = (Window.partitionBy(*keys, SLICE).orderBy(F.unix_micros(ts))
              .rangeBetween(-seconds * 1_000_000, 0))
     windowed = spread.select("*", *[agg.over(frame).alias(a) for a, agg in aggs.items()])

@@ -83,6 +83,17 @@ def test_null_keys_are_kept(spark):
     assert got.count() == 2
 
 
+def test_rolling_keeps_rows_without_a_time(spark):
+    df = spark.createDataFrame([("a", START, 1), ("a", None, 2), (None, START, 3)], "k string, ts timestamp, v int")
+    got = sliced.rolling(df, ["k"], "ts", 60, {"s": F.sum("v")})
+    assert rows(got.select("k", "v", "s")) == [(None, 3, 3), ("a", 1, 1), ("a", 2, 2)]
+
+
+def test_percentiles_keep_the_null_group(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "k string, v double")
+    assert rows(exact_percentiles(df, ["k"], "v", {"m": 0.5})) == [(None, 2.0), ("a", 5.0)]
+
+
 @pytest.mark.parametrize("accuracy", [50, 10_000])
 def test_exact_percentiles(series, accuracy):
     """A low accuracy makes the bracket and count path run; the result must stay exact."""

@@ -126,3 +126,11 @@ def test_labels_and_split(spark):
 def test_precision_recall(spark):
     got = quality.precision_recall(spark.sql("SELECT explode(array(1,2,3)) AS id"), spark.sql("SELECT explode(array(2,3,4,5)) AS id"), ["id"]).first()
     assert (got.hits, got.false_alarms, got.misses, got.precision, got.recall) == (2, 1, 2, 0.666667, 0.5)
+
+
+def test_lookback_is_half_open_on_dates_and_timestamps(spark):
+    df = spark.sql("SELECT * FROM VALUES (timestamp'2024-01-10 23:59:59'), (timestamp'2024-01-03 00:00:00'), (timestamp'2024-01-04 00:00:00'), (timestamp'2024-01-11 00:00:00') AS (ts)")
+    days = [r.ts.day for r in features.lookback(df, "ts", "2024-01-10", days=7).orderBy("ts").collect()]
+    assert days == [4, 10]
+    dates = df.select(F.to_date("ts").alias("ts"))
+    assert [r.ts.day for r in features.lookback(dates, "ts", "2024-01-10", days=7).orderBy("ts").collect()] == [4, 10]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeops.session import checkpointed
@@ -40,12 +40,12 @@ def extract_envelope(df: DataFrame, fields: dict[str, str], keep: Sequence[str]
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The newest row of every key by ``order``, never by arrival or file order.
 
-    ``max_by`` combines before the shuffle, so copies of a hot key meet as one row per task
-    instead of queueing up in a single window partition.
+    Spark limits each key to its first row before the shuffle already (WindowGroupLimit), so copies of
+    a hot key arrive as one row per task.
     """
-    rest = [c for c in df.columns if c not in keys]
-    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return newest.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    newest = Window.partitionBy(*keys).orderBy(
+        *[(F.col(c) if isinstance(c, str) else c).desc_nulls_last() for c in order])
+    return df.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").drop("_nth")
 
 
 def dedup_report(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -134,3 +134,10 @@ def test_currencies_keep_their_own_balance(spark):
 def test_late_window(spark):
     df = spark.sql("SELECT * FROM VALUES (timestamp'2024-01-14 18:00:00'), (timestamp'2024-01-14 17:59:59'), (timestamp'2024-01-16 00:00:00') AS (ts)")
     assert cdc.late_window(df, "ts", "2024-01-15", 6).count() == 2
+
+
+def test_latest_is_limited_before_the_shuffle(spark, sf):
+    from lakeops.operators.layout import plan_text
+    plan = plan_text(cdc.latest_per_key(spark.read.parquet(f"{sf}/events.parquet"), ["user_id"], ["ts"]))
+    before_shuffle = plan[plan.index("Exchange"):]
+    assert "WindowGroupLimit" in before_shuffle and "Partial" in before_shuffle

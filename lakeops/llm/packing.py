@@ -27,7 +27,7 @@ def _queue(batches, tokenizer: str, end_id: int):
     row = 0
     for batch in in_batches(batches):
         sources = batch.column("source").to_pylist()
-        coded = [ids.encode(t) + end for t in batch.column("text").to_pylist()]
+        coded = [a.tobytes() + end for a in ids.encode_many(batch.column("text").to_pylist())]
         before = []
         for source, c in zip(sources, coded):
             before.append(served.get(source, 0))

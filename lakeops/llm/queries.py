@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakeops.llm import packing, token_store
+from lakeops.llm import hyperminhash, packing, secrets, token_store, toxicity, warc
 from lakeops.llm.tokens import vocabulary
 from lakeops.session import scratch
 from lakeops.sources.tables import load
@@ -20,9 +21,33 @@ def op1_token_store(spark: SparkSession, root: str) -> DataFrame:
     return token_store.token_index(spark, path)
 
 
+def op2_secret_scan(spark: SparkSession, root: str) -> DataFrame:
+    return secrets.scan(load(spark, root, "documents")).drop("found")
+
+
+def op4_hyperminhash(spark: SparkSession, root: str) -> DataFrame:
+    return hyperminhash.near_duplicates(load(spark, root, "documents"), words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op6_warc_boundary_chain(spark: SparkSession, root: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(load(spark, root, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op9_subword_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    docs = load(spark, root, "documents")
+    model = toxicity.train(docs, load(spark, root, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_mixture_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(load(spark, root, "documents"), vocabulary("byte_bpe_50k.json")).drop("ids")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_store, op10_mixture_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_token_store, op2_secret_scan, op4_hyperminhash, op6_warc_boundary_chain, op9_subword_toxicity, op10_mixture_packing)}
+# Base 32 in SQL: five hexadecimal digits at a time, by their value's four base-32 digits.
+_BASE32 = "list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, 5 * k + 1, 5) AS BIGINT) >> (15 - 5 * j)) & 31 AS INT), 1) for k in range(8) for j in range(4)], 'string_agg', '')"
+
 ORACLES: dict[str, str] = {}

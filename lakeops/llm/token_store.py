@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lakeops.llm.common import in_batches, task, texts
 from lakeops.llm.tokens import encoder
+from lakeops.session import materialised
 
 FOOTER = struct.Struct("<32sBQQ8s")  # dictionary hash, bytes of an id, bytes of the index, documents, magic
 MAGIC = b"TOKIDX01"
@@ -35,9 +36,11 @@ def train_dictionary(docs: DataFrame, tokenizer: str, width: int, sample_docs: i
     characters whose ids hash lowest. It changes sizes only, never contents. Too few documents: empty."""
     import zstandard
 
-    picked = (docs.filter(F.length("text").between(1, sample_chars)).orderBy(F.xxhash64("id"), "id", "text").limit(sample_docs).select("text"))
+    lowest = docs.filter(F.length("text").between(1, sample_chars)).select("id", F.xxhash64("id", "text").alias("h")).orderBy("h").limit(sample_docs)
+    # sample_docs numbers at most: safe to broadcast
+    picked = docs.join(F.broadcast(lowest.select("id").distinct()), "id").select("text", F.xxhash64("id", "text").alias("h")).orderBy("h").limit(sample_docs)
     ids = encoder(tokenizer)
-    samples = [np.frombuffer(ids.encode(r.text), dtype="<u4").astype(f"<u{width}").tobytes() for r in picked.collect()]
+    samples = [a.astype(f"<u{width}").tobytes() for a in ids.encode_many([r.text for r in picked.collect()])]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # the trainer wants more material than there is
@@ -48,17 +51,19 @@ def _codec(dictionary: bytes):
     import zstandard
 
     known = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+    if known:
+        known["dict_data"].precompute_compress(level=3)  # else every frame digests the dictionary again
     return zstandard.ZstdCompressor(level=3, **known), zstandard.ZstdDecompressor(**known)
 
 
 def _framer(batches, tokenizer: str, end_id: int, dictionary: bytes, width: int):
     pack, _ = _codec(dictionary)
-    ids, end = encoder(tokenizer), end_id.to_bytes(4, "little")
+    ids = encoder(tokenizer)
     index, offset, start = [], 0, 0
     for batch in in_batches(batches):
         frames = []
-        for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-            array = np.frombuffer(ids.encode(text) + end, dtype="<u4").astype(f"<u{width}")
+        for doc, array in zip(batch.column("id").to_pylist(), ids.encode_many(batch.column("text").to_pylist())):
+            array = np.append(array, np.uint32(end_id)).astype(f"<u{width}")
             frames.append(pack.compress(array.tobytes()))
             index.append((doc or 0, doc is not None, offset, len(frames[-1]), len(array), start))
             offset, start = offset + len(frames[-1]) + 1, start + len(array)
@@ -143,7 +148,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
     Only the totals of the shards, one row each, meet in one task.
     """
-    rows = read_tokens(spark, path, with_ids=False)
+    rows = materialised(read_tokens(spark, path, with_ids=False), "token-index")  # the files are read once
     w = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = (rows.groupBy("shard").agg(F.sum("n_tokens").alias("_sum"))
              .select("shard", F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_base")))

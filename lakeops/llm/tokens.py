@@ -12,6 +12,7 @@ import functools
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -32,14 +33,20 @@ BYTE_LETTERS = _byte_letters()
 
 
 class _Memo(dict):
+    """Two generations: when one is full it becomes the old one, and words met again move on to the new one."""
+
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.make(piece)
-        if len(self) < self.limit:
-            self[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
@@ -50,7 +57,7 @@ class Encoder:
     tokens inside a text are ordinary text.
     """
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str, memo: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,12 +66,14 @@ class Encoder:
         self.model = self.tokenizer.model
         kind = _kind(json.loads(self.tokenizer.to_str()))
         self.lower = kind == "word"
+        # A run of letters before marks or white space, marks between letters and white space, anything else up to white space.
+        word, marks = f"[{LETTERS}]+(?![^{MARKS}{SPACES}])", f"(?<=[{LETTERS}])[{MARKS}]+(?=[{SPACES}]|$)"
         if kind == "byte":
-            self.pieces = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
-            self.simple = re.compile(f"( ?[{LETTERS}]+)([{MARKS}]*)").fullmatch
+            self.pieces = re.compile(f" ?{word}|{marks}|[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
+            self.simple = re.compile(f" ?[{LETTERS}]+|[{MARKS}]+").fullmatch
         elif kind == "word":
-            self.pieces = re.compile(f"[^{SPACES}]+").findall
-            self.simple = re.compile(f"([{LETTERS}]+)([{MARKS}]*)").fullmatch
+            self.pieces = re.compile(f"{word}|{marks}|[^{SPACES}]+").findall
+            self.simple = re.compile(f"[{LETTERS}]+|[{MARKS}]+").fullmatch
         else:
             self.pieces = None
         self.memo = _Memo(self._piece, memo)
@@ -72,22 +81,23 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        spelled = "".join(map(BYTE_LETTERS.__getitem__, (word.lower() if self.lower else word).encode()))
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled))
-
     def _piece(self, piece: str) -> bytes:
-        found = self.simple(piece)
-        if not found:
+        if not self.simple(piece):
             return self.whole(piece)
-        word, marks = found.groups()
-        return self._word(word) + (self._word(marks) if marks else b"")
+        if self.lower:
+            piece = piece.lower()
+        spelled = piece if piece.isascii() and piece[0] != " " else "".join(map(BYTE_LETTERS.__getitem__, piece.encode()))
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         if self.pieces is None or ODD.search(text):
             return self.whole(text)
         return b"".join(map(self.memo.__getitem__, self.pieces(text)))
 
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(self.encode(t), dtype="<u4") for t in texts]
+
 
 def _kind(spec: dict) -> str | None:
     """Which cutting rule a tokenizer file has, of those whose pieces are known to be independent."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeops.llm import hyperminhash, packing, secrets, token_store, toxicity, warc
+from lakeops.llm import chat, decontamination, hyperminhash, licenses, packing, secrets, token_store, topk, toxicity, warc
 from lakeops.llm.tokens import vocabulary
 from lakeops.session import scratch
 from lakeops.sources.tables import load
@@ -25,16 +25,35 @@ def op2_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     return secrets.scan(load(spark, root, "documents")).drop("found")
 
 
+def op3_snapshot_collapse(spark: SparkSession, root: str) -> DataFrame:
+    return chat.render(load(spark, root, "conversations"))
+
+
 def op4_hyperminhash(spark: SparkSession, root: str) -> DataFrame:
     return hyperminhash.near_duplicates(load(spark, root, "documents"), words=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_license_paragraphs(spark: SparkSession, root: str) -> DataFrame:
+    docs = load(spark, root, "documents")
+    weights, least = licenses.train(spark, docs)
+    return licenses.scan(docs, weights, least).drop("tkey")
+
+
 def op6_warc_boundary_chain(spark: SparkSession, root: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(load(spark, root, "pages"), path)
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op7_columnar_top_k(spark: SparkSession, root: str) -> DataFrame:
+    vectors = load(spark, root, "embeddings")
+    return topk.top_k(vectors.filter(F.col("vec_id") % 100 == 0), vectors)
+
+
+def op8_template_windows(spark: SparkSession, root: str) -> DataFrame:
+    return decontamination.contaminated(load(spark, root, "documents"), load(spark, root, "benchmark")).drop("tkey")
+
+
 def op9_subword_toxicity(spark: SparkSession, root: str) -> DataFrame:
     docs = load(spark, root, "documents")
     model = toxicity.train(docs, load(spark, root, "labels"))
@@ -46,8 +65,37 @@ def op10_mixture_packing(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_token_store, op2_secret_scan, op4_hyperminhash, op6_warc_boundary_chain, op9_subword_toxicity, op10_mixture_packing)}
-# Base 32 in SQL: five hexadecimal digits at a time, by their value's four base-32 digits.
-_BASE32 = "list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, 5 * k + 1, 5) AS BIGINT) >> (15 - 5 * j)) & 31 AS INT), 1) for k in range(8) for j in range(4)], 'string_agg', '')"
-
-ORACLES: dict[str, str] = {}
+    op1_token_store, op2_secret_scan, op3_snapshot_collapse, op4_hyperminhash, op5_license_paragraphs, op6_warc_boundary_chain,
+    op7_columnar_top_k, op8_template_windows, op9_subword_toxicity, op10_mixture_packing)}
+
+# The digest's base 32: five hexadecimal digits at a time are four digits of base 32.
+_SHA = "sha1(coalesce(html, ''))"
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, {5 * k + 1}, 5) AS BIGINT) >> {15 - 5 * j}) & 31 AS INTEGER), 1)"
+    for k in range(8) for j in range(4))
+
+ORACLES: dict[str, str] = {
+    "op3_snapshot_collapse": """
+        WITH d AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM d),
+        s AS (SELECT conv_id, place, string_agg(md5(role || chr(0) || text), '') OVER (PARTITION BY conv_id ORDER BY place) AS state FROM t),
+        n AS (SELECT conv_id, max(place) AS n_turns, max(state) AS state FROM s GROUP BY conv_id),
+        e AS (SELECT state, n_turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM n GROUP BY state, n_turns),
+        p AS (SELECT DISTINCT s.state FROM s JOIN n USING (conv_id) WHERE s.place < n.n_turns),
+        m AS (SELECT * FROM e WHERE state NOT IN (SELECT state FROM p))
+        SELECT m.conv_id, m.n_turns, m.n_copies,
+               string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered
+        FROM m JOIN t USING (conv_id) GROUP BY m.conv_id, m.n_turns, m.n_copies""",
+    "op6_warc_boundary_chain": f"""
+        WITH d AS (SELECT page_id, url, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, {_SHA} AS h FROM pages),
+        w AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM d)
+        SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> top THEN top END AS refers_to, url FROM w""",
+    "op7_columnar_top_k": """
+        WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+        SELECT * FROM r WHERE rank <= 10""",
+}

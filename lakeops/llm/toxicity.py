@@ -131,6 +131,14 @@ def _known(key: str) -> list:
     return []
 
 
+def _margins(model: Model) -> _Margins:
+    """The words of a model that this worker has met, kept from task to task."""
+    kept = _known(model.key)
+    if not kept:
+        kept.append(_Margins(model))
+    return kept[0]
+
+
 def score_text(text: str, model: Model, known: _Margins) -> float:
     words = WORDS.findall(text.lower())
     if not words:
@@ -141,15 +149,21 @@ def score_text(text: str, model: Model, known: _Margins) -> float:
 
 def _scores(batches, shared):
     model = shared.value
-    kept = _known(model.key)
-    if not kept:
-        kept.append(_Margins(model))
+    known = _margins(model)
     for batch in in_batches(batches):
-        scores = [score_text(t, model, kept[0]) for t in batch.column("text").to_pylist()]
+        scores = [score_text(t, model, known) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(scores, pa.float64())],
                                          names=[*(c for c in batch.schema.names if c != "text"), "score"])
 
 
+def _kept(batches, shared, column: str):
+    model = shared.value
+    known = _margins(model)
+    for batch in in_batches(batches, column=column):
+        keep = [score_text(t or "", model, known) < model.at for t in batch.column(column).to_pylist()]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     """Rows that labels are never learned from: CRC-32 of the id as text leaves 2 when divided by 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -180,3 +194,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = texts(docs, id_col, text_col).withColumn("tkey", F.xxhash64("text"))
     scored = rows.mapInArrow(task(_scores, shared), "id long, tkey long, score double")
     return scored.select(F.col("id").alias("doc_id"), "tkey", "score", (F.col("score") >= model.at).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are not predicted toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(task(_kept, shared, text_col), docs.schema)

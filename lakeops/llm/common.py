@@ -89,10 +89,10 @@ def crc32_of(column: Column) -> Column:
 
 def row_key(id_column: Column, text_hash: Column) -> list[Column]:
     """Two numbers, never NULL, that name a row by its id and the hash of its text."""
-    return [F.xxhash64(id_column.isNull(), id_column, text_hash).alias("_row"), text_hash.alias("_text")]
+    return [F.xxhash64(id_column.isNull(), id_column, text_hash).alias("_lakeops_row"), text_hash.alias("_lakeops_text")]
 
 
 def matching(docs: DataFrame, rows: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` semi- or anti-joined with ``rows`` (doc_id, tkey); the columns ``_row`` and ``_text`` stay on."""
-    keyed = docs.withColumns(dict(zip(("_row", "_text"), row_key(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))))
-    return keyed.join(rows.select(*row_key(F.col("doc_id"), F.col("tkey"))), ["_row", "_text"], how)
+    """``docs`` semi- or anti-joined with ``rows`` (doc_id, tkey); the columns ``_lakeops_row`` and ``_lakeops_text`` stay on."""
+    keyed = docs.withColumns(dict(zip(("_lakeops_row", "_lakeops_text"), row_key(F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))))))
+    return keyed.join(rows.select(*row_key(F.col("doc_id"), F.col("tkey"))), ["_lakeops_row", "_lakeops_text"], how)

@@ -55,8 +55,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_w
 
     A pair is reported if, over the alignments whose slots agree, ``least_windows`` consecutive windows (13 words) or
     ``least_share`` of the item's windows are found. A window counts if ``least_literal`` of its words are no placeholders. Items
-    shorter than a window are one window of all their words, all of which must be literal or agree; items of fewer than
-    three words are no evidence and match nothing. NULL texts have no words; NULL ids are kept as they are; a repeated
+    shorter than a window are one window of all their words, of which the same share must be no placeholders; items of
+    fewer than three words are no evidence and match nothing. NULL texts have no words; NULL ids are kept as they are; a repeated
     document is reported for each row, a repeated item once.
 
     Columns: doc_id, tkey (hash of the text), item_id, n_windows (of the item), n_matched, n_slots (placeholders compared),
@@ -69,7 +69,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_w
     spots = items.select("item", "size", "n_windows", "w", F.posexplode(_windows(F.col("w"), F.col("size"))).alias("at", "h"))
     in_window = F.slice("w", F.col("at") + 1, F.col("size"))
     literal = F.size(F.filter(in_window, lambda w: ~w.isin(NUMBER, NAME, UNIT)))
-    spots = materialised(spots.filter(literal >= F.least(F.lit(least_literal), F.col("size"))).withColumn("slots", literal < F.col("size")).drop("w"), "spots")
+    spots = materialised(spots.filter(literal * window >= F.col("size") * least_literal).withColumn("slots", literal < F.col("size")).drop("w"), "spots")
     sizes = [r["size"] for r in spots.select("size").distinct().collect()]  # as many as a window has words, at most
     build = F.broadcast(spots) if spots.count() <= small else spots
 

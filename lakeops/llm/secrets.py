@@ -189,10 +189,10 @@ def _cleaned(batches, column: str):
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The same rows and columns with secret values replaced; ``length_col`` is counted anew where it is present and not NULL."""
-    rows = docs.withColumn("_old", F.length(text_col)) if length_col in docs.columns else docs
+    rows = docs.withColumn("_lakeops_old", F.length(text_col)) if length_col in docs.columns else docs
     clean = rows.mapInArrow(task(_cleaned, text_col), rows.schema)
     if length_col in docs.columns:
         kind = docs.schema[length_col].dataType
-        changed = F.length(text_col) != F.col("_old")
-        clean = clean.withColumn(length_col, F.when(changed & F.col(length_col).isNotNull(), F.length(text_col).cast(kind)).otherwise(F.col(length_col))).drop("_old")
+        changed = F.length(text_col) != F.col("_lakeops_old")
+        clean = clean.withColumn(length_col, F.when(changed & F.col(length_col).isNotNull(), F.length(text_col).cast(kind)).otherwise(F.col(length_col))).drop("_lakeops_old")
     return clean.select(*docs.columns)

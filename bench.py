@@ -10,6 +10,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,7 +31,8 @@ def main() -> None:
     root = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
     runs = int(os.environ.get("BENCH_RUNS", "2"))
-    spark = get_spark("bench", f"local[{cpus}]", cpus, **{
+    shared = tempfile.mkdtemp(prefix="lakeops-bench-")  # one machine: its own folder is shared by all tasks
+    spark = get_spark("bench", f"local[{cpus}]", cpus, **{"spark.checkpoint.dir": shared,
         "spark.driver.memory": "16g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     registered = catalog.queries()

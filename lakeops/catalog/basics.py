@@ -11,7 +11,7 @@ from lakeops.catalog.registry import Tables, query
 from lakeops.functions.columns import money
 from lakeops.operators.quantiles import exact_percentiles
 from lakeops.operators import joins, sliced
-from lakeops.session import broadcast_if_small, materialised
+from lakeops.session import materialised
 
 # ---------------------------------------------------------------- projections
 
@@ -278,9 +278,10 @@ def full_unmatched(t: Tables):
 @query("""SELECT r_name, n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey
   JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name""")
 def join_broadcast(t: Tables):
-    places = t.nation.join(broadcast_if_small(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    # the 5 regions and 25 nations of the star schema are fixed
+    places = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
     per_nation = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("customers"))
-    return (per_nation.join(broadcast_if_small(places), F.col("c_nationkey") == F.col("n_nationkey"))
+    return (per_nation.join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
             .select("r_name", "n_name", "customers"))
 
 

@@ -183,7 +183,7 @@ def _slots(t: Tables) -> DataFrame:
 
 
 def _outages(t: Tables) -> DataFrame:
-    return fleet.outages(_slots(t), "user_id", "block", "slot", 21600, 360, levels=20)
+    return fleet.outages(_slots(t), "user_id", "block", "slot", 21600, 360)
 
 
 @query(f"WITH {SLOTS} SELECT user_id, block, slot FROM q")

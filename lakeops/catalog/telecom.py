@@ -332,10 +332,12 @@ def assemble_360(t: Tables):
                                 "billing__bill_shock_ratio", "label_churned")
 
 
-@query()
+@query(f"""WITH {BASE}, l AS (SELECT subscriber_id, CASE WHEN churn IS NULL THEN 0 WHEN churn <= DATE '{RUN}' THEN NULL WHEN churn <= DATE '{RUN}' + 180 THEN 1 ELSE 0 END AS y FROM ba),
+  s AS (SELECT y, CAST('0x' || substr(sha256('42:' || CAST(subscriber_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 8000 AS fit FROM l WHERE y IS NOT NULL)
+  SELECT CASE WHEN fit THEN 'train' ELSE 'validation' END AS part, count(*) AS rows, CAST(sum(y) AS BIGINT) AS positives FROM s GROUP BY 1""")
 def training_split(t: Tables):
-    """Train and validation sizes and labels; the split hashes the key, so it is the same everywhere."""
-    train, valid = features.hash_split(_assembled(t), "subscriber_id")
+    """Train and validation sizes and labels, of subjects whose label is known; the split hashes the key, so it is the same everywhere."""
+    train, valid = features.hash_split(_assembled(t).where("label_churned is not null"), "subscriber_id")
     both = train.withColumn("part", F.lit("train")).unionByName(valid.withColumn("part", F.lit("validation")))
     return both.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum("label_churned").alias("positives"))
 

@@ -11,7 +11,6 @@ from lakeops.operators import sliced
 from lakeops.operators.quantiles import exact_percentiles
 
 EPSILON = 1e-6
-MIN_ROWS = 100
 
 
 def _melt(df: DataFrame, cols: list[str], dtype: str) -> DataFrame:
@@ -24,11 +23,11 @@ def _index(base_share: Column, now_share: Column) -> Column:
     return F.sum((a - e) * F.ln(a / e))
 
 
-def psi_numeric(base: DataFrame, now: DataFrame, cols: list[str], bins: int = 10) -> DataFrame:
+def psi_numeric(base: DataFrame, now: DataFrame, cols: list[str], bins: int = 10, min_rows: int = 100) -> DataFrame:
     """Population stability index per numeric feature.
 
     Bin edges are exact quantiles of the baseline with repeats dropped; the end bins are open.
-    Fewer than 100 values on a side gives NULL, fewer than three edges 0.
+    Fewer than ``min_rows`` values on a side gives NULL, fewer than three edges 0.
     """
     b, n = _melt(base, cols, "double"), _melt(now, cols, "double")
     names = {f"q{i:02d}": i / bins for i in range(bins + 1)}
@@ -50,7 +49,7 @@ def psi_numeric(base: DataFrame, now: DataFrame, cols: list[str], bins: int = 10
         F.max("n_edges").alias("n_edges"), F.max("tb").alias("tb"), F.max("tn").alias("tn"),
         F.count(F.lit(1)).alias("seen_bins"),
         _index(F.col("b") / F.col("tb"), F.try_divide("n", "tn")).alias("raw"))
-    psi = (F.when(F.least("tb", "tn") < MIN_ROWS, F.lit(None).cast("double"))
+    psi = (F.when(F.least("tb", "tn") < min_rows, F.lit(None).cast("double"))
            .when(F.col("n_edges") < 3, F.lit(0.0)).otherwise(F.round("raw", 6)))
     return listed.join(scored, "feature", "left").select("feature", psi.alias("psi"))
 

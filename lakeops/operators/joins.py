@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeops.functions.columns import stable_salt
 from lakeops.operators import sliced
-from lakeops.session import broadcast_if_small
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.001, threshold: int | None = None) -> DataFrame:
@@ -36,7 +37,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
         raise ValueError(f"salted_join cannot do a {how} join")
     keys = list(keys)
     hot = hot_keys(left, keys, share, threshold).withColumn("_hot", F.lit(True))
-    hot = F.broadcast(hot) if threshold is None else broadcast_if_small(hot)  # a share bounds the list
+    hot = F.broadcast(hot) if threshold is None else hot  # a share bounds the list; a threshold does not
     salt = stable_salt(list(spread_by or left.columns), salts)
     spread = (left.join(hot, keys, "left")
               .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot"))
@@ -49,6 +50,19 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return joined
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 16,
+                spread_by: Sequence[str] | None = None) -> DataFrame:
+    """Inner or left join on keys of few values: every left row goes to one of ``salts`` tasks of its key.
+
+    The right side is listed once per salt, so it should be a table of rates, codes or the like.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"spread_join cannot do a {how} join")
+    placed = left.withColumn("_salt", stable_salt(list(spread_by or left.columns), salts))
+    listed = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return placed.join(listed, [*keys, "_salt"], how).drop("_salt")
+
+
 def range_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str, start: str,
                end: str, how: str = "inner") -> DataFrame:
     """``start <= ts < end`` beside an equi key, an open end lasting for ever."""
@@ -86,10 +100,11 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: s
     """For every left row the newest right row at or before it, or NULL.
 
     Both sides are stacked and the last right row is carried forward; on a tie the right row goes
-    first.  Nothing is paired up, so the cost is one sort of both sides whatever the match rate.
+    first.  A NULL key matches nothing.  Nothing is paired up, so the cost is one sort of both sides whatever the match rate.
     """
     held = F.struct(F.col(right_ts).alias("_at"), *[F.col(c).alias(c) for c in cols])
-    marks = right.select(*keys, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"),
+    known = right.where(reduce(and_, [F.col(k).isNotNull() for k in keys], F.lit(True)))  # a NULL key equals nothing
+    marks = known.select(*keys, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"),
                          F.struct(*(order_right or [F.lit(0).alias("o")])).alias("_order"), held.alias("_held"))
     rows = left.select(*keys, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.struct("*").alias("_left"))
     stacked = marks.unionByName(rows, allowMissingColumns=True)

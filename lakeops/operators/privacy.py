@@ -8,18 +8,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.session import broadcast_if_small
-
 
 def erase(tables: Mapping[str, DataFrame], ids: DataFrame, key: str) -> dict[str, DataFrame]:
     """Every table of a scope without the rows of the listed subjects."""
-    gone = broadcast_if_small(ids.select(key).distinct())
+    gone = ids.select(key).distinct()
     return {name: df.join(gone, key, "left_anti") for name, df in tables.items()}
 
 
 def subject_rows(tables: Mapping[str, DataFrame], ids: DataFrame, key: str) -> DataFrame:
     """How many rows each table holds about the listed subjects."""
-    gone = broadcast_if_small(ids.select(key).distinct())
+    gone = ids.select(key).distinct()
     counts = [df.join(gone, key, "left_semi").agg(F.count(F.lit(1)).alias("subject_rows"))
               .select(F.lit(name).alias("table_name"), "subject_rows") for name, df in tables.items()]
     return reduce(DataFrame.unionByName, counts)
@@ -29,7 +27,7 @@ def attest_erasure(before: Mapping[str, DataFrame], readable: Mapping[str, Seque
                    ids: DataFrame, key: str) -> DataFrame:
     """Per table: rows before and after, rows erased, and what is left of the subjects in *any*
     version that can still be read (``readable``, newest last).  Attested only when nothing is."""
-    gone = broadcast_if_small(ids.select(key).distinct())
+    gone = ids.select(key).distinct()
     rows = []
     for name, old in before.items():
         was = old.agg(F.count(F.lit(1)).alias("rows_before"))

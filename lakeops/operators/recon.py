@@ -8,24 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeops.operators import sliced
+from lakeops.operators.joins import spread_join
 from lakeops.operators.quality import QualityError
-from lakeops.session import broadcast_if_small
 
 
 def rate_lookup(df: DataFrame, rates: DataFrame, keys: Sequence[str], rate: str, flag: str,
                 missing: str, found: str = "RATED") -> DataFrame:
     """Left join a rate table on several keys; a row without a rate is flagged and kept.
 
-    Rate keys have few values, so a shuffle on them would pile up; the table is broadcast when its
-    counted size allows.
+    Rate keys have few values, so the rows of a key are spread over several tasks.
     """
-    return (df.join(broadcast_if_small(rates), list(keys), "left")
+    return (spread_join(df, rates, list(keys), "left")
             .withColumn(flag, F.when(F.col(rate).isNull(), missing).otherwise(found)))
 
 
 def convert_currency(df: DataFrame, fx: DataFrame, amount: str, currency: str, day: str, out: str) -> DataFrame:
     """Amounts in the base currency; a missing rate leaves NULL, to be counted by ``assert_rates``."""
-    return (df.join(broadcast_if_small(fx), [currency, day], "left")
+    return (spread_join(df, fx, [currency, day], "left")
             .withColumn(out, F.round(F.col(amount) * F.col("rate"), 5)))
 
 

@@ -7,7 +7,7 @@ every slice to one summary row, carries the summaries along the key, and joins t
 are shuffled once, on ``(key, slice)``; what is ordered per key is only the summaries, whose
 number is bounded by the length of the axis.
 
-Rows whose key is NULL belong to no series: they are kept, and get only their slice's own result.
+As in SQL windows, rows whose key is NULL are one group: keys are compared as one struct, in which NULLs are equal.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE = "_slice"
+SLICE, KEY = "_slice", "_key"
 DAY = 86_400
 _BEFORE_ALL = -(1 << 60)
 
@@ -35,6 +35,12 @@ def value_slice(value: str | Column, width: float, descending: bool = False) ->
     return F.coalesce(-band, F.lit(-_BEFORE_ALL)) if descending else F.coalesce(band, F.lit(_BEFORE_ALL))
 
 
+def _cut(df: DataFrame, keys: Sequence[str], slice_by: Column) -> tuple[DataFrame, list[str]]:
+    """The rows with their slice, and the column that stands for the key."""
+    sliced = df.withColumn(SLICE, slice_by)
+    return (sliced.withColumn(KEY, F.struct(*keys)), [KEY]) if keys else (sliced, [])
+
+
 def _along(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(SLICE)
 
@@ -48,7 +54,7 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_b
                following: Mapping[str, str] | None = None) -> DataFrame:
     """``lag`` / ``lead`` by one row: ``prev={"prev_price": "price"}`` adds the previous row's price."""
     prev, following = dict(prev or {}), dict(following or {})
-    sliced = df.withColumn(SLICE, slice_by)
+    sliced, keys = _cut(df, keys, slice_by)
     at = F.struct(*order)
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
     rows, ends, carried = sliced, [], []
@@ -88,7 +94,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by:
     ``aggs`` maps an output name to ``(kind, expression)`` with kind ``sum``, ``count``, ``min``,
     ``max`` or ``last`` (last value that is not NULL).
     """
-    sliced = df.withColumn(SLICE, slice_by)
+    sliced, keys = _cut(df, keys, slice_by)
     at = F.struct(*order)
     inside = (Window.partitionBy(*keys, SLICE).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -115,7 +121,7 @@ def ranks(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], sli
           size: str | None = None) -> DataFrame:
     """Ranking columns and the group size.  ``slice_by`` must rise along ``order``; equal order
     values share a slice by construction, so ties rank as in a plain window."""
-    sliced = df.withColumn(SLICE, slice_by)
+    sliced, keys = _cut(df, keys, slice_by)
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
     before = _along(keys).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -181,7 +187,7 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by:
     ``breaks(current, previous)`` gets two structs holding the ``carry`` columns and says whether
     the current row starts a new stretch; the first row of a key always does.
     """
-    sliced = df.withColumn(SLICE, slice_by)
+    sliced, keys = _cut(df, keys, slice_by)
     held = F.struct(*carry)
     at = F.struct(*order)
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)

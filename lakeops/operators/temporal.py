@@ -159,18 +159,23 @@ def _counts_below(points: DataFrame, probes: DataFrame, group: Sequence[str], pr
     return counted.where(F.col("_point").isNull())
 
 
-def overlap_count(df: DataFrame, group: str, member: str, start: str, end: str, *, levels: int,
+def overlap_count(df: DataFrame, group: str, member: str, start: str, end: str, *,
                   name: str = "others", width: int = 1024) -> DataFrame:
-    """For every interval ``[start, end)`` of whole numbers in ``[0, 2**levels)``, how many other
+    """For every interval ``[start, end)`` of whole numbers from 0, how many other
     members of its group have an interval that overlaps it.  A member's own intervals must not overlap.
 
     Intervals are never paired.  A member overlaps in a stretch of neighbouring intervals, so
     members = intervals overlapped - gaps between two of them.  The first term is a difference of two
     running counts.  The second asks for gaps lying inside the interval; dyadic cells of the start
-    axis turn that into running counts too, with ``levels + 1`` rows per gap.
+    axis turn that into running counts too, with a row per gap and level; the levels follow from the
+    last end of the data.
     """
     ids = [group, member, start, end]
     df = materialised(df, "intervals")
+    low, high = df.agg(F.min(start), F.max(end)).first()
+    if low is not None and low < 0:
+        raise ValueError(f"intervals begin at {low}; shift them to begin at 0 or later")
+    levels = max(1, int(high or 0).bit_length())
     ivs = df.select(*ids)
     starts = ivs.select(group, F.col(start).alias("x"))
     ends = ivs.select(group, F.col(end).alias("x"))

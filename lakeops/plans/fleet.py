@@ -31,14 +31,14 @@ def breaches(readings: DataFrame, subject: str, ts: str, value: str, low: str, h
 
 
 def outages(readings: DataFrame, meter: str, block: str, slot: str, step: int, slot_minutes: int, *,
-            min_slots: int = 3, cluster: int = 5, levels: int = 20) -> DataFrame:
+            min_slots: int = 3, cluster: int = 5) -> DataFrame:
     """Silent stretches of at least ``min_slots`` between a meter's first and last reading, and how many
     other meters of its block were silent at some time in the same stretch."""
     silent = temporal.missing_slots(readings, [meter, block], slot, step)
     found = temporal.slot_runs(silent, [meter, block], slot, step).where(F.col("slots") >= min_slots)
     spans = (found.withColumn("from_slot", F.expr(f"first_slot div {step}"))
              .withColumn("to_slot", F.expr(f"last_slot div {step}") + 1))
-    counted = temporal.overlap_count(spans, block, meter, "from_slot", "to_slot", levels=levels,
+    counted = temporal.overlap_count(spans, block, meter, "from_slot", "to_slot",
                                      name="concurrent_meters")
     return (counted.select(meter, block, "run_id", "first_slot", "last_slot", "slots",
                            (F.col("slots") * slot_minutes).alias("duration_min"), "concurrent_meters")

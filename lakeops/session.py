@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "lakeops", master: str | None = None, shuffle_partitions: int | None = None,
@@ -69,12 +68,3 @@ def materialised(df: DataFrame, label: str = "stage") -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after a bounded count proved the side small.
-
-    ``limit`` stops the count at one row past the bound, so a large side costs little and is
-    left to the shuffle join.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

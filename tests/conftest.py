@@ -11,8 +11,8 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = get_spark("tests", "local[8]", 8, **{
+def spark(tmp_path_factory):
+    session = get_spark("tests", "local[8]", 8, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         "spark.driver.memory": "6g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -67,6 +67,23 @@ def test_asof_join_takes_the_newest_at_or_before(history):
         assert got[p.id] == (max(cand)[1] if cand else None)
 
 
+@pytest.mark.parametrize("seconds", [3600, 86_400 * 365])
+def test_asof_join_null_keys_match_nothing(spark, seconds):
+    left = spark.createDataFrame([(1, None, at(5)), (2, "a", at(5))], "id int, k string, ts timestamp")
+    right = spark.createDataFrame([(None, at(4), 5.0), ("a", at(1), 7.0)], "k string, start timestamp, price double")
+    got = {r.id: r.price for r in joins.asof_join(left, right, ["k"], "ts", "start", ["price"], slice_seconds=seconds).collect()}
+    assert got == {1: None, 2: 7.0}
+
+
+def test_spread_join_equals_plain_join(skewed):
+    left, right = skewed
+    for how in ("inner", "left"):
+        assert rows(joins.spread_join(left, right, ["k"], how).select("k", *[c for c in left.columns if c != "k"])) == rows(
+            left.join(right, ["k"], how).select("k", *[c for c in left.columns if c != "k"]))
+    with pytest.raises(ValueError, match="full"):
+        joins.spread_join(left, right, ["k"], "full")
+
+
 def test_asof_join_tolerance(history):
     points, intervals = history
     got = {r.id: r.price for r in joins.asof_join(points, intervals, ["k"], "ts", "start", ["price"], tolerance_seconds=3600).collect()}

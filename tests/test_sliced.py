@@ -19,7 +19,7 @@ def series(spark):
     rnd = random.Random(7)
     data = []
     for i in range(1500):
-        key = 0 if rnd.random() < 0.6 else rnd.randint(1, 9)
+        key = 0 if rnd.random() < 0.6 else rnd.choice([None, *range(1, 10)])  # NULL is a group like any other
         at = START + dt.timedelta(seconds=rnd.randint(0, 20 * 86400))
         data.append((i, key, at, None if rnd.random() < 0.2 else round(rnd.uniform(-50, 50), 2)))
     return spark.createDataFrame(data, "id int, k int, ts timestamp, v double").cache()

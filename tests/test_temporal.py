@@ -32,12 +32,23 @@ def test_overlap_count_against_pairs(spark):
             data.append(("g0" if m < 25 else "g1", m, x, e))
             x = e + rnd.randint(0, 15)
     df = spark.createDataFrame(data, "g string, m int, s long, e long")
-    got = {(r.m, r.s): r.others for r in temporal.overlap_count(df, "g", "m", "s", "e", levels=9, width=16).collect()}
+    got = {(r.m, r.s): r.others for r in temporal.overlap_count(df, "g", "m", "s", "e", width=16).collect()}
     for g, m, s, e in data:
         want = {o for (h, o, a, b) in data if h == g and o != m and a < e and b > s}
         assert got[(m, s)] == len(want)
 
 
+@pytest.mark.parametrize("end", [8, 9, 1 << 21])
+def test_overlap_count_across_powers_of_two(spark, end):
+    """Two gaps of one member inside a stretch that runs over a power of two: that member is counted once."""
+    data = [("g", 1, 0, 1), ("g", 1, 3, 4), ("g", 1, end - 1, end), ("g", 2, 0, end), ("g", 3, end, end + 2)]
+    df = spark.createDataFrame(data, "g string, m int, s long, e long")
+    got = {(r.m, r.s): r.others for r in temporal.overlap_count(df, "g", "m", "s", "e").collect()}
+    assert got[(2, 0)] == 1 and got[(3, end)] == 0 and got[(1, 0)] == 1
+    with pytest.raises(ValueError, match="begin at 0"):
+        temporal.overlap_count(spark.createDataFrame([("g", 1, -3, 2)], df.schema), "g", "m", "s", "e")
+
+
 def test_runs_break_on_a_long_step(spark):
     df = spark.createDataFrame([("k", at(m), m not in (20, 25)) for m in (0, 5, 10, 15, 20, 25, 30, 35, 300, 305)], "k string, ts timestamp, on boolean")
     joined = temporal.runs(df, ["k"], "ts", "on")
@@ -81,7 +92,7 @@ def test_outages_start_with_the_meter_and_cluster(spark):
     data += [(6, "b", s) for s in range(0, 20) if s not in (2, 3)] + [(7, "b", s) for s in range(12, 20)]
     data += [(8, "c", s) for s in range(0, 20) if not 5 <= s <= 7]
     df = spark.createDataFrame([(m, b, s * 1800) for m, b, s in data], "m int, b string, slot long")
-    got = {r.m: r for r in fleet.outages(df, "m", "b", "slot", 1800, 30, levels=8).collect()}
+    got = {r.m: r for r in fleet.outages(df, "m", "b", "slot", 1800, 30).collect()}
     assert set(got) == {0, 1, 2, 3, 4, 5, 8}
     assert got[0].concurrent_meters == 5 and got[0].classification == "CLUSTERED" and got[0].duration_min == 120
     assert got[8].concurrent_meters == 0 and got[8].classification == "ISOLATED"

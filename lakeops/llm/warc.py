@@ -45,6 +45,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     rows = rows.withColumn("bytes", F.octet_length("payload")).withColumn("digest", base32_sha1(F.col("payload")))
     first = (rows.filter(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("id").alias("target"), F.count(F.lit(1)).alias("n"))
              .filter("n > 1 and target is not null").select(F.col("digest").alias("_digest"), "target"))
+    first = materialised(first, "warc-targets")  # its real size then decides how it is joined; payloads need no shuffle while it is small
     rows = rows.join(first, F.col("digest") == F.col("_digest"), "left")
     revisit = F.col("target").isNotNull() & ~F.col("id").eqNullSafe(F.col("target"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), F.lit(END))

@@ -300,10 +300,9 @@ def velocity_alerts(t: Tables):
 def ledger_daily_close(t: Tables):
     """Collapse the change log, merge it into the ledger, close every supplier's day."""
     merged = cdc.merge_cdc(base_state(t), later_changes(t), KEYS, version="l_shipdate", check=False)
-    entries = (merged.where(~F.col("is_deleted")).withColumn("amount", money("l_extendedprice"))
-               .join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")))
-    s = ledger.daily_account_summary(entries, "l_suppkey", "s_nationkey", "l_shipdate", "amount",
-                                     F.col("l_linestatus") == "F")
+    entries = merged.where(~F.col("is_deleted")).withColumn("amount", money("l_extendedprice"))
+    s = ledger.daily_account_summary(entries, "l_suppkey", "s_nationkey", "l_shipdate", "amount", F.col("l_linestatus") == "F",
+                                     t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"))
     cols = ("opening_balance", "credit_volume", "debit_volume", "closing_balance")
     return s.select("l_suppkey", "s_nationkey", "business_date", "txn_count",
                     *[F.col(c).cast("double").alias(c) for c in cols])

@@ -178,7 +178,7 @@ OUTAGES = SLOTS + """, f AS (SELECT *, CASE WHEN slot - lag(slot) OVER (PARTITIO
 
 def _slots(t: Tables) -> DataFrame:
     who = t.customer.select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("block"))
-    return (t.events.select("user_id", (F.floor(F.unix_seconds("ts") / 21600) * 21600).alias("slot"))
+    return (t.events.select("user_id", (F.floor(F.unix_seconds("ts") / 21600) * 21600).alias("slot")).distinct()
             .join(who, "user_id"))
 
 

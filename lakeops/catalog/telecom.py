@@ -106,11 +106,13 @@ KPI = """WITH w AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS window_start,
 
 
 def _counters(t: Tables) -> DataFrame:
+    """Summed per cell, quarter of an hour and counter before they meet the cells' vendors."""
     vendor = t.customer.select(F.col("c_custkey").alias("cell_id"), F.col("c_mktsegment").alias("vendor"))
-    return (t.events.withColumnRenamed("user_id", "cell_id").join(vendor, "cell_id")
-            .select("cell_id", "vendor", F.lit("R1").alias("region"), F.col("ts").alias("counter_ts"),
-                    F.concat_ws(".", F.lower("vendor"), "event_type").alias("counter_name"),
-                    money("value").alias("counter_value")))
+    quarter = F.window("ts", f"{telco.WINDOW_SECONDS} seconds")["start"].alias("counter_ts")
+    summed = t.events.groupBy(F.col("user_id").alias("cell_id"), quarter, "event_type").agg(F.sum(money("value")).alias("counter_value"))
+    return summed.join(vendor, "cell_id").select(
+        "cell_id", "vendor", F.lit("R1").alias("region"), "counter_ts",
+        F.concat_ws(".", F.lower("vendor"), "event_type").alias("counter_name"), "counter_value")
 
 
 def _vendor_mapping(t: Tables) -> DataFrame:

@@ -13,16 +13,20 @@ OUTFLOW_TYPES = ("CASH_OUT", "PAYMENT", "TRANSFER", "DEBIT")
 
 
 def daily_account_summary(ledger: DataFrame, account: str, currency: str, ts: str, amount: str,
-                          is_credit: Column) -> DataFrame:
+                          is_credit: Column, accounts: DataFrame | None = None) -> DataFrame:
     """Credits, debits, count, opening and closing balance per account, currency and day.
 
-    The balance runs over one row per day, so an account with very many entries is small here.
+    The balance runs over one row per day, so an account with very many entries is small here. A currency
+    that belongs to the account comes from ``accounts`` (account, currency), joined to the days.
     """
     value = F.col(amount)
-    daily = ledger.groupBy(account, currency, F.to_date(ts).alias("business_date")).agg(
+    keys = [account, currency] if accounts is None else [account]
+    daily = ledger.groupBy(*keys, F.to_date(ts).alias("business_date")).agg(
         F.sum(F.when(is_credit, value).otherwise(F.lit(0))).alias("credit_volume"),
         F.sum(F.when(is_credit, F.lit(0)).otherwise(value)).alias("debit_volume"),
         F.count(F.lit(1)).alias("txn_count"))
+    if accounts is not None:
+        daily = daily.join(accounts.select(account, currency), account)
     upto = (Window.partitionBy(account, currency).orderBy("business_date")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     net = F.col("credit_volume") - F.col("debit_volume")

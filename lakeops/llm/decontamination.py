@@ -23,25 +23,22 @@ UNITS = ("mm cm m km mg g kg lb lbs oz ml l inch inches foot feet yard yards mil
 LETTER = r"[\p{L}\p{N}]"
 
 
-def _any(words: str) -> str:
-    return rf"(?<!{LETTER})(?:{'|'.join(words.split())})(?!{LETTER})"
-
-
-def _plain(text: Column) -> Column:
-    """Without everything but letters, digits, placeholders and white space, cut into words."""
-    return F.filter(F.split(F.regexp_replace(text, r"[^\p{L}\p{N}" + f"{NUMBER}-{UNIT}" + r"\s]+", ""), r"\s+"), lambda w: w != "")
+def _cut(text: Column) -> Column:
+    """Words: what is left between white space without all but letters, digits and placeholders. No words: one empty word."""
+    plain = F.regexp_replace(text, r"[^\p{L}\p{N}" + f"{NUMBER}-{UNIT}" + r"\s]+", "")
+    return F.split(F.btrim(plain, F.lit(" \t\n\x0b\f\r")), r"\s+")
 
 
 def template_words(text: Column) -> Column:
     """The words of a text's template. Names are capital words inside a sentence; case and punctuation go."""
     named = F.regexp_replace(text, rf"(?<=[\p{{Ll}}\p{{N}},;]\s)\p{{Lu}}\p{{L}}*(?!{LETTER})", NAME)
-    numbers = F.regexp_replace(F.lower(named), rf"(?<!{LETTER})[$€£]?\p{{N}}+(?:[.,]\p{{N}}+)*%?(?!{LETTER})|{_any(NUMBER_WORDS)}", NUMBER)
-    return _plain(F.regexp_replace(numbers, _any(UNITS), UNIT))
+    numbers = F.regexp_replace(F.lower(named), rf"(?<!{LETTER})[$€£]?\p{{N}}+(?:[.,]\p{{N}}+)*%?(?!{LETTER})", NUMBER)
+    return F.transform(_cut(numbers), lambda w: F.when(w.isin(*NUMBER_WORDS.split()), NUMBER).when(w.isin(*UNITS.split()), UNIT).otherwise(w))
 
 
 def raw_words(text: Column) -> Column:
     """The words themselves, place by place those of ``template_words``."""
-    return _plain(F.lower(text))
+    return _cut(F.lower(text))
 
 
 def _windows(words: Column, size: Column) -> Column:
@@ -76,8 +73,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_w
     worded = rows.select("id", F.xxhash64("text").alias("tkey"), template_words(F.col("text")).alias("words"))
     hits = None
     for size in sizes:
-        long_enough = worded.filter(F.size("words") >= size)
-        exploded = long_enough.select("id", "tkey", F.posexplode(_windows(F.col("words"), F.lit(size))).alias("place", "hash"))
+        runs = F.when(F.size("words") >= size, _windows(F.col("words"), F.lit(size)))  # a filter would make the words twice
+        exploded = worded.select("id", "tkey", F.posexplode(runs).alias("place", "hash"))
         found = exploded.join(build.filter(F.col("size") == size), F.col("hash") == F.col("h")).select("id", "tkey", "place", "item", "at", "n_windows", "size", "slots")
         hits = found if hits is None else hits.union(found)
     if hits is None:

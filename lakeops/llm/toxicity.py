@@ -12,6 +12,7 @@ import functools
 import re
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,10 +29,11 @@ WORDS = re.compile(r"[^\W\d_]+")
 class Model:
     """What scoring needs: a margin for each n-gram bucket, the bias, and where on that scale the cut lies."""
 
-    margins: np.ndarray
+    margins: np.ndarray  # NaN: an n-gram that was never met
     bias: float
     cut: float
     at: float
+    typical: float = 0.0  # of a word without known n-grams: what words of clean texts have on average
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
@@ -44,20 +46,22 @@ def grams(word: str, buckets: int, sizes: tuple[int, ...] = (3, 4, 5)) -> list[i
 def _bag(docs: list[str], buckets: int):
     """Documents by words and words by n-grams as index arrays, with the weights of the means."""
     known: dict[str, int] = {}
-    doc, word, share = [], [], []
+    doc, word, share, flat, sizes = array("i"), array("i"), array("f"), array("i"), array("i")  # no Python object for each entry
     for k, text in enumerate(docs):
         counts: dict[str, int] = {}
         for w in WORDS.findall(text.lower()):
             counts[w] = counts.get(w, 0) + 1
         total = sum(counts.values())
         for w, n in counts.items():
+            if w not in known:
+                known[w] = len(known)
+                own = grams(w, buckets)
+                flat.extend(own)
+                sizes.append(len(own))
             doc.append(k)
-            word.append(known.setdefault(w, len(known)))
+            word.append(known[w])
             share.append(n / total)
-    parts = [grams(w, buckets) for w in known]
-    sizes = np.array([len(p) for p in parts] or [0], dtype=np.int64)
-    flat = np.fromiter((g for p in parts for g in p), dtype=np.int64, count=int(sizes.sum()))
-    return np.array(doc, np.int64), np.array(word, np.int64), np.array(share), flat, sizes
+    return *(np.frombuffer(x, np.int32) for x in (doc, word)), np.frombuffer(share, np.float32), *(np.frombuffer(x, np.int32) for x in (flat, sizes))
 
 
 def fit(docs: list[str], toxic: list[int], weight_clean: float = 1.0, at: float = 0.3, buckets: int = 1 << 18, width: int = 8,
@@ -75,7 +79,7 @@ def fit(docs: list[str], toxic: list[int], weight_clean: float = 1.0, at: float
     if not 0 < y[fold].sum() < fold.sum() or not 0 < y[~fold].sum() < (~fold).sum():
         fold = np.zeros(len(y), bool)
     doc, word, share, gram, sizes = _bag(docs, buckets)
-    starts, each, of = np.cumsum(sizes) - sizes, 1 / sizes, np.repeat(np.arange(len(sizes)), sizes)
+    starts, each, of = np.cumsum(sizes) - sizes, (1 / sizes).astype(np.float32), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     rng = np.random.default_rng(seed)
     vectors = (rng.standard_normal((buckets, width)) * 0.05).astype(np.float32)
     classes = (rng.standard_normal((width, 2)) * 0.3).astype(np.float32)
@@ -90,7 +94,7 @@ def fit(docs: list[str], toxic: list[int], weight_clean: float = 1.0, at: float
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (vectors, classes, bias)]
     for step in range(1, steps + 1):
         error = (1 / (1 + np.exp(-margins())) - y) * learn  # of the softmax's second class; the first has its negative
-        by_word = np.bincount(word, weights=error[doc] * share, minlength=len(sizes)) * each
+        by_word = (np.bincount(word, weights=error[doc] * share, minlength=len(sizes)) * each).astype(np.float32)
         by_gram = np.bincount(gram, weights=by_word[of], minlength=buckets).astype(np.float32)
         side = vectors.T @ by_gram
         slopes = (np.outer(by_gram, classes[:, 1] - classes[:, 0]) + 1e-6 * vectors, np.stack([-side, side], 1), np.array([-error.sum(), error.sum()], np.float32))
@@ -100,27 +104,31 @@ def fit(docs: list[str], toxic: list[int], weight_clean: float = 1.0, at: float
             p -= speed * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
     z = margins()
     held = fold if fold.any() else np.ones(len(y), bool)
-    return Model((vectors @ (classes[:, 1] - classes[:, 0])).astype(np.float64), float(bias[1] - bias[0]), _best_cut(z[held], y[held], weight_clean), at)
+    side = (vectors @ (classes[:, 1] - classes[:, 0])).astype(np.float64)
+    own = float(bias[1] - bias[0])
+    side[np.bincount(gram, minlength=buckets) == 0] = np.nan
+    return Model(side, own, _best_cut(z[held], y[held], weight_clean), at, float(z[y == 0].mean()) - own)
 
 
 def _best_cut(z: np.ndarray, y: np.ndarray, weight_clean: float) -> float:
-    """The margin with the best F1 score; of several as good, the middle of their range."""
+    """The margin with the best F1 score, midway to the next text below; of several as good, the highest."""
     order = np.argsort(-z, kind="stable")
     z, y = z[order], y[order]
     hit, miss = np.cumsum(y), np.cumsum((1 - y) * weight_clean)
     score = 2 * hit / (hit + miss + y.sum())
-    best = np.flatnonzero(score >= score.max() - 1e-12)
-    k = best[len(best) // 2]
+    k = int(np.flatnonzero(score >= score.max() - 1e-12)[0])
     return float((z[k] + z[k + 1]) / 2 if k + 1 < len(z) else z[k] - 1e-6)
 
 
 class _Margins(dict):
     def __init__(self, model: Model):
         super().__init__()
-        self.values_, self.size = model.margins, len(model.margins)
+        self.margins, self.size, self.typical = model.margins, len(model.margins), model.typical
 
     def __missing__(self, word: str) -> float:
-        value = float(self.values_[grams(word, self.size)].mean())
+        own = self.margins[grams(word, self.size)]
+        own = own[~np.isnan(own)]
+        value = float(own.mean()) if len(own) else self.typical
         if len(self) < 600_000:
             self[word] = value
         return value

@@ -16,6 +16,7 @@ from lakeops.session import materialised
 
 # The placeholders (private-use characters, so that no text has them), number words, units of measure.
 NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
+RAW, TEMPLATE = "raw", "template"
 NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
                 "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million dozen")
 UNITS = ("mm cm m km mg g kg lb lbs oz ml l inch inches foot feet yard yards mile miles meter meters metre metres gram grams liter liters litre litres "
@@ -51,35 +52,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_w
     """A row for each document and benchmark item of which it holds a passage.
 
     A pair is reported if, over the alignments whose slots agree, ``least_windows`` consecutive windows (13 words) or
-    ``least_share`` of the item's windows are found. A window counts if ``least_literal`` of its words are no placeholders. Items
-    shorter than a window are one window of all their words, of which the same share must be no placeholders; items of
-    fewer than three words are no evidence and match nothing. NULL texts have no words; NULL ids are kept as they are; a repeated
+    ``least_share`` of the item's windows are found. Windows of the raw words always count. A window of the
+    template, whose slots may have changed, counts if ``least_literal`` of its words are no placeholders. Items shorter than a
+    window are one window of all their words, of which in a template the same share must be no placeholders; items of fewer than three words are no evidence and match nothing. NULL texts have no words; NULL ids are kept as they are; a repeated
     document is reported for each row, a repeated item once.
 
     Columns: doc_id, tkey (hash of the text), item_id, n_windows (of the item), n_matched, n_slots (placeholders compared),
     exact (no slot differs). The benchmark's windows are broadcast only if they are ``small`` or fewer.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    items = benchmark.select(F.col(item_col).alias("item"), template_words(F.coalesce(F.col(item_text_col), F.lit(""))).alias("w"),
-                             raw_words(F.coalesce(F.col(item_text_col), F.lit(""))).alias("raw")).filter("size(w) >= 3").dropDuplicates(["item", "raw"])
+    given = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    items = (given.select("item", F.lit(TEMPLATE).alias("seq"), template_words(F.col("text")).alias("w"), raw_words(F.col("text")).alias("raw"))
+             .union(given.select("item", F.lit(RAW), raw_words(F.col("text")), raw_words(F.col("text")))).filter("size(w) >= 3").dropDuplicates(["item", "seq", "raw"]))
     items = materialised(items.withColumn("size", F.least(F.size("w"), F.lit(window))).withColumn("n_windows", F.size("w") - F.col("size") + 1), "items")
-    spots = items.select("item", "size", "n_windows", "w", F.posexplode(_windows(F.col("w"), F.col("size"))).alias("at", "h"))
+    spots = items.select("item", "seq", "size", "n_windows", "w", F.posexplode(_windows(F.col("w"), F.col("size"))).alias("at", "h"))
     in_window = F.slice("w", F.col("at") + 1, F.col("size"))
     literal = F.size(F.filter(in_window, lambda w: ~w.isin(NUMBER, NAME, UNIT)))
     spots = materialised(spots.filter(literal * window >= F.col("size") * least_literal).withColumn("slots", literal < F.col("size")).drop("w"), "spots")
-    sizes = [r["size"] for r in spots.select("size").distinct().collect()]  # as many as a window has words, at most
+    kinds = [(r["seq"], r["size"]) for r in spots.select("seq", "size").distinct().collect()]  # twice as many as a window has words, at most
     build = F.broadcast(spots) if spots.count() <= small else spots
 
-    worded = rows.select("id", F.xxhash64("text").alias("tkey"), template_words(F.col("text")).alias("words"))
+    worded = {seq: rows.select("id", F.xxhash64("text").alias("tkey"), words(F.col("text")).alias("words")) for seq, words in ((TEMPLATE, template_words), (RAW, raw_words))}
+    columns = ["id", "tkey", "place", "item", "seq", "at", "n_windows", "size", "slots"]
     hits = None
-    for size in sizes:
+    for seq, size in kinds:
         runs = F.when(F.size("words") >= size, _windows(F.col("words"), F.lit(size)))  # a filter would make the words twice
-        exploded = worded.select("id", "tkey", F.posexplode(runs).alias("place", "hash"))
-        found = exploded.join(build.filter(F.col("size") == size), F.col("hash") == F.col("h")).select("id", "tkey", "place", "item", "at", "n_windows", "size", "slots")
+        exploded = worded[seq].select("id", "tkey", F.posexplode(runs).alias("place", "hash"))
+        found = exploded.join(build.filter((F.col("seq") == seq) & (F.col("size") == size)), F.col("hash") == F.col("h")).select(*columns)
         hits = found if hits is None else hits.union(found)
     if hits is None:
-        hits = worded.limit(0).join(spots).select("id", "tkey", F.lit(0).alias("place"), "item", "at", "n_windows", "size", "slots")
-    pair = ["id", "tkey", "item", "shift"]
+        hits = worded[RAW].limit(0).join(spots).select(*[F.lit(0).alias(c) if c == "place" else c for c in columns])
+    pair = ["id", "tkey", "item", "seq", "shift"]
     hits = hits.withColumn("shift", F.col("place") - F.col("at"))
     # Per alignment the item's windows are a set of at most its length; repeated rows of a document give the same set.
     aligned = materialised(hits.groupBy(*pair, "n_windows", "size").agg(F.collect_set("at").alias("ats"), F.max("slots").alias("slots")), "alignments")
@@ -87,7 +90,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_w
     # Slots: only alignments that have any go back to the texts.
     slotted = aligned.filter("slots")
     places = (slotted.select(*pair, "size", F.explode("ats").alias("at")).select(*pair, F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("p")).distinct())
-    theirs = items.select(F.col("item").alias("_item"), F.posexplode(F.arrays_zip("w", "raw")).alias("_p", "v")).filter(F.col("v.w").isin(NUMBER, NAME, UNIT))
+    theirs = items.filter(F.col("seq") == TEMPLATE).select(F.col("item").alias("_item"), F.posexplode(F.arrays_zip("w", "raw")).alias("_p", "v")).filter(F.col("v.w").isin(NUMBER, NAME, UNIT))
     places = places.join(theirs, (F.col("item") == F.col("_item")) & (F.col("p") == F.col("_p"))).select(*pair, "p", F.col("v.w").alias("kind"), F.col("v.raw").alias("theirs"))
     wanted = places.groupBy("id", "tkey").agg(F.collect_set(F.col("p") + F.col("shift")).alias("at")).withColumnRenamed("id", "_id").withColumnRenamed("tkey", "_tkey")
     texts = rows.withColumn("tkey", F.xxhash64("text")).join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey"))).select("id", "tkey", "at", "text")
@@ -96,18 +99,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_w
     seen = places.join(ours, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey")) & (F.col("p") + F.col("shift") == F.col("i")))
     agree = (seen.groupBy(*pair, "kind", "theirs").agg(F.min("ours").alias("low"), F.max("ours").alias("high"), F.count(F.lit(1)).alias("n"))
              .groupBy(*pair).agg(F.min(F.col("low") == F.col("high")).alias("agree"), F.min((F.col("low") == F.col("theirs")) & (F.col("high") == F.col("theirs"))).alias("same"), F.sum("n").alias("n_slots")))
-    agree = agree.select(F.col("id").alias("_id"), F.col("tkey").alias("_tkey"), F.col("item").alias("_item"), F.col("shift").alias("_shift"), "agree", "same", "n_slots")
-    kept = (aligned.join(agree, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey")) & (F.col("item") == F.col("_item")) & (F.col("shift") == F.col("_shift")), "left")
+    agree = agree.select(F.col("id").alias("_id"), F.col("tkey").alias("_tkey"), F.col("item").alias("_item"), F.col("seq").alias("_seq"), F.col("shift").alias("_shift"), "agree", "same", "n_slots")
+    kept = (aligned.join(agree, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey")) & (F.col("item") == F.col("_item")) & (F.col("seq") == F.col("_seq")) & (F.col("shift") == F.col("_shift")), "left")
             .filter(F.coalesce("agree", F.lit(True))))
     # Runs of consecutive windows inside an alignment: the place minus its rank is the same along a run.
     runs = F.aggregate(F.array_sort("ats"), F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")),
                        lambda s, a: F.struct(a.alias("last"), F.when(a == s["last"] + 1, s["run"] + 1).otherwise(F.lit(1)).alias("run"),
                                              F.greatest(s["best"], F.when(a == s["last"] + 1, s["run"] + 1).otherwise(F.lit(1))).alias("best")), lambda s: s["best"])
     kept = kept.withColumn("run", runs)
-    result = (kept.groupBy("id", "tkey", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("n_matched"), F.max("run").alias("run"),
+    result = (kept.groupBy("id", "tkey", "item", "seq", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("n_matched"), F.max("run").alias("run"),
                                                                   F.sum(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.min(F.coalesce("same", F.lit(True))).alias("exact"))
               .filter((F.col("run") >= least_windows) | (F.col("n_matched") >= least_share * F.col("n_windows"))))
-    return result.select(F.col("id").alias("doc_id"), "tkey", F.col("item").alias("item_id"), "n_windows", F.col("n_matched").cast("long").alias("n_matched"), "n_slots", "exact")
+    # Raw words and template may both tell; the better covered one gives the counts.
+    best = F.struct(F.col("n_matched") / F.col("n_windows"), "n_matched", "n_windows")
+    result = result.groupBy("id", "tkey", "item").agg(F.max(best).alias("best"), F.max("n_slots").alias("n_slots"), F.min("exact").alias("exact"))
+    return result.select(F.col("id").alias("doc_id"), "tkey", F.col("item").alias("item_id"), "best.n_windows", F.col("best.n_matched").cast("long").alias("n_matched"), "n_slots", "exact")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

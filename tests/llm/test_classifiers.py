@@ -129,6 +129,19 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs, bench.limit(0)).collect() == []
 
 
+def matches(spark, items, texts):
+    """The items found in each text, by the text's place."""
+    docs = edge_docs(spark, [(i, f"{prose(90 + i, 20)}. {t}. {prose(60 + i, 20)}", "en", "a", 0) for i, t in enumerate(texts)])
+    got = decontamination.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    return [{r.item_id for r in got if r.doc_id == i} for i in range(len(texts))]
+
+
+def test_items_of_numbers_or_names_alone(spark):
+    items = ["Compute 15 + 27 + 33 + 41 + 58 + 62", "We saw France, Spain, Italy, Greece, Malta, Cyprus, Poland, Latvia, Estonia, Finland, Sweden and Norway on the old map in June",
+             "12 14 19 23 37 41 58 63 71 88 94"]
+    assert matches(spark, items, [*items, "Compute 16 + 28 + 34 + 42 + 59 + 63"]) == [{0}, {1}, {2}, set()]
+
+
 def test_plain_passages_by_brute_force(spark, sf):
     """Every document that holds 13 consecutive words of an item, by plain sets of word windows, is found."""
     cut = lambda t: re.sub(r"[^\w\s]|_", "", (t or "").lower()).split()

@@ -1,8 +1,9 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
-Texts are brought to templates: numbers, names and units become typed placeholders. Windows of words of the
-benchmark's templates are joined by hash with those of the documents, so a question is found again after its
-numbers, names and units were replaced. Then the slots are compared: along one alignment, equal values of the
+Texts are brought to templates: numbers and units become typed placeholders, and so does, at each of its places, every word
+that an item has as a name anywhere. Windows of words of the benchmark's templates are joined by hash with those of the documents,
+at the places of names whatever the documents have there, so a question is found again after its numbers, names and units
+were replaced, in any case and spacing. Then the slots are compared: along one alignment, equal values of the
 item must stand against equal values of the document - the same person or quantity all the way through.
 """
 
@@ -17,6 +18,7 @@ from lakeops.session import materialised
 # The placeholders (private-use characters, so that no text has them), number words, units of measure.
 NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
 RAW, TEMPLATE = "raw", "template"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
                 "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million dozen")
 UNITS = ("mm cm m km mg g kg lb lbs oz ml l inch inches foot feet yard yards mile miles meter meters metre metres gram grams liter liters litre litres "
@@ -26,17 +28,23 @@ LETTER = r"[\p{L}\p{N}]"
 
 def _cut(text: Column) -> Column:
     """Words: what is left between white space without all but letters, digits and placeholders. No words: one empty word."""
-    plain = F.regexp_replace(text, r"[^\p{L}\p{N}" + f"{NUMBER}-{UNIT}" + r"\s]+", "")
-    return F.split(F.btrim(plain, F.lit(" \t\n\x0b\f\r")), r"\s+")
+    plain = F.regexp_replace(text, r"[^\p{L}\p{N}" + f"{NUMBER}-{UNIT}" + r"\s\p{Z}]+", "")
+    return F.split(F.btrim(plain, F.lit(SPACES)), r"[\s\p{Z}]+")
 
 
 def template_words(text: Column) -> Column:
-    """The words of a text's template. Names are capital words inside a sentence; case and punctuation go."""
-    named = F.regexp_replace(text, rf"(?<=[\p{{Ll}}\p{{N}},;]\s)\p{{Lu}}\p{{L}}*(?!{LETTER})", NAME)
-    numbers = F.regexp_replace(F.lower(named), rf"(?<!{LETTER})[$€£]?\p{{N}}+(?:[.,]\p{{N}}+)*%?(?!{LETTER})", NUMBER)
+    """The words of a text with numbers and units as placeholders, whatever their case; names are up to the benchmark's items."""
+    numbers = F.regexp_replace(F.lower(text), rf"(?<!{LETTER})[$€£]?\p{{N}}+(?:[.,]\p{{N}}+)*%?(?!{LETTER})", NUMBER)
     return F.transform(_cut(numbers), lambda w: F.when(w.isin(*NUMBER_WORDS.split()), NUMBER).when(w.isin(*UNITS.split()), UNIT).otherwise(w))
 
 
+def names(text: Column) -> Column:
+    """The words, in lower case, that a text has as names somewhere: capital words inside a sentence."""
+    plain = F.regexp_replace(text, r"[\s\p{Z}]+", " ")
+    found = F.regexp_extract_all(plain, F.lit(rf"(?<=[\p{{Ll}}\p{{N}},;] )\p{{Lu}}\p{{L}}*(?:['’]\p{{L}}+)*(?!{LETTER})"), F.lit(0))
+    return F.transform(found, lambda w: F.regexp_replace(F.lower(w), "['’]", ""))
+
+
 def raw_words(text: Column) -> Column:
     """The words themselves, place by place those of ``template_words``."""
     return _cut(F.lower(text))
@@ -47,6 +55,11 @@ def _windows(words: Column, size: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(F.slice(words, i + 1, size)))
 
 
+def _left_out(run: Column, size: int, mask: int) -> Column:
+    """The hash of a window whose words at the bits of ``mask`` are names."""
+    return F.xxhash64(*[F.lit(NAME) if mask >> j & 1 else F.get(run, F.lit(j)) for j in range(size)])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_windows: int = 6, least_share: float = 0.5, least_literal: int = 5,
                  small: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and benchmark item of which it holds a passage.
@@ -61,24 +74,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_w
     exact (no slot differs). The benchmark's windows are broadcast only if they are ``small`` or fewer.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    given = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    items = (given.select("item", F.lit(TEMPLATE).alias("seq"), template_words(F.col("text")).alias("w"), raw_words(F.col("text")).alias("raw"))
+    given = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).withColumn("names", names(F.col("text")))
+    items = (given.select("item", F.lit(TEMPLATE).alias("seq"), F.transform(template_words(F.col("text")), lambda w: F.when(F.array_contains("names", w), NAME).otherwise(w)).alias("w"), raw_words(F.col("text")).alias("raw"))
              .union(given.select("item", F.lit(RAW), raw_words(F.col("text")), raw_words(F.col("text")))).filter("size(w) >= 3").dropDuplicates(["item", "seq", "raw"]))
     items = materialised(items.withColumn("size", F.least(F.size("w"), F.lit(window))).withColumn("n_windows", F.size("w") - F.col("size") + 1), "items")
     spots = items.select("item", "seq", "size", "n_windows", "w", F.posexplode(_windows(F.col("w"), F.col("size"))).alias("at", "h"))
     in_window = F.slice("w", F.col("at") + 1, F.col("size"))
     literal = F.size(F.filter(in_window, lambda w: ~w.isin(NUMBER, NAME, UNIT)))
-    spots = materialised(spots.filter(literal * window >= F.col("size") * least_literal).withColumn("slots", literal < F.col("size")).drop("w"), "spots")
-    kinds = [(r["seq"], r["size"]) for r in spots.select("seq", "size").distinct().collect()]  # twice as many as a window has words, at most
+    mask = F.aggregate(F.transform(in_window, lambda w, j: F.when(w == NAME, F.pow(F.lit(2), j)).otherwise(F.lit(0.0))), F.lit(0.0), lambda m, v: m + v).cast("int")
+    spots = materialised(spots.filter(literal * window >= F.col("size") * least_literal).withColumn("slots", literal < F.col("size")).withColumn("mask", mask).drop("w"), "spots")
+    # Sequences, sizes and placements of names that windows have: at most 93 placements for each size, by least_literal.
+    kinds = spots.groupBy("seq", "size", F.expr("mask > 0").alias("named")).agg(F.sort_array(F.collect_set("mask")).alias("masks")).collect()
     build = F.broadcast(spots) if spots.count() <= small else spots
 
     worded = {seq: rows.select("id", F.xxhash64("text").alias("tkey"), words(F.col("text")).alias("words")) for seq, words in ((TEMPLATE, template_words), (RAW, raw_words))}
     columns = ["id", "tkey", "place", "item", "seq", "at", "n_windows", "size", "slots"]
     hits = None
-    for seq, size in kinds:
-        runs = F.when(F.size("words") >= size, _windows(F.col("words"), F.lit(size)))  # a filter would make the words twice
-        exploded = worded[seq].select("id", "tkey", F.posexplode(runs).alias("place", "hash"))
-        found = exploded.join(build.filter((F.col("seq") == seq) & (F.col("size") == size)), F.col("hash") == F.col("h")).select(*columns)
+    for seq, size, named, masks in kinds:
+        if named:  # the document's words at the places of names may be any, so each placement is tried
+            runs = F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.slice("words", i, size))
+            exploded = worded[seq].select("id", "tkey", F.posexplode(F.when(F.size("words") >= size, runs)).alias("place", "run"))
+            exploded = exploded.select("id", "tkey", "place", F.explode(F.array(*[_left_out(F.col("run"), size, m) for m in masks])).alias("hash"))
+        else:
+            runs = F.when(F.size("words") >= size, _windows(F.col("words"), F.lit(size)))  # a filter would make the words twice
+            exploded = worded[seq].select("id", "tkey", F.posexplode(runs).alias("place", "hash"))
+        wanted = build.filter((F.col("seq") == seq) & (F.col("size") == size) & ((F.col("mask") > 0) == named))
+        found = exploded.join(wanted, F.col("hash") == F.col("h")).select(*columns)
         hits = found if hits is None else hits.union(found)
     if hits is None:
         hits = worded[RAW].limit(0).join(spots).select(*[F.lit(0).alias(c) if c == "place" else c for c in columns])

@@ -142,6 +142,15 @@ def test_items_of_numbers_or_names_alone(spark):
     assert matches(spark, items, [*items, "Compute 16 + 28 + 34 + 42 + 59 + 63"]) == [{0}, {1}, {2}, set()]
 
 
+def test_names_whatever_their_case_spacing_and_place(spark):
+    item = "Tom buys six red apples at the market and Mary counts them twice. Tom then sells four of these to his aunt, and after lunch Tom walks home with Mary"
+    new = swap(item, Tom="Ann", Mary="Bob")
+    loose = [text.replace(" ", sep) for text in (item, new) for sep in ("  ", "\r\n", "\u00a0")]
+    assert matches(spark, [item], [item, item.lower(), item.upper(), new, new.lower(), new.upper(), *loose]) == [{0}] * 12
+    first = "Tom buys red apples at the big market today. Tom then sells these to his old aunt. Later on she thanks Tom"
+    assert matches(spark, [first], [swap(first, Tom="Ann"), swap(first, Tom="Ann").lower(), swap(first, apples="plums", aunt="uncle", market="shop", thanks="asks", today="now")]) == [{0}, {0}, set()]
+
+
 def test_plain_passages_by_brute_force(spark, sf):
     """Every document that holds 13 consecutive words of an item, by plain sets of word windows, is found."""
     cut = lambda t: re.sub(r"[^\w\s]|_", "", (t or "").lower()).split()

@@ -3,13 +3,13 @@
 Texts are brought to templates: numbers and units become typed placeholders, and so does, at each of its places, every word
 that an item has as a name anywhere. Windows of words of the benchmark's templates are joined by hash with those of the documents,
 at the places of names whatever the documents have there, so a question is found again after its numbers, names and units
-were replaced, in any case and spacing. Then the slots are compared: along one alignment, equal values of the
-item must stand against equal values of the document - the same person or quantity all the way through.
+were replaced, in any case and spacing. Then the slots are compared: along one run of windows, a name of the item must stand against one
+name of the document - the same person all the way through. Windows whose words are the item's own need no such test.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeops.llm.common import matching
@@ -17,7 +17,8 @@ from lakeops.session import materialised
 
 # The placeholders (private-use characters, so that no text has them), number words, units of measure.
 NUMBER, NAME, UNIT = "\ue001", "\ue002", "\ue003"
-RAW, TEMPLATE = "raw", "template"
+# Sequences of words: as they are; as a template; as a template with neighbouring names as one.
+RAW, TEMPLATE, JOINED = "raw", "template", "joined"
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 NUMBER_WORDS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
                 "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million dozen")
@@ -32,12 +33,32 @@ def _cut(text: Column) -> Column:
     return F.split(F.btrim(plain, F.lit(SPACES)), r"[\s\p{Z}]+")
 
 
-def template_words(text: Column) -> Column:
+def _apart(text: Column) -> Column:
+    """The text with hyphens and slashes as spaces, and one between a number and its unit."""
+    return F.regexp_replace(text, rf"(?<={LETTER})[-‐‑–—/](?={LETTER})|(?<=\p{{N}})(?=(?i:{'|'.join(UNITS.split())})(?!{LETTER}))", " ")
+
+
+def _together(text: Column) -> Column:
+    """The text with neighbouring names inside a sentence as one word."""
+    return F.regexp_replace(text, r"[\s\p{Z}]+(?=\p{Lu})(?<=[\p{Ll}\p{N},;][\s\p{Z}]{1,3}\p{Lu}[\p{L}'’]{0,40}[\s\p{Z}]{1,3})", "")
+
+
+def typed_words(text: Column) -> Column:
     """The words of a text with numbers and units as placeholders, whatever their case; names are up to the benchmark's items."""
     numbers = F.regexp_replace(F.lower(text), rf"(?<!{LETTER})[$€£]?\p{{N}}+(?:[.,]\p{{N}}+)*%?(?!{LETTER})", NUMBER)
     return F.transform(_cut(numbers), lambda w: F.when(w.isin(*NUMBER_WORDS.split()), NUMBER).when(w.isin(*UNITS.split()), UNIT).otherwise(w))
 
 
+def _collapsed(df: DataFrame, kind: str, words: str = "w", raw: str | None = "raw") -> DataFrame:
+    """Neighbouring placeholders of one kind as one; its raw word is theirs, written together."""
+    if raw is None:
+        return df.withColumn(words, F.filter(words, lambda w, i: (w != kind) | (i == 0) | (F.get(words, i - 1) != kind)))
+    heads = df.withColumn("_head", F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: (i == 0) | (F.get(words, i) != kind) | (F.get(words, i - 1) != kind)))
+    after = lambda k: F.coalesce(F.get("_head", k + 1), F.size(words))
+    heads = heads.withColumn(raw, F.transform("_head", lambda i, k: F.array_join(F.slice(raw, i + 1, after(k) - i), "")))
+    return heads.withColumn(words, F.transform("_head", lambda i: F.get(words, i))).drop("_head")
+
+
 def names(text: Column) -> Column:
     """The words, in lower case, that a text has as names somewhere: capital words inside a sentence."""
     plain = F.regexp_replace(text, r"[\s\p{Z}]+", " ")
@@ -46,7 +67,7 @@ def names(text: Column) -> Column:
 
 
 def raw_words(text: Column) -> Column:
-    """The words themselves, place by place those of ``template_words``."""
+    """The words themselves, place by place those of ``typed_words``."""
     return _cut(F.lower(text))
 
 
@@ -64,7 +85,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_w
                  small: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and benchmark item of which it holds a passage.
 
-    A pair is reported if, over the alignments whose slots agree, ``least_windows`` consecutive windows (13 words) or
+    A pair is reported if, over the runs whose names agree, ``least_windows`` consecutive windows (13 words) or
     ``least_share`` of the item's windows are found. Windows of the raw words always count. A window of the
     template, whose slots may have changed, counts if ``least_literal`` of its words are no placeholders. Items shorter than a
     window are one window of all their words, of which in a template the same share must be no placeholders; items of fewer than three words are no evidence and match nothing. NULL texts have no words; NULL ids are kept as they are; a repeated
@@ -74,23 +95,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_w
     exact (no slot differs). The benchmark's windows are broadcast only if they are ``small`` or fewer.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    given = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).withColumn("names", names(F.col("text")))
-    items = (given.select("item", F.lit(TEMPLATE).alias("seq"), F.transform(template_words(F.col("text")), lambda w: F.when(F.array_contains("names", w), NAME).otherwise(w)).alias("w"), raw_words(F.col("text")).alias("raw"))
-             .union(given.select("item", F.lit(RAW), raw_words(F.col("text")), raw_words(F.col("text")))).filter("size(w) >= 3").dropDuplicates(["item", "seq", "raw"]))
+    given = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    apart = given.select("item", _apart(F.col("text")).alias("text")).withColumn("names", names(F.col("text")))
+    typed = materialised(apart.select("item", F.lit(TEMPLATE).alias("seq"), F.transform(typed_words(F.col("text")), lambda w: F.when(F.array_contains("names", w), NAME).otherwise(w)).alias("w"),
+                                  raw_words(F.col("text")).alias("raw")), "typed")
+    one = materialised(_collapsed(typed, NUMBER), "one")  # written, as filters on words would make them again for each word
+    joined = materialised(_collapsed(one.withColumn("seq", F.lit(JOINED)).withColumn("_n", F.size("w")), NAME), "joined").filter("size(w) < _n").drop("_n")
+    items = one.union(joined).union(given.select("item", F.lit(RAW), raw_words(F.col("text")), raw_words(F.col("text")))).filter("size(w) >= 3").dropDuplicates(["item", "seq", "raw"])
     items = materialised(items.withColumn("size", F.least(F.size("w"), F.lit(window))).withColumn("n_windows", F.size("w") - F.col("size") + 1), "items")
     spots = items.select("item", "seq", "size", "n_windows", "w", F.posexplode(_windows(F.col("w"), F.col("size"))).alias("at", "h"))
     in_window = F.slice("w", F.col("at") + 1, F.col("size"))
     literal = F.size(F.filter(in_window, lambda w: ~w.isin(NUMBER, NAME, UNIT)))
     mask = F.aggregate(F.transform(in_window, lambda w, j: F.when(w == NAME, F.pow(F.lit(2), j)).otherwise(F.lit(0.0))), F.lit(0.0), lambda m, v: m + v).cast("int")
-    spots = materialised(spots.filter(literal * window >= F.col("size") * least_literal).withColumn("slots", literal < F.col("size")).withColumn("mask", mask).drop("w"), "spots")
+    spots = materialised(spots.filter(literal * window >= F.col("size") * least_literal).withColumn("slots", literal < F.col("size")).withColumn("mask", mask).drop("w").withColumn("rank", F.row_number().over(Window.partitionBy("item", "seq").orderBy("at"))), "spots")
     # Sequences, sizes and placements of names that windows have: at most 93 placements for each size, by least_literal.
-    kinds = spots.groupBy("seq", "size", F.expr("mask > 0").alias("named")).agg(F.sort_array(F.collect_set("mask")).alias("masks")).collect()
+    kinds = spots.groupBy(F.expr(f"seq = '{RAW}'").alias("plain"), "size", F.expr("mask > 0").alias("named")).agg(F.sort_array(F.collect_set("mask")).alias("masks")).collect()
     build = F.broadcast(spots) if spots.count() <= small else spots
 
-    worded = {seq: rows.select("id", F.xxhash64("text").alias("tkey"), words(F.col("text")).alias("words")) for seq, words in ((TEMPLATE, template_words), (RAW, raw_words))}
-    columns = ["id", "tkey", "place", "item", "seq", "at", "n_windows", "size", "slots"]
+    keyed = rows.withColumn("tkey", F.xxhash64("text"))
+    close = keyed.select("id", "tkey", _apart(F.col("text")).alias("text"))
+    pairs = close.withColumn("joined", _together(F.col("text"))).filter(F.col("joined") != F.col("text")).select("id", "tkey", F.col("joined").alias("text"))
+    worded = {RAW: keyed.select("id", "tkey", raw_words(F.col("text")).alias("words"))}
+    for seq, texts in ((TEMPLATE, close), (JOINED, pairs)):
+        worded[seq] = _collapsed(texts.select("id", "tkey", typed_words(F.col("text")).alias("words")), NUMBER, "words", None)
+    columns = ["id", "tkey", "place", "item", "seq", "doc_seq", "at", "rank", "n_windows", "size", "slots"]
     hits = None
-    for seq, size, named, masks in kinds:
+    for seq, (plain, size, named, masks) in [(seq, k) for k in kinds for seq in ((RAW,) if k["plain"] else (TEMPLATE, JOINED))]:
         if named:  # the document's words at the places of names may be any, so each placement is tried
             runs = F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.slice("words", i, size))
             exploded = worded[seq].select("id", "tkey", F.posexplode(F.when(F.size("words") >= size, runs)).alias("place", "run"))
@@ -98,38 +128,49 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_w
         else:
             runs = F.when(F.size("words") >= size, _windows(F.col("words"), F.lit(size)))  # a filter would make the words twice
             exploded = worded[seq].select("id", "tkey", F.posexplode(runs).alias("place", "hash"))
-        wanted = build.filter((F.col("seq") == seq) & (F.col("size") == size) & ((F.col("mask") > 0) == named))
-        found = exploded.join(wanted, F.col("hash") == F.col("h")).select(*columns)
+        wanted = build.filter(((F.col("seq") == RAW) == plain) & (F.col("size") == size) & ((F.col("mask") > 0) == named))
+        found = exploded.join(wanted, F.col("hash") == F.col("h")).withColumn("doc_seq", F.lit(seq)).select(*columns)
         hits = found if hits is None else hits.union(found)
     if hits is None:
-        hits = worded[RAW].limit(0).join(spots).select(*[F.lit(0).alias(c) if c == "place" else c for c in columns])
-    pair = ["id", "tkey", "item", "seq", "shift"]
+        hits = worded[RAW].limit(0).join(spots).withColumn("doc_seq", F.lit(RAW)).select(*[F.lit(0).alias(c) if c == "place" else c for c in columns])
+    pair = ["id", "tkey", "item", "seq", "doc_seq", "shift"]
     hits = hits.withColumn("shift", F.col("place") - F.col("at"))
     # Per alignment the item's windows are a set of at most its length; repeated rows of a document give the same set.
-    aligned = materialised(hits.groupBy(*pair, "n_windows", "size").agg(F.collect_set("at").alias("ats"), F.max("slots").alias("slots")), "alignments")
-
-    # Slots: only alignments that have any go back to the texts.
-    slotted = aligned.filter("slots")
-    places = (slotted.select(*pair, "size", F.explode("ats").alias("at")).select(*pair, F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("p")).distinct())
-    theirs = items.filter(F.col("seq") == TEMPLATE).select(F.col("item").alias("_item"), F.posexplode(F.arrays_zip("w", "raw")).alias("_p", "v")).filter(F.col("v.w").isin(NUMBER, NAME, UNIT))
-    places = places.join(theirs, (F.col("item") == F.col("_item")) & (F.col("p") == F.col("_p"))).select(*pair, "p", F.col("v.w").alias("kind"), F.col("v.raw").alias("theirs"))
-    wanted = places.groupBy("id", "tkey").agg(F.collect_set(F.col("p") + F.col("shift")).alias("at")).withColumnRenamed("id", "_id").withColumnRenamed("tkey", "_tkey")
-    texts = rows.withColumn("tkey", F.xxhash64("text")).join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey"))).select("id", "tkey", "at", "text")
-    ours = (texts.withColumn("raw", raw_words(F.col("text"))).select("id", "tkey", F.explode(F.transform("at", lambda i: F.struct(i.alias("i"), F.get("raw", i).alias("ours")))).alias("v"))
-            .select(F.col("id").alias("_id"), F.col("tkey").alias("_tkey"), F.col("v.i").alias("i"), F.col("v.ours").alias("ours")).distinct())
-    seen = places.join(ours, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey")) & (F.col("p") + F.col("shift") == F.col("i")))
-    agree = (seen.groupBy(*pair, "kind", "theirs").agg(F.min("ours").alias("low"), F.max("ours").alias("high"), F.count(F.lit(1)).alias("n"))
-             .groupBy(*pair).agg(F.min(F.col("low") == F.col("high")).alias("agree"), F.min((F.col("low") == F.col("theirs")) & (F.col("high") == F.col("theirs"))).alias("same"), F.sum("n").alias("n_slots")))
-    agree = agree.select(F.col("id").alias("_id"), F.col("tkey").alias("_tkey"), F.col("item").alias("_item"), F.col("seq").alias("_seq"), F.col("shift").alias("_shift"), "agree", "same", "n_slots")
-    kept = (aligned.join(agree, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey")) & (F.col("item") == F.col("_item")) & (F.col("seq") == F.col("_seq")) & (F.col("shift") == F.col("_shift")), "left")
-            .filter(F.coalesce("agree", F.lit(True))))
+    aligned = materialised(hits.groupBy(*pair, "n_windows", "size").agg(F.array_sort(F.collect_set(F.struct("at", "rank"))).alias("ats"), F.max("slots").alias("slots")), "alignments")
+
+    # Slots: only alignments that have any go back to the texts. Each run of windows is judged by itself; those that do not count break none.
+    slotted = aligned.filter("slots").drop("slots")
+    starts = F.filter("ats", lambda a, i: (i == 0) | (F.get("ats", i - 1)["rank"] != a["rank"] - 1))
+    ends = F.filter("ats", lambda a, i: (i == F.size("ats") - 1) | (F.get("ats", i + 1)["rank"] != a["rank"] + 1))
+    slotted = slotted.withColumn("run", F.explode(F.zip_with(starts, ends, lambda a, b: F.struct(a["at"].alias("first"), b["at"].alias("last")))))
+    inside = F.filter(F.transform("ats", lambda a: a["at"]), lambda a: (a >= F.col("run.first")) & (a <= F.col("run.last")))
+    slotted = slotted.select(*pair, "n_windows", "size", "run.first", "run.last", inside.alias("ats"))
+    theirs = items.select(F.col("item").alias("_item"), F.col("seq").alias("_seq"), "w", F.col("raw").alias("theirs"))
+    slotted = slotted.join(theirs, F.col("item").eqNullSafe(F.col("_item")) & (F.col("seq") == F.col("_seq"))).drop("_item", "_seq")
+    needed = slotted.select(F.col("id").alias("_id"), F.col("tkey").alias("_tkey"), F.col("doc_seq").alias("_doc_seq")).distinct()
+    texts = keyed.join(needed, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey"))).dropDuplicates(["_id", "_tkey", "_doc_seq"]).withColumn("text", _apart(F.col("text")))
+    texts = texts.withColumn("text", F.when(F.col("_doc_seq") == JOINED, _together(F.col("text"))).otherwise(F.col("text")))
+    ours = _collapsed(texts.select("_id", "_tkey", "_doc_seq", typed_words(F.col("text")).alias("_w"), raw_words(F.col("text")).alias("ours")), NUMBER, "_w", "ours").drop("_w")
+    seen = slotted.join(ours, F.col("id").eqNullSafe(F.col("_id")) & (F.col("tkey") == F.col("_tkey")) & (F.col("doc_seq") == F.col("_doc_seq")))
+    places = F.filter(F.sequence("first", F.col("last") + F.col("size") - 1), lambda p: F.get("w", p).isin(NUMBER, NAME, UNIT))
+    seen = seen.withColumn("places", F.transform(places, lambda p: F.struct(p.alias("p"), F.get("w", p).alias("kind"), F.get("theirs", p).alias("theirs"), F.get("ours", p + F.col("shift").cast("int")).alias("ours"))))
+    # The same person all the way through; equal numbers may be of different things. Windows whose words are the item's own need no test.
+    people = F.filter("places", lambda v: v["kind"] == NAME)
+    agree = F.size(F.array_distinct(F.transform(people, lambda v: v["theirs"]))) == F.size(F.array_distinct(F.transform(people, lambda v: F.struct(v["theirs"], v["ours"]))))
+    changed = F.transform(F.filter("places", lambda v: ~v["theirs"].eqNullSafe(v["ours"])), lambda v: v["p"])
+    seen = seen.withColumn("agree", agree).withColumn("changed", changed)
+    same = F.filter("ats", lambda a: ~F.exists("changed", lambda p: (p >= a) & (p < a + F.col("size"))))
+    seen = seen.withColumn("ats", F.when(F.col("agree"), F.col("ats")).otherwise(same)).filter("size(ats) > 0")
+    compared = F.when(F.col("agree"), F.size("places")).otherwise(F.size(F.filter("places", lambda v: F.exists("ats", lambda a: (v["p"] >= a) & (v["p"] < a + F.col("size"))))))
+    seen = seen.select(*pair, "n_windows", "ats", compared.alias("n_slots"), (~F.col("agree") | (F.size("changed") == 0)).alias("same"))
+    kept = aligned.filter("not slots").select(*pair, "n_windows", F.transform("ats", lambda a: a["at"]).alias("ats"), F.lit(0).alias("n_slots"), F.lit(True).alias("same")).union(seen)
     # Runs of consecutive windows inside an alignment: the place minus its rank is the same along a run.
-    runs = F.aggregate(F.array_sort("ats"), F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")),
+    runs = F.aggregate("ats", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best")),
                        lambda s, a: F.struct(a.alias("last"), F.when(a == s["last"] + 1, s["run"] + 1).otherwise(F.lit(1)).alias("run"),
                                              F.greatest(s["best"], F.when(a == s["last"] + 1, s["run"] + 1).otherwise(F.lit(1))).alias("best")), lambda s: s["best"])
     kept = kept.withColumn("run", runs)
-    result = (kept.groupBy("id", "tkey", "item", "seq", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("n_matched"), F.max("run").alias("run"),
-                                                                  F.sum(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.min(F.coalesce("same", F.lit(True))).alias("exact"))
+    result = (kept.groupBy("id", "tkey", "item", "seq", "doc_seq", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("ats")))).alias("n_matched"), F.max("run").alias("run"),
+                                                                  F.sum("n_slots").alias("n_slots"), F.min("same").alias("exact"))
               .filter((F.col("run") >= least_windows) | (F.col("n_matched") >= least_share * F.col("n_windows"))))
     # Raw words and template may both tell; the better covered one gives the counts.
     best = F.struct(F.col("n_matched") / F.col("n_windows"), "n_matched", "n_windows")

@@ -151,6 +151,19 @@ def test_names_whatever_their_case_spacing_and_place(spark):
     assert matches(spark, [first], [swap(first, Tom="Ann"), swap(first, Tom="Ann").lower(), swap(first, apples="plums", aunt="uncle", market="shop", thanks="asks", today="now")]) == [{0}, {0}, set()]
 
 
+def test_slots_by_run(spark):
+    item = ("On Monday the teacher asked John to read twenty-five pages of the book, and John read 2 pages before 2 friends came along. After they left again he ran 5km "
+            "through the park with his dog, then ate a large bowl of soup and slept until John was called for dinner by his mother")
+    edited = item.replace("John", "Jack", 1)  # one occurrence of three
+    shared = item.replace("2 pages", "4 pages").replace("2 friends", "9 friends").replace("John", "Mary Ann")
+    units = item.replace("twenty-five", "25").replace("5km", "7 km").replace("John", "Eve")
+    assert matches(spark, [item], [edited, shared, units]) == [{0}] * 3
+    short = "we gave the clerk twenty-five old coins and walked 5km home"
+    assert matches(spark, [short], ["we gave the clerk 31 old coins and walked 7 km home"]) == [{0}]
+    pair = "this morning the old baker and Mary Ann went to see the new shop"
+    assert matches(spark, [pair], [pair.replace("Mary Ann", "Tom"), pair.replace("Mary Ann", "Eva Lee").lower()]) == [{0}, {0}]
+
+
 def test_plain_passages_by_brute_force(spark, sf):
     """Every document that holds 13 consecutive words of an item, by plain sets of word windows, is found."""
     cut = lambda t: re.sub(r"[^\w\s]|_", "", (t or "").lower()).split()

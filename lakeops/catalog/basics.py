@@ -453,12 +453,9 @@ def topn_per_group(t: Tables):
   CAST(ntile(4) OVER (PARTITION BY l_suppkey ORDER BY l_quantity, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS INTEGER) AS quartile
   FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity)""")
 def rank_ties(t: Tables):
-    by = sliced.value_slice("l_quantity", 10)
     li = t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey", "l_extendedprice")
-    ranked = sliced.ranks(li, ["l_suppkey"], ["l_quantity"], by, rank="rk", dense_rank="drk")
-    tied = sliced.ranks(ranked, ["l_suppkey"],
-                        ["l_quantity", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], by,
-                        row_number="rn", size="n")
+    tied = sliced.tied_ranks(li, ["l_suppkey"], ["l_quantity"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"],
+                             row_number="rn", rank="rk", dense_rank="drk", size="n")
     return tied.select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "rk", "drk",
                        F.round((F.col("rk") - 1) / F.greatest(F.col("n") - 1, F.lit(1)), 8).alias("pct"),
                        sliced.ntile(F.col("rn"), F.col("n"), 4).alias("quartile"))

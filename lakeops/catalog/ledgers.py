@@ -136,13 +136,22 @@ def cdc_merge_partitions(t: Tables):
     max(l_shipdate) FILTER (op <> 'd') AS l_shipdate, bool_or(op = 'd' AND yr > y0) AS is_deleted
   FROM s JOIN born b ON s.l_orderkey=b.l_orderkey AND s.l_linenumber=b.l_linenumber GROUP BY ALL""")
 def cdc_yearly_slices(t: Tables):
-    """Collapse and merge year after year, each on the state before."""
+    """Collapse and merge year after year, each on the state before, in one pass over the log."""
     log = change_log(t).withColumn("yr", F.year("l_shipdate"))
-    span = log.agg(F.min("yr").alias("a"), F.max("yr").alias("b")).first()
-    empty = log.drop("yr", "op").withColumn("is_deleted", F.lit(False)).where("false")
-    state = cdc.run_slices(empty, range(span["a"], span["b"] + 1), lambda y: log.where(F.col("yr") == y).drop("yr"),
-                           KEYS, ORDER, version="l_shipdate", checkpoint_every=4)
-    return state.select(*KEYS, "l_quantity", "l_shipdate", "is_deleted")
+    return cdc.fold_slices(log, KEYS, "yr", ORDER, version="l_shipdate").select(*KEYS, "l_quantity", "l_shipdate", "is_deleted")
+
+
+@query(f"""WITH {LOG}, y AS (SELECT *, CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) AS arrived FROM log),
+  z AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, arrived ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM y),
+  s AS (SELECT * FROM z WHERE rn = 1), born AS (SELECT l_orderkey, l_linenumber, min(arrived) AS d0 FROM s WHERE op <> 'd' GROUP BY ALL),
+  u AS (SELECT s.*, d0, row_number() OVER (PARTITION BY s.l_orderkey, s.l_linenumber, op <> 'd' ORDER BY l_shipdate DESC, arrived) AS place
+    FROM s JOIN born b ON s.l_orderkey = b.l_orderkey AND s.l_linenumber = b.l_linenumber WHERE arrived >= d0)
+  SELECT l_orderkey, l_linenumber, max(l_quantity) FILTER (op <> 'd' AND place = 1) AS l_quantity, max(l_shipdate) FILTER (op <> 'd' AND place = 1) AS l_shipdate,
+    bool_or(op = 'd' AND arrived > d0) AS is_deleted FROM u GROUP BY ALL""")
+def cdc_arrival_days(t: Tables):
+    """Day by day as changes arrive: an older change that comes late is not taken, a late delete is."""
+    log = change_log(t).withColumn("arrived", F.date_add(F.to_date("l_shipdate"), F.col("l_quantity").cast("int")))
+    return cdc.fold_slices(log, KEYS, "arrived", ORDER, version="l_shipdate").select(*KEYS, "l_quantity", "l_shipdate", "is_deleted")
 
 
 @query("""SELECT event_id, CAST(to_json({'user_id': user_id, 'value': value}) AS VARCHAR) AS image,

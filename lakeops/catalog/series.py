@@ -134,6 +134,13 @@ def range_join_plain(t: Tables):
                             "effective_end").select("l_orderkey", "l_linenumber", "l_partkey", "price", "effective_start")
 
 
+@query(RANGE)
+def range_join_search(t: Tables):
+    """The prices of a part as one sorted array, searched for every point."""
+    got = joins.range_join_search(_points(t), _prices(t), ["l_partkey"], "l_shipdate", "effective_start", "effective_end", ["price"])
+    return got.select("l_orderkey", "l_linenumber", "l_partkey", "price", "effective_start")
+
+
 @query(RANGE)
 def range_join_grid(t: Tables):
     got = joins.range_join_grid(_points(t), _prices(t), ["l_partkey"], "l_shipdate", "effective_start",
@@ -322,13 +329,13 @@ def long_to_wide(t: Tables):
     return wide.withColumn("filled", filled)
 
 
-@query(f"""WITH {RESAMPLED}, an AS (SELECT user_id, max(ts) AS anchor_ts FROM events WHERE event_type = 'error' GROUP BY 1),
+@query(f"""WITH {RESAMPLED}, an AS (SELECT DISTINCT user_id, ts AS anchor_ts FROM events WHERE event_type = 'error'),
   n AS (SELECT rs.user_id, anchor_ts, (CAST(floor(epoch(anchor_ts)) AS BIGINT) - CAST(floor(epoch(bucket)) AS BIGINT)) / 3600.0 AS lead, CASE WHEN final > 60 THEN 'high' WHEN final < 20 THEN 'low' END AS sig
     FROM rs JOIN an ON rs.user_id = an.user_id WHERE bucket <= anchor_ts AND CAST(floor(epoch(bucket)) AS BIGINT) >= CAST(floor(epoch(anchor_ts)) AS BIGINT) - 48 * 3600)
   SELECT user_id, anchor_ts, round(max(lead), 6) AS earliest_lead_h, arg_max(sig, lead) AS first_signal, count(*) AS breach_hours FROM n WHERE sig IS NOT NULL GROUP BY 1, 2""")
 def deterioration(t: Tables):
     hourly = temporal.resample(t.events, ["user_id"], "ts", "value", 4 * 3600)
-    anchors = t.events.where("event_type = 'error'").groupBy("user_id").agg(F.max("ts").alias("anchor_ts"))
+    anchors = t.events.where("event_type = 'error'").select("user_id", F.col("ts").alias("anchor_ts"))
     got = temporal.lead_features(hourly, anchors, "user_id", "bucket", "anchor_ts", 48,
                                  {"high": F.col("final") > 60, "low": F.col("final") < 20})
     return got.withColumn("earliest_lead_h", F.round("earliest_lead_h", 6))

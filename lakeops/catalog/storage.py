@@ -8,14 +8,14 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeops.catalog.registry import Tables, query
 from lakeops.functions.columns import money
 from lakeops.operators import features, joins, layout, quality, versions
 from lakeops.plans import retail
-from lakeops.session import scratch
+from lakeops.session import materialised, scratch
 from lakeops.sources import dialects, tables
 from lakeops.streaming import feeds
 
@@ -490,15 +490,42 @@ def layout_decay(t: Tables):
 
 # ---------------------------------------------------------------- streams
 
-CLOSED = "<= (SELECT make_timestamp(epoch_us(max(ts)) // 1000 * 1000) - INTERVAL 6 HOUR FROM events)"
+@query("""SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, user_id, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE), 2) AS total FROM events
+  GROUP BY 1, 2""")
+def stream_tumbling(t: Tables):
+    got = feeds.run_closed(feeds.read_table_stream(t.spark, t.root, "events"), "ts", lambda s: feeds.tumbling(
+        s, "ts", ["user_id"], "15 minutes", {"n": F.count(F.lit(1)), "total": F.sum(money("value"))}), "tumbling")
+    return got.select("window_start", "user_id", "n", F.round(F.col("total").cast("double"), 2).alias("total"))
 
 
-@query(f"""SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS window_start, user_id, count(*) AS n, round(CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE), 2) AS total FROM events
-  GROUP BY 1, 2 HAVING window_start + INTERVAL 15 MINUTE {CLOSED}""")
-def stream_tumbling(t: Tables):
-    stream = feeds.read_table_stream(t.spark, t.root, "events")
-    got = feeds.tumbling(stream, "ts", ["user_id"], "15 minutes", {"n": F.count(F.lit(1)), "total": F.sum(money("value"))})
-    return feeds.run_to_end(got, "tumbling").select("window_start", "user_id", "n", F.round(F.col("total").cast("double"), 2).alias("total"))
+#: A quarter of the feed's time, 0 to 3, in which an event happened.
+QUARTER = "(epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * 4 // (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) + 1 FROM events)"
+
+
+def _quarters(t: Tables, late: Column) -> list[DataFrame]:
+    """Events in four deliveries by time; those that ``late`` names come one delivery later than their time says."""
+    e = t.events
+    ends = e.agg(F.min(F.unix_micros("ts")).alias("a"), (F.max(F.unix_micros("ts")) + 1).alias("z"))
+    own = F.floor((F.unix_micros("ts") - ends.select("a").scalar()) * 4 / (ends.select("z").scalar() - ends.select("a").scalar()))
+    dealt = e.withColumn("_quarter", F.least(own + F.when(late, 1).otherwise(0), F.lit(3)))
+    dealt = materialised(dealt, "deliveries")
+    return [dealt.where(F.col("_quarter") == i).drop("_quarter") for i in range(4)]
+
+
+@query(f"""WITH d AS (SELECT *, least({QUARTER} + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END, 3) AS quarter, time_bucket(INTERVAL 1 HOUR, ts) AS window_start FROM events),
+  q AS (SELECT quarter, max(ts) AS newest FROM d GROUP BY quarter),
+  w AS (SELECT d.quarter, (SELECT make_timestamp(epoch_us(max(newest)) // 1000 * 1000) - INTERVAL 6 HOUR FROM q WHERE q.quarter < d.quarter) AS mark FROM (SELECT DISTINCT quarter FROM d) d),
+  a AS (SELECT d.*, mark IS NOT NULL AND window_start + INTERVAL 1 HOUR <= mark AS late FROM d JOIN w USING (quarter))
+  SELECT 'window' AS what, window_start, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total FROM a WHERE NOT late GROUP BY window_start
+  UNION ALL SELECT 'dropped', NULL, count(*) FILTER (late), NULL FROM a""")
+def stream_late_rows(t: Tables):
+    """Four deliveries, some rows a delivery late: windows that the watermark has closed do not take them, and they are counted."""
+    got, delivered = feeds.run_arrivals(_quarters(t, F.col("event_id") % 7 == 0), "ts", lambda s: feeds.tumbling(
+        s, "ts", [], "1 hour", {"n": F.count(F.lit(1)), "total": F.sum(money("value"))}), "late-rows")
+    rows = got.select(F.lit("window").alias("what"), "window_start", "n", F.col("total").cast("double").alias("total"))
+    dropped = got.agg((F.lit(delivered) - F.coalesce(F.sum("n"), F.lit(0))).cast("long").alias("n")).select(
+        F.lit("dropped").alias("what"), F.lit(None).cast("timestamp").alias("window_start"), "n", F.lit(None).cast("double").alias("total"))
+    return rows.unionByName(dropped)
 
 
 @query("SELECT event_id, user_id FROM events")
@@ -509,28 +536,33 @@ def stream_dedup(t: Tables):
     return feeds.run_to_end(feeds.without_replays(stream.union(replay), ["event_id"], "ts"), "dedup").select("event_id", "user_id")
 
 
-@query(f"""WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+@query("""WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   s AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
-  SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS events FROM s GROUP BY user_id, no HAVING max(ts) + INTERVAL 30 MINUTE {CLOSED}""")
+  SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS events FROM s GROUP BY user_id, no""")
 def stream_sessions(t: Tables):
-    stream = feeds.read_table_stream(t.spark, t.root, "events")
-    return feeds.run_to_end(feeds.sessions(stream, "user_id", "ts", "30 minutes"), "sessions")
+    return feeds.run_closed(feeds.read_table_stream(t.spark, t.root, "events"), "ts", lambda s: feeds.sessions(s, "user_id", "ts", "30 minutes"), "sessions")
 
 
-@query(f"""WITH x AS (SELECT user_id, CAST(value AS DECIMAL(12,2)) AS v, unnest(generate_series(date_trunc('minute', ts) - INTERVAL 14 MINUTE, date_trunc('minute', ts), INTERVAL 1 MINUTE)) AS window_start FROM events)
-  SELECT window_start, user_id, CAST(sum(v) AS DOUBLE) AS outflow FROM x GROUP BY 1, 2 HAVING window_start + INTERVAL 15 MINUTE {CLOSED}""")
+@query("""WITH x AS (SELECT user_id, CAST(value AS DECIMAL(12,2)) AS v, unnest(generate_series(date_trunc('minute', ts) - INTERVAL 14 MINUTE, date_trunc('minute', ts), INTERVAL 1 MINUTE)) AS window_start FROM events)
+  SELECT window_start, user_id, CAST(sum(v) AS DOUBLE) AS outflow FROM x GROUP BY 1, 2""")
 def stream_sliding(t: Tables):
-    stream = feeds.read_table_stream(t.spark, t.root, "events")
-    got = feeds.tumbling(stream, "ts", ["user_id"], "15 minutes", {"outflow": F.sum(money("value"))}, slide="1 minute")
-    return feeds.run_to_end(got, "sliding").select("window_start", "user_id", F.col("outflow").cast("double").alias("outflow"))
+    got = feeds.run_closed(feeds.read_table_stream(t.spark, t.root, "events"), "ts", lambda s: feeds.tumbling(
+        s, "ts", ["user_id"], "15 minutes", {"outflow": F.sum(money("value"))}, slide="1 minute"), "sliding")
+    return got.select("window_start", "user_id", F.col("outflow").cast("double").alias("outflow"))
 
 
-@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
-  SELECT user_id, value, false AS is_deleted FROM r WHERE rn = 1 AND event_type <> 'error'""")
+@query(f"""WITH q AS (SELECT *, {QUARTER} AS quarter FROM events),
+  s AS (SELECT *, row_number() OVER (PARTITION BY user_id, quarter ORDER BY ts DESC, event_id DESC) AS rn FROM q),
+  b AS (SELECT user_id, min(quarter) AS born FROM s WHERE rn = 1 AND event_type <> 'error' GROUP BY 1)
+  SELECT s.user_id, arg_max(value, quarter) FILTER (event_type <> 'error') AS value, max(ts) FILTER (event_type <> 'error') AS ts,
+    bool_or(event_type = 'error' AND quarter > born) AS is_deleted FROM s JOIN b USING (user_id) WHERE rn = 1 AND quarter >= born GROUP BY 1""")
 def stream_upsert(t: Tables):
-    """Micro-batches of events collapsed to the last per user and merged into a versioned table."""
-    table = versions.VersionedTable(t.spark, scratch(t.spark, "upsert-table"))
+    """Four deliveries of events collapsed to the last per user and merged into partitions; each is delivered twice."""
+    path = scratch(t.spark, "upsert-state")
     op = F.when(F.col("event_type") == "error", "d").otherwise("u")
-    stream = feeds.read_table_stream(t.spark, t.root, "events").select("user_id", "ts", "event_id", "value", op.alias("op"))
-    feeds.run_upserts(stream, feeds.upsert_batches(table, ["user_id"], ["ts", "event_id"], "ts", "op", lambda i: _at(i)))
-    return table.read().select("user_id", "value", "is_deleted")
+    batches = [b.select("user_id", "ts", "event_id", "value", op.alias("op")) for b in _quarters(t, F.lit(False))]
+    apply = feeds.upsert_partitions(path, ["user_id"], ["ts", "event_id"], "ts", "op", buckets=16)
+    feeds.run_deliveries(batches, apply)
+    for i, batch in enumerate(batches):
+        apply(batch, i)  # a restarted feed hands the same batches over again
+    return feeds.read_state(t.spark, path, feeds.state_schema(batches[0].schema, "op")).select("user_id", "value", "ts", "is_deleted")

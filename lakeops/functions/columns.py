@@ -75,3 +75,21 @@ def stable_salt(keys: list[str | Column], buckets: int | Column) -> Column:
     """
     n = F.lit(buckets) if isinstance(buckets, int) else buckets
     return F.pmod(F.xxhash64(*[_col(k) for k in keys], F.spark_partition_id()), n).cast("int")
+
+
+def count_upto(ascending: str | Column, x: Column, inclusive: bool = True, steps: int = 31) -> Column:
+    """How many elements of a sorted array are at most ``x`` (below it, when not ``inclusive``), by binary search.
+
+    ``steps`` halvings serve arrays of up to ``2 ** steps - 1`` elements.
+    """
+    values = _col(ascending)
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1).cast("int")
+        passed = F.get(values, middle) <= x if inclusive else F.get(values, middle) < x
+        going = at["low"] < at["high"]
+        return F.struct(F.when(going & passed, middle + 1).otherwise(at["low"]).alias("low"),
+                        F.when(going & ~passed, middle).otherwise(at["high"]).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.size(values).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda at: at["low"])

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,6 +139,47 @@ def run_slices(target: DataFrame, slices: Iterable[str], changes_of: Callable[[s
     return state
 
 
+def fold_slices(changes: DataFrame, keys: Sequence[str], slice_col: str, order: Sequence[str], *, version: str,
+                op: str = "op", delete_op: str = "d", update_cols: Sequence[str] | None = None, deleted: str | None = "is_deleted",
+                guard_updates: bool = True, guard_deletes: bool = False, target: DataFrame | None = None) -> DataFrame:
+    """The state that :func:`run_slices` reaches, from one pass over the log instead of one scan and merge per slice.
+
+    The newest change of every key and slice is found first, so a hot key is reduced before it shuffles; what is left of a
+    key, one change per slice, is put in order and folded by the rules of :func:`merge_cdc`. ``target`` is the state to
+    begin with (its columns: keys, values and ``deleted``). A key's changes must fit a row: one for each slice. A NULL
+    slice comes first, and as in a merge a NULL key is a key of its own in each change.
+    """
+    values = [c for c in changes.columns if c not in (*keys, slice_col, op)]
+    update = set(update_cols if update_cols is not None else values) | {version}
+    types = {f.name: f.dataType.simpleString() for f in changes.schema.fields}
+    state = "struct<" + ",".join([*(f"`{c}`:{types[c]}" for c in values), "_gone:boolean"]) + ">"
+    newest = latest_per_key(changes, [*keys, slice_col], order)
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    listed = (newest.where(known).groupBy(*keys)
+              .agg(F.array_sort(F.collect_list(F.struct(F.col(slice_col).alias("_slice"), F.col(op).alias("_op"), *values))).alias("_changes")))
+    strays = newest.where(~known).select(*keys, F.array(F.struct(F.col(slice_col).alias("_slice"), F.col(op).alias("_op"), *values)).alias("_changes"))
+    listed = listed.unionByName(strays)
+    if target is None:
+        listed = listed.withColumn("_start", F.lit(None).cast(state))
+    else:
+        gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+        held = target.select(*keys, F.struct(*values, gone.alias("_gone")).cast(state).alias("_start"))
+        listed = held.join(listed, list(keys), "full").withColumn("_changes", F.coalesce("_changes", F.array().cast(listed.schema["_changes"].dataType)))
+
+    def step(old: Column, new: Column) -> Column:
+        kill = F.coalesce(new["_op"] == delete_op, F.lit(False))
+        newer = F.coalesce(new[version] > old[version], F.lit(False))
+        taken = F.struct(*[(new[c] if c in update else old[c]).alias(c) for c in values], old["_gone"].alias("_gone"))
+        flagged = F.struct(*[old[c].alias(c) for c in values], F.lit(True).alias("_gone")) if deleted else F.lit(None).cast(state)
+        born = F.struct(*[new[c].alias(c) for c in values], F.lit(False).alias("_gone"))
+        return (F.when(old.isNull(), F.when(~kill, born))
+                .when(kill & (newer if guard_deletes else F.lit(True)), flagged)
+                .when(~kill & (newer if guard_updates else F.lit(True)), taken).otherwise(old)).cast(state)
+
+    folded = listed.select(*keys, F.aggregate("_changes", F.col("_start"), step).alias("_end")).where(F.col("_end").isNotNull())
+    return folded.select(*keys, *[F.col("_end")[c].alias(c) for c in values], *([F.col("_end._gone").alias(deleted)] if deleted else []))
+
+
 def late_window(df: DataFrame, ts: str, run_date: str, hours: int) -> DataFrame:
     """Rows of the run day plus everything that may still arrive late for it."""
     end = F.date_add(F.lit(run_date).cast("date"), 1).cast("timestamp")

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeops.functions.columns import stable_salt
+from lakeops.functions.columns import count_upto, stable_salt
 from lakeops.operators import sliced
 
 
@@ -65,33 +65,70 @@ def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 
 def range_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str, start: str,
                end: str, how: str = "inner") -> DataFrame:
-    """``start <= ts < end`` beside an equi key, an open end lasting for ever."""
-    cond = [points[k] == intervals[k] for k in keys]
-    cond += [points[ts] >= intervals[start], intervals[end].isNull() | (points[ts] < intervals[end])]
-    out = points.join(intervals, cond, how)
-    for k in keys:
-        out = out.drop(intervals[k])
-    return out
+    """``start <= ts < end`` beside an equi key, an open end lasting for ever.
+
+    Joined by grid cells, so that no key's points and intervals are paired whole. A cell is as long as the usual
+    interval, but no interval gets more than about 4,096 cells.
+    """
+    length = (F.unix_seconds(end) - F.unix_seconds(start)).cast("double")
+    usual = intervals.agg(F.percentile_approx(length, 0.5)).scalar()
+    span = points.agg(F.unix_seconds(F.max(ts))).scalar() - intervals.agg(F.unix_seconds(F.min(start))).scalar()
+    cell = F.greatest(F.ceil(F.coalesce(usual, F.lit(0.0))), F.ceil(F.coalesce(span, F.lit(0)) / 4096), F.lit(1))
+    return _by_cell(points, intervals, keys, ts, start, end, cell, how)
 
 
 def range_join_grid(points: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str, start: str,
                     end: str, grid_seconds: int) -> DataFrame:
-    """The same rows as ``range_join``, as an equi join on (key, grid cell).
+    """The same rows as ``range_join`` with cells of a chosen length; choose it near the usual length of an interval."""
+    return _by_cell(points, intervals, keys, ts, start, end, F.lit(grid_seconds), "inner")
+
+
+def _by_cell(points: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str, start: str, end: str, seconds: Column,
+             how: str) -> DataFrame:
+    """An equi join on (key, grid cell).
 
     Each interval is listed once per cell it covers, open ends up to the last point; the exact
     range stays as a residual, so a cell shared by two intervals cannot match twice.  A hot key is
-    spread over its cells.  Choose the grid near the usual length of an interval.
+    spread over its cells.
     """
     last = points.agg(F.max(ts)).scalar()
-    cell = lambda c: F.floor(F.unix_seconds(c) / grid_seconds)
+    cell = lambda c: F.floor(F.unix_seconds(c) / seconds)
     until = F.least(F.coalesce(F.col(end), last), last)
     covered = (intervals.where(F.col(start) <= last)
                .where(F.col(end).isNull() | (F.col(end) > F.col(start)))
-               .withColumn("_cell", F.explode(F.sequence(cell(F.col(start)), cell(until)))))
+               .withColumn("_cover", F.explode(F.sequence(cell(F.col(start)), cell(until))))
+               .withColumnsRenamed({k: f"_i_{k}" for k in keys}))
     placed = points.withColumn("_cell", cell(F.col(ts)))
-    return (placed.join(covered, [*keys, "_cell"])
-            .where((F.col(ts) >= F.col(start)) & (F.col(end).isNull() | (F.col(ts) < F.col(end))))
-            .drop("_cell"))
+    match = [F.col(k) == F.col(f"_i_{k}") for k in keys] + [F.col("_cell") == F.col("_cover"), F.col(ts) >= F.col(start),
+                                                            F.col(end).isNull() | (F.col(ts) < F.col(end))]
+    return placed.join(covered, reduce(and_, match), how).drop("_cell", "_cover", *[f"_i_{k}" for k in keys])
+
+
+def range_join_search(points: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str, start: str, end: str,
+                      cols: Sequence[str] = (), how: str = "inner") -> DataFrame:
+    """The same rows as ``range_join`` where the intervals are the small side: an equi join on the key and a binary search.
+
+    A key's intervals become one sorted array, with the running maximum of their ends beside it, which must fit a row.
+    For a point the search gives the stretch of the array that can hold it: after the intervals that have all
+    ended, up to the last one begun. Points are neither copied nor paired, and as nothing is grouped afterwards the planner may
+    broadcast the arrays or split a hot key. Intervals may overlap; an empty one holds nothing.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"range_join_search cannot do a {how} join")
+    cols = list(dict.fromkeys([start, end, *cols]))
+    ended = F.max(F.struct(F.col(end).isNull().alias("open"), F.col(end).alias("at")))
+    upto = Window.partitionBy(*keys).orderBy(start).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = intervals.where(F.col(start).isNotNull()).withColumn("_ended", ended.over(upto))
+    row = F.struct(F.col(start).alias("_s"), "_ended", F.col(end).alias("_e"), *[F.col(c) for c in cols])
+    listed = known.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_all"))
+    arrays = listed.select(*keys, "_all", F.col("_all._s").alias("_starts"), F.array_sort("_all._ended").alias("_ended"))
+    found = points.join(arrays, list(keys), how)
+    first = count_upto("_ended", F.struct(F.lit(False).alias("open"), F.col(ts).alias("at")))
+    begun = count_upto("_starts", F.col(ts))
+    stretch = F.slice("_all", first + 1, F.greatest(begun - first, F.lit(0)))
+    hits = F.filter(stretch, lambda i: (i["_s"] <= F.col(ts)) & (i["_e"].isNull() | (F.col(ts) < i["_e"])))
+    out = found.select(*points.columns, (F.explode_outer(hits) if how == "left" else F.explode(hits)).alias("_hit"))
+    return out.select(*points.columns, *[F.col("_hit")[c].alias(c) for c in cols])
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str,

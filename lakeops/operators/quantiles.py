@@ -9,54 +9,46 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeops.functions.columns import count_upto
+from lakeops.session import materialised
+
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                      accuracy: int = 10_000) -> DataFrame:
-    """Interpolated percentiles per key, equal to ``percentile(value, p)``.
+                      bands: int = 256) -> DataFrame:
+    """Interpolated percentiles per key, equal to ``percentile(value, p)``; NULL values do not count.
 
-    A mergeable sketch first brackets every wanted rank.  Values below the bracket are only
-    counted, values above are dropped, and just the few inside are ordered.  Groups no larger
-    than ``accuracy`` are ordered whole.
+    Equal values of a key become one row with a count, written once. A sketch of those rows cuts the value axis into
+    ``bands`` with about as many rows each, so a key that holds a third of them is spread over a third of the bands. Counts per key
+    and band tell which band holds a wanted rank, and only there, on (key, band), are values put in order. Groups of
+    any size go the same way.
     """
-    keys = list(keys) or ["_all"]
-    base = (df if "_all" not in keys else df.withColumn("_all", F.lit(0)))
-    base = base.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    eps = 3.0 / accuracy
-    wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"),
-                 F.lit(2 * i).alias("lo_at"), F.lit(2 * i + 1).alias("hi_at"))
-        for i, (name, p) in enumerate(probs.items())])
-    grid = [x for p in probs.values() for x in (max(p - eps, 0.0), min(p + eps, 1.0))]
-    sketch = base.groupBy(*keys).agg(
-        F.count("_v").alias("_n"), F.percentile_approx("_v", grid, accuracy).alias("_q"))
-    small = F.col("_n") <= accuracy
-    brackets = (
-        sketch.withColumn("_w", F.explode(wanted))
-        .withColumn("_pos", F.col("_w.p") * (F.col("_n") - 1))
-        .select(*keys, F.col("_w.name").alias("_name"), "_pos",
-                F.when(~small, F.col("_q")[F.col("_w.lo_at")]).alias("_lo"),
-                F.when(~small, F.col("_q")[F.col("_w.hi_at")]).alias("_hi"))
-    )
-    counted = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    brackets = brackets.withColumnsRenamed({k: f"_b_{k}" for k in keys})
-    if keys == ["_all"]:
-        brackets = F.broadcast(brackets)  # one row per requested percentile
+    named = list(keys)
+    keys = named or ["_all"]
+    base = df if named else df.withColumn("_all", F.lit(0))
+    v = F.col(value).cast("double").alias("_v")
+    counted = materialised(base.select(*keys, v).where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), "counted")
+    cuts = counted.agg(F.percentile_approx("_v", [i / bands for i in range(1, bands)], 100 * bands).alias("cuts")).scalar()
+    banded = counted.withColumn("_cuts", cuts).withColumn("_band", F.coalesce(count_upto("_cuts", F.col("_v"), steps=bands.bit_length()), F.lit(0))).drop("_cuts")
+
+    key = Window.partitionBy(*keys)
+    along = key.orderBy("_band")
+    sums = banded.groupBy(*keys, "_band").agg(F.sum("_c").alias("_c")).select(
+        "*", F.coalesce(F.sum("_c").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(key).alias("_n"))
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, p in probs.items()])
+    pos = F.col("_w.p") * (F.col("_n") - 1)
+    ranks = F.array(F.struct(F.lit("a").alias("end"), F.floor(pos).alias("rank")), F.struct(F.lit("b").alias("end"), F.ceil(pos).alias("rank")))
+    wanted = (sums.withColumn("_w", F.explode(asked)).select("*", pos.alias("_pos"), F.explode(ranks).alias("_r"))
+              .where((F.col("_r.rank") >= F.col("_before")) & (F.col("_r.rank") < F.col("_before") + F.col("_c")))
+              .select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col("_band").alias("_b_band"), F.col("_w.name").alias("_name"),
+                      F.col("_r.end").alias("_end"), "_pos", (F.col("_r.rank") - F.col("_before")).alias("_rank")))
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys])  # NULL is a group too
-    inside = (
-        counted.join(brackets, same)
-        .where(F.col("_hi").isNull() | (F.col("_v") <= F.col("_hi")))
-        .withColumn("_v", F.when(F.col("_lo").isNull() | (F.col("_v") >= F.col("_lo")), F.col("_v")))
-        .groupBy(*keys, "_name", "_pos", "_v").agg(F.sum("_c").alias("_c"))
-    )
-    upto = (Window.partitionBy(*keys, "_name").orderBy(F.col("_v").asc_nulls_first())
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    lower, upper = F.floor("_pos"), F.ceil("_pos")
-    picked = (
-        inside.withColumn("_cum", F.sum("_c").over(upto))
-        .groupBy(*keys, "_name", "_pos")
-        .agg(F.min(F.when(F.col("_cum") > lower, F.col("_v"))).alias("_a"),
-             F.min(F.when(F.col("_cum") > upper, F.col("_v"))).alias("_b"))
-        .withColumn("_x", F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - lower))
-    )
-    wide = picked.groupBy(*keys).pivot("_name", list(probs)).agg(F.min("_x"))
-    return wide.drop("_all") if keys == ["_all"] else wide
+    upto = Window.partitionBy(*keys, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A value stands at the ranks from the count before it up to its own.
+    placed = banded.withColumn("_upto", F.sum("_c").over(upto))
+    picked = (placed.join(wanted, same & (F.col("_band") == F.col("_b_band")))
+              .where((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_c"))))
+    at = lambda end: F.max(F.when(F.col("_end") == end, F.col("_v")))
+    ends = picked.groupBy(*keys, "_name", "_pos").agg(at("a").alias("_a"), at("b").alias("_b"))
+    x = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))
+    wide = ends.withColumn("_x", x).groupBy(*keys).pivot("_name", list(probs)).agg(F.min("_x"))
+    return wide if named else wide.drop("_all")

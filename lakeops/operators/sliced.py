@@ -13,10 +13,15 @@ As in SQL windows, rows whose key is NULL are one group: keys are compared as on
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeops.functions.columns import count_upto
+from lakeops.session import materialised
+
 SLICE, KEY = "_slice", "_key"
 DAY = 86_400
 _BEFORE_ALL = -(1 << 60)
@@ -154,6 +159,59 @@ def ranks(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], sli
     return joined.select(*df.columns, *out)
 
 
+def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int = 64, per_slice: int = 64,
+        name: str = "_cut") -> DataFrame:
+    """Add a slice number that follows ``order`` inside each key, with bounds taken from the data.
+
+    ``slices * per_slice`` rows, those whose hash is lowest, stand for the whole; every ``per_slice``-th of a key's ends a
+    slice. So a slice holds about ``1 / slices`` of all rows whatever the values are, keys with less than that stay whole,
+    and with a tie-break in ``order`` rows of one value are cut too. The sample is all that is broadcast, whatever the size
+    of the table. Use the column as ``slice_by`` of the functions below with the same order.
+    """
+    order = list(order)
+    at = F.struct(*order)
+    drawn = df.select(*keys, at.alias("_at")).orderBy(F.xxhash64(*keys, "_at")).limit(slices * per_slice)
+    steps = F.sequence(F.lit(per_slice), F.size("_all"), F.lit(per_slice))
+    ends = (drawn.groupBy(*keys).agg(F.array_sort(F.collect_list("_at")).alias("_all")).where(F.size("_all") >= per_slice)
+            .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.transform(steps, lambda i: F.get("_all", i - 1)).alias("_ends")))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], F.lit(True))
+    placed = df.join(F.broadcast(ends), same, "left")
+    # Rows at a bound come before it, so a slice ends with its bound.
+    number = F.when(F.col("_ends").isNotNull(), count_upto("_ends", at, inclusive=False, steps=max(1, slices.bit_length()))).otherwise(F.lit(0))
+    return placed.select(*[F.col(c) for c in df.columns], number.cast("long").alias(name))
+
+
+def tied_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str], tie: Sequence[str], *, row_number: str, rank: str,
+               dense_rank: str, size: str, slices: int = 64) -> DataFrame:
+    """Row number by ``order`` and ``tie``, rank and dense rank by ``order`` alone, and the size of the group, in one pass.
+
+    Slices come from :func:`cut` over ``order`` and ``tie``, so a key with a third of all rows at two values is spread too. A
+    tie that began in an earlier slice takes its rank from there: what a slice hands on is its size, how many values it
+    has, its first and last value and where its last value begins. The ranked rows are written once.
+    """
+    order, tie = list(order), list(tie)
+    sliced, keys = _cut(cut(df, keys, [*order, *tie], slices, name=SLICE), keys, F.col(SLICE))
+    inside = Window.partitionBy(*keys, SLICE)
+    by_all, by_order = inside.orderBy(*order, *tie), inside.orderBy(*order)
+    ranked = materialised(sliced.select("*", F.row_number().over(by_all).alias("_rn"), F.rank().over(by_order).alias("_rk"),
+                                        F.dense_rank().over(by_order).alias("_dr"), F.struct(*order).alias("_at")), "ranks")
+    along = _along(keys)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    own = ranked.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"), F.max("_dr").alias("_d"), F.max("_rk").alias("_tail"),
+                                           F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    own = own.select("*", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*keys)).alias("_size"),
+                     F.coalesce(F.lag("_last").over(along).eqNullSafe(F.col("_first")) & F.lag("_n").over(along).isNotNull(), F.lit(False)).alias("_goes_on"))
+    onward = F.when(~(F.col("_goes_on") & (F.col("_d") == 1)), F.col("_before") + F.col("_tail"))
+    carried = own.select(
+        *keys, SLICE, "_before", "_size", "_goes_on", F.last(onward, ignorenulls=True).over(before).alias("_begun"),
+        (F.coalesce(F.sum("_d").over(before), F.lit(0)) - F.sum(F.col("_goes_on").cast("long")).over(along.rowsBetween(Window.unboundedPreceding, 0))).alias("_dbefore"))
+    joined = _back(ranked, carried, keys)
+    return joined.select(
+        *df.columns, (F.col("_rn") + F.col("_before")).alias(row_number),
+        F.when(F.col("_goes_on") & (F.col("_dr") == 1), F.col("_begun")).otherwise(F.col("_rk") + F.col("_before")).alias(rank),
+        (F.col("_dr") + F.col("_dbefore")).alias(dense_rank), F.col("_size").alias(size))
+
+
 def ntile(number: Column, size: Column, tiles: int) -> Column:
     """Tile of a row from its row number and group size, larger tiles first as in SQL."""
     base, extra = F.floor(size / tiles), size % tiles

@@ -209,12 +209,16 @@ def lead_features(hourly: DataFrame, anchors: DataFrame, key: str, bucket: str,
                   breaches: dict[str, Column]) -> DataFrame:
     """Earliest breach in the hours before an event, and which measure breached first.
 
-    ``breaches`` maps a measure to a condition; a NULL reading is no breach.
+    ``breaches`` maps a measure to a condition; a NULL reading is no breach.  Every event is listed in
+    the hours it looks back on and joined on (key, hour), so a subject's history is never paired whole.
     """
+    hour = lambda c: F.floor(F.unix_seconds(c) / 3600)
     lead = (F.unix_seconds(anchor) - F.unix_seconds(bucket)) / 3600
-    near = (hourly.join(anchors, key)
+    listed = (anchors.select(key, anchor).distinct()
+              .withColumn("_hour", F.explode(F.sequence(hour(anchor) - hours - 1, hour(anchor)))))
+    near = (hourly.withColumn("_hour", hour(bucket)).join(listed, [key, "_hour"])
             .where((F.col(bucket) <= F.col(anchor))
-                   & (F.unix_seconds(bucket) >= F.unix_seconds(anchor) - hours * 3600)))
+                   & (F.unix_seconds(bucket) >= F.unix_seconds(anchor) - hours * 3600)).drop("_hour"))
     signal = F.coalesce(*[F.when(cond, F.lit(name)) for name, cond in breaches.items()])
     hit = near.withColumn("_signal", signal).withColumn("_lead", lead).where(F.col("_signal").isNotNull())
     return hit.groupBy(key, anchor).agg(

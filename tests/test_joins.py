@@ -55,6 +55,49 @@ def test_grid_range_join_equals_plain_range_join(history, grid):
     assert got.groupBy("id").count().where("count > 1").isEmpty()
 
 
+def overlapping(spark, seed):
+    """Points and intervals of two hot keys: overlapping, nested, empty, open and without a start."""
+    rnd = random.Random(seed)
+    pts = [(i, rnd.choice(["a", "a", "b", None, "z"]), None if i % 40 == 0 else at(rnd.uniform(0, 5000))) for i in range(400)]
+    ivs = []
+    for i in range(90):
+        s = rnd.uniform(-100, 5000)
+        e = None if i % 30 == 0 else at(s + rnd.choice([0, -5, 3, 40, 40, 2000]))
+        ivs.append((rnd.choice(["a", "a", "b", None, "q"]), None if i % 45 == 1 else at(s), e, float(i)))
+    return (spark.createDataFrame(pts, "id int, k string, ts timestamp"), spark.createDataFrame(ivs, "k string, start timestamp, end timestamp, price double"),
+            [(p[0], i[3]) for p in pts for i in ivs if p[1] is not None and p[1] == i[0] and p[2] is not None and i[1] is not None and i[1] <= p[2] and (i[2] is None or p[2] < i[2])])
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_range_joins_hold_against_all_pairs(spark, seed):
+    points, intervals, want = overlapping(spark, seed)
+    pairs = lambda df: sorted((r.id, r.price) for r in df.collect())
+    assert want and pairs(joins.range_join(points, intervals, ["k"], "ts", "start", "end").select("id", "price")) == sorted(want)
+    assert pairs(joins.range_join_search(points, intervals, ["k"], "ts", "start", "end", ["price"])) == sorted(want)
+    alone = sorted(set(range(400)) - {i for i, _ in want})
+    for left in (joins.range_join_search(points, intervals, ["k"], "ts", "start", "end", ["price"], "left"),
+                 joins.range_join(points, intervals, ["k"], "ts", "start", "end", "left")):
+        got = left.select("id", "price").collect()
+        assert sorted((r.id, r.price) for r in got if r.price is not None) == sorted(want) and sorted(r.id for r in got if r.price is None) == alone
+    for empty in (joins.range_join(points.limit(0), intervals, ["k"], "ts", "start", "end"), joins.range_join_search(points, intervals.limit(0), ["k"], "ts", "start", "end")):
+        assert empty.isEmpty()
+
+
+def test_search_joins_without_pairing(spark):
+    points, intervals, _ = overlapping(spark, 1)
+    from lakeops.operators.layout import plan_text
+    plan = plan_text(joins.range_join_search(points, intervals, ["k"], "ts", "start", "end", ["price"]))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Join [k" in plan.replace("HashJoin", "Join").replace("SortMergeJoin", "Join")
+    assert "start#" not in "".join(x for x in plan.splitlines() if "Join" in x)  # the range is no part of the join
+
+
+def test_binary_search(spark):
+    from lakeops.functions.columns import count_upto
+    df = spark.range(-1, 12).select("id", F.array(*[F.lit(v) for v in (1, 3, 3, 7, 9)]).cast("array<bigint>").alias("a"))
+    got = df.select("id", count_upto("a", F.col("id")).alias("upto"), count_upto("a", F.col("id"), inclusive=False).alias("below")).collect()
+    assert all(r.upto == sum(v <= r.id for v in (1, 3, 3, 7, 9)) and r.below == sum(v < r.id for v in (1, 3, 3, 7, 9)) for r in got)
+
+
 def test_asof_join_takes_the_newest_at_or_before(history):
     points, intervals = history
     got = {r.id: r.price for r in joins.asof_join(points, intervals, ["k"], "ts", "start", ["price"]).collect()}

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import Window
@@ -94,15 +95,49 @@ def test_percentiles_keep_the_null_group(spark):
     assert rows(exact_percentiles(df, ["k"], "v", {"m": 0.5})) == [(None, 2.0), ("a", 5.0)]
 
 
-@pytest.mark.parametrize("accuracy", [50, 10_000])
-def test_exact_percentiles(series, accuracy):
-    """A low accuracy makes the bracket and count path run; the result must stay exact."""
+@pytest.mark.parametrize("bands", [2, 7, 256])
+def test_exact_percentiles(series, bands):
+    """Whatever the number of bands, the result is exact."""
     probs = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p95": 0.95, "p100": 1.0}
-    got = exact_percentiles(series, ["k"], "v", probs, accuracy)
+    got = exact_percentiles(series, ["k"], "v", probs, bands)
     want = series.groupBy("k").agg(*[F.percentile("v", p).alias(n) for n, p in probs.items()])
     g, w = rows(got), rows(want)
     assert len(g) == len(w)
     for a, b in zip(g, w):
         assert a == pytest.approx(b)
-    overall = exact_percentiles(series, [], "v", {"m": 0.5}, accuracy).first()["m"]
+    overall = exact_percentiles(series, [], "v", {"m": 0.5}, bands).first()["m"]
     assert overall == pytest.approx(series.agg(F.percentile("v", 0.5)).first()[0])
+
+
+def test_bands_of_a_hot_key_are_many(spark):
+    """A key with most rows, at few and at many values; no values meet on the key alone."""
+    df = spark.range(6000).select(F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"),
+                                  F.when(F.col("id") % 5 == 0, 1.5).when(F.col("id") % 7 == 0, None).otherwise(F.sin("id") * 1000).alias("v"))
+    probs = {"low": 0.01, "mid": 0.5, "high": 0.999}
+    got = exact_percentiles(df, ["k"], "v", probs)
+    want = df.groupBy("k").agg(*[F.percentile("v", p).alias(n) for n, p in probs.items()])
+    for a, b in zip(rows(got), rows(want), strict=True):
+        assert a == pytest.approx(b)
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    for line, below in zip(plan, plan[1:]):  # what meets on the key alone has been added up by band
+        if re.search(r"hashpartitioning\(k#\d+, \d+\)", line):
+            assert "Aggregate" in below, below
+
+
+def test_tied_ranks_equal_windows_and_spread_a_hot_key(spark):
+    """Half of all rows have one key and two values."""
+    df = spark.range(8000).select(F.when(F.col("id") % 2 == 0, 1).when(F.col("id") % 97 == 0, None).otherwise(F.col("id") % 40 + 2).cast("int").alias("k"),
+                                  F.when(F.col("id") % 2 == 0, F.col("id") % 4).when(F.col("id") % 11 == 0, None).otherwise(F.col("id") % 9).alias("v"), F.xxhash64("id").alias("t"))
+    got = sliced.tied_ranks(df, ["k"], ["v"], ["t"], row_number="rn", rank="rk", dense_rank="dr", size="n", slices=16)
+    by = Window.partitionBy("k").orderBy("v")
+    want = df.select("*", F.row_number().over(Window.partitionBy("k").orderBy("v", "t")).alias("rn"), F.rank().over(by).alias("rk"),
+                     F.dense_rank().over(by).alias("dr"), F.count(F.lit(1)).over(Window.partitionBy("k")).alias("n"))
+    assert rows(got) == rows(want)
+    sizes = [r["count"] for r in sliced.cut(df, ["k"], ["v", "t"], 16).groupBy("k", "_cut").count().collect()]
+    assert max(sizes) < 8000 / 16 * 2
+    same = df.withColumn("v", F.lit(7))
+    got = sliced.tied_ranks(same, [], ["v"], ["t"], row_number="rn", rank="rk", dense_rank="dr", size="n", slices=8)
+    assert {(r.rk, r.dr, r.n) for r in got.collect()} == {(1, 1, 8000)}
+    assert sliced.tied_ranks(df.limit(0), ["k"], ["v"], ["t"], row_number="rn", rank="rk", dense_rank="dr", size="n").count() == 0
+    many = sliced.running(sliced.cut(df, ["k"], ["v", "t"], 16), ["k"], ["v", "t"], F.col("_cut"), {"c": ("count", F.lit(1))})
+    assert rows(many.select("k", "v", "t", "c")) == rows(want.select("k", "v", "t", F.col("rn").alias("c")))

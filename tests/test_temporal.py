@@ -113,3 +113,17 @@ def test_lead_features_skip_gaps(spark):
     anchors = spark.createDataFrame([("s", at(300))], "k string, event_ts timestamp")
     got = temporal.lead_features(hourly, anchors, "k", "bucket", "event_ts", 6, {"hr": (F.col("hr") < 40) | (F.col("hr") > 130)}).first()
     assert (got.earliest_lead_h, got.first_signal, got.breach_hours) == (3.0, "hr", 2)
+
+
+def test_lead_features_of_every_event(spark):
+    """Several events of one subject, each with its own look-back; no join on the subject alone."""
+    hourly = spark.createDataFrame([("s", at(60 * h), 200.0 if h % 5 == 0 else 80.0) for h in range(60)], "k string, bucket timestamp, hr double")
+    minutes = [30, 601, 601, 1200, 2405, 9000]
+    anchors = spark.createDataFrame([("s", at(m)) for m in minutes] + [("t", at(5))], "k string, event_ts timestamp")
+    got = temporal.lead_features(hourly, anchors, "k", "bucket", "event_ts", 12, {"hr": F.col("hr") > 130})
+    want = {}
+    for m in set(minutes):
+        leads = [(m - 60 * h) / 60 for h in range(0, 60, 5) if 60 * h <= m and 60 * h >= m - 720]
+        if leads:
+            want[at(m)] = (round(max(leads), 6), len(leads))
+    assert {r.event_ts: (round(r.earliest_lead_h, 6), r.breach_hours) for r in got.collect()} == want

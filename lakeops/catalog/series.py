@@ -71,11 +71,13 @@ def runs_above(t: Tables):
   f AS (SELECT *, lag(bad) OVER {W} AS was FROM b),
   r AS (SELECT *, sum(CASE WHEN was IS NULL OR was <> bad THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run_id FROM f),
   g AS (SELECT user_id, min(ts) AS breach_start, max(ts) AS breach_end, min(value) AS min_value, max(value) AS max_value, count(*) AS readings,
+    min(event_id % 181 - 90) AS bbox_lat_min, max(event_id % 181 - 90) AS bbox_lat_max, min(event_id * 7 % 361 - 180) AS bbox_lon_min, max(event_id * 7 % 361 - 180) AS bbox_lon_max,
     round(avg(event_id), 4) AS mean_event, (epoch_us(max(ts)) - epoch_us(min(ts))) / 60000000.0 AS duration_min FROM r WHERE bad GROUP BY user_id, run_id)
   SELECT *, CASE WHEN duration_min > 120 THEN 'CRITICAL' WHEN duration_min > 60 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM g WHERE duration_min > 30""")
 def breach_runs(t: Tables):
-    e = t.events.withColumns({"lo": F.lit(5.0), "hi": F.lit(60.0)})
-    return fleet.breaches(e, "user_id", "ts", "value", "lo", "hi", tie=["event_id"],
+    """Stretches out of range with their extremes and the box of places in which they happened."""
+    e = t.events.withColumns({"lo": F.lit(5.0), "hi": F.lit(60.0), "lat": F.col("event_id") % 181 - 90, "lon": F.col("event_id") * 7 % 361 - 180})
+    return fleet.breaches(e, "user_id", "ts", "value", "lo", "hi", tie=["event_id"], box=["lat", "lon"],
                           carry={"mean_event": F.round(F.avg("event_id"), 4)}).drop("run_id")
 
 

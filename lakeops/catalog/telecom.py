@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from lakeops.catalog.registry import Tables, query
 from lakeops.functions.columns import money
-from lakeops.operators import cdc, features, temporal
+from lakeops.operators import cdc, features, publish, temporal
 from lakeops.operators.quality import sigma_anomaly
 from lakeops.operators.sliced import DAY
 from lakeops.plans import telco
+from lakeops.session import materialised, scratch
+from lakeops.sources import tables
 
 RUN = "2000-06-01"
 
@@ -65,6 +67,33 @@ def cdr_rating(t: Tables):
                       "event_date", F.col("charge_amount").cast("double").alias("charge_amount"))
 
 
+# Orders by number modulo 5: 0 comes with the corrections only, 1 is corrected, 2 gets a correction that is older.
+@query(CDR + """, k AS (SELECT *, CAST(split_part(cdr_id, '-', 1) AS BIGINT) % 5 AS part FROM r)
+  SELECT cdr_id, event_date, quality_flag, rated_flag, charged_units + CASE part WHEN 1 THEN 7 ELSE 0 END AS charged_units, CAST(charged_units * rate AS DOUBLE) AS charge_amount,
+    part IN (0, 1) AS from_corrections FROM k""")
+def cdr_mediation(t: Tables):
+    """Rated records published by month behind a gate; a batch with repeated records is refused, late corrections are merged in."""
+    rated = telco.mediate(_call_records(t), _tariffs(t)).select(
+        "cdr_id", "event_date", "source_ts", "quality_flag", "rated_flag", "charged_units", "charge_amount", F.trunc("event_date", "month").alias("event_month"), F.lit(False).alias("from_corrections"))
+    rated = materialised(rated, "rated")
+    part = F.split("cdr_id", "-")[0].cast("bigint") % 5
+    rules = {"duration_known": F.col("charged_units") >= 0, "flagged": F.col("quality_flag").isNotNull(), "unrated_free": (F.col("rated_flag") == "RATED") | (F.col("charge_amount") == 0)}
+    path = tables.table_path(scratch(t.spark, "mediated"), "silver", "cdr")
+    publish.publish(rated.where(part != 0), path, ["event_month"], rules, ["cdr_id"])
+    again = rated.where(part == 4).withColumn("charged_units", F.lit(0).cast("bigint"))
+    try:
+        publish.publish(again.unionByName(again), path, ["event_month"], rules, ["cdr_id"])
+    except publish.GateError:
+        pass  # the table keeps its rows, as the check of the result shows
+    moved = F.when(part == 2, -1).otherwise(1)
+    late = rated.where(part < 3).withColumns({
+        "source_ts": F.timestamp_seconds(F.unix_seconds("source_ts") + moved), "from_corrections": F.lit(True),
+        "charged_units": F.col("charged_units") + F.when(part == 1, 7).when(part == 2, 100).otherwise(0)})
+    publish.upsert_slices(late, path, ["cdr_id"], "event_month", "source_ts", rules)
+    return t.spark.read.parquet(path).select("cdr_id", "event_date", "quality_flag", "rated_flag", "charged_units",
+                                             F.col("charge_amount").cast("double").alias("charge_amount"), "from_corrections")
+
+
 @query(CDR + """SELECT service_type, quality_flag, rated_flag, count(*) AS records, CAST(sum(charged_units * rate) AS DOUBLE) AS charged FROM r GROUP BY 1, 2, 3""")
 def cdr_rating_totals(t: Tables):
     return telco.mediate(_call_records(t), _tariffs(t)).groupBy("service_type", "quality_flag", "rated_flag").agg(

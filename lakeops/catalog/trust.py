@@ -10,6 +10,7 @@ from lakeops.functions.columns import money
 from lakeops.operators import drift, privacy, quality, recon, sliced
 from lakeops.operators.cdc import late_window
 from lakeops.operators.features import lookback
+from lakeops.session import materialised
 
 # ---------------------------------------------------------------- reconciliation
 # Our ledger is every line; the partner's has no returned lines and counts 90 seconds more on taxed ones.
@@ -74,6 +75,27 @@ def monthly_statement(t: Tables):
     return _doubles(got, "we_billed", "they_billed", "net_variance")
 
 
+def _digest(*cols: str) -> str:
+    text = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '<null>')" for c in cols)
+    return f"CAST(sum(CAST(CAST('0x' || substr(sha256(concat_ws('|', {text})), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)"
+
+
+@query(f"""WITH {LEDGERS}, {VARIANCE.format(by='partner, CAST(call_minute AS DATE) AS day')}, d AS (SELECT *, CAST(date_trunc('month', day) AS DATE) AS statement_month FROM v),
+  q AS (SELECT statement_month, count(DISTINCT day) AS days_present, {_digest('partner', 'day', *recon.SOURCED)} AS source_digest FROM d GROUP BY 1),
+  s AS (SELECT partner, statement_month, CAST(sum(total_legs) AS BIGINT) AS total_legs, CAST(sum(matched_legs) AS BIGINT) AS matched_legs, sum(our_charge) AS we_billed,
+    sum(their_charge) AS they_billed, sum(our_charge - their_charge) AS net_variance FROM d GROUP BY 1, 2),
+  g AS (SELECT statement_month, {_digest('partner', *recon.STATED)} AS statement_digest FROM s GROUP BY 1)
+  SELECT partner, s.statement_month, 'ISSUED' AS status, days_present, total_legs, matched_legs, CAST(we_billed AS DOUBLE) AS we_billed, CAST(they_billed AS DOUBLE) AS they_billed,
+    CAST(net_variance AS DOUBLE) AS net_variance, CASE WHEN net_variance > 0 THEN 'PARTNER_OWES_US' WHEN net_variance < 0 THEN 'WE_OWE_PARTNER' ELSE 'BALANCED' END AS settlement_direction,
+    statement_digest, source_digest FROM s JOIN q ON s.statement_month = q.statement_month JOIN g ON s.statement_month = g.statement_month WHERE days_present = day(last_day(s.statement_month))
+  UNION ALL SELECT NULL, statement_month, 'REFUSED', days_present, NULL, NULL, NULL, NULL, NULL, NULL, NULL, source_digest FROM q WHERE days_present < day(last_day(statement_month))""")
+def settlement_statements(t: Tables):
+    """Monthly statements with digests of themselves and of their source; incomplete months are refused."""
+    daily = recon.variance_report(_matched(t).withColumn("day", F.to_date("call_minute")), ["partner", "day"], "duration", "charge")
+    got = recon.settlement(materialised(daily, "daily-variance"), "partner", "day")
+    return _doubles(got, "we_billed", "they_billed", "net_variance")
+
+
 @query("""WITH f AS (SELECT s_nationkey AS currency, l_shipdate AS day, round(1 + avg(l_discount), 4) AS rate FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linestatus = 'F' GROUP BY 1, 2)
   SELECT l_linestatus, count(*) AS lines, count(*) FILTER (rate IS NULL) AS unrated FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
   LEFT JOIN f ON s_nationkey = currency AND l_shipdate = day GROUP BY 1""")

@@ -155,10 +155,8 @@ def fold_slices(changes: DataFrame, keys: Sequence[str], slice_col: str, order:
     state = "struct<" + ",".join([*(f"`{c}`:{types[c]}" for c in values), "_gone:boolean"]) + ">"
     newest = latest_per_key(changes, [*keys, slice_col], order)
     known = reduce(and_, [F.col(k).isNotNull() for k in keys])
-    listed = (newest.where(known).groupBy(*keys)
+    listed = (newest.groupBy(*keys, F.when(~known, F.col(slice_col)).alias("_apart"))
               .agg(F.array_sort(F.collect_list(F.struct(F.col(slice_col).alias("_slice"), F.col(op).alias("_op"), *values))).alias("_changes")))
-    strays = newest.where(~known).select(*keys, F.array(F.struct(F.col(slice_col).alias("_slice"), F.col(op).alias("_op"), *values)).alias("_changes"))
-    listed = listed.unionByName(strays)
     if target is None:
         listed = listed.withColumn("_start", F.lit(None).cast(state))
     else:

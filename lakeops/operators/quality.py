@@ -209,6 +209,11 @@ def dataset_checksum(df: DataFrame, cols: Sequence[str], prefix: Sequence[int] =
     return level.select(F.col("h").alias("checksum"))
 
 
+def unordered_digest(cols: Sequence[str]) -> Column:
+    """An aggregate: 60 bits of every row's SHA-256, summed exactly.  Order does not matter, repeated rows do."""
+    return F.sum(F.conv(F.substring(F.sha2(row_text(cols), 256), 1, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row: count and an order-free hash sum, cheap enough to run before and after a rewrite."""
     return df.agg(F.count(F.lit(1)).alias("rows"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeops.operators import sliced
 from lakeops.operators.joins import spread_join
-from lakeops.operators.quality import QualityError
+from lakeops.operators.quality import QualityError, unordered_digest
 
 
 def rate_lookup(df: DataFrame, rates: DataFrame, keys: Sequence[str], rate: str, flag: str,
@@ -101,6 +101,36 @@ def monthly_statement(daily: DataFrame, partner: str, day: str, version: str | N
     return out if version is None else out.withColumn("source_version", F.lit(version))
 
 
+#: What the digest of a statement and of its source are taken over, in this order.
+STATED = ("total_legs", "matched_legs", "we_billed", "they_billed", "net_variance")
+SOURCED = ("total_legs", "matched_legs", "our_charge", "their_charge")
+
+
+def settlement(daily: DataFrame, partner: str, day: str) -> DataFrame:
+    """Statements of the months whose every calendar day is present, refused lines for the others.
+
+    A statement carries the digest of all statements of its month and the digest of the daily rows it comes from, so a
+    restated day shows even where the sums agree. Completeness is a matter of the month over all partners; a refused month
+    has one line without a partner and without sums. Days and digests come from one aggregate over the daily rows.
+    """
+    month = F.trunc(day, "month")
+    source = daily.groupBy(month.alias("statement_month")).agg(
+        F.countDistinct(day).alias("days_present"), unordered_digest([partner, day, *SOURCED]).alias("source_digest")).withColumn(
+        "days_expected", F.dayofmonth(F.last_day("statement_month")))
+    sums = daily.groupBy(partner, month.alias("statement_month")).agg(
+        F.sum("total_legs").alias("total_legs"), F.sum("matched_legs").alias("matched_legs"), F.sum("our_charge").alias("we_billed"),
+        F.sum("their_charge").alias("they_billed"), F.sum("variance").alias("net_variance"))
+    digest = sums.groupBy("statement_month").agg(unordered_digest([partner, *STATED]).alias("statement_digest"))
+    whole = source.where("days_present >= days_expected").join(digest, "statement_month")
+    net = F.col("net_variance")
+    direction = F.when(net > 0, "PARTNER_OWES_US").when(net < 0, "WE_OWE_PARTNER").otherwise("BALANCED")
+    issued = sums.join(whole, "statement_month").select(
+        partner, "statement_month", F.lit("ISSUED").alias("status"), "days_present", *STATED, direction.alias("settlement_direction"),
+        "statement_digest", "source_digest")
+    refused = source.where("days_present < days_expected").select("statement_month", F.lit("REFUSED").alias("status"), "days_present", "source_digest")
+    return issued.unionByName(refused, allowMissingColumns=True)
+
+
 def assert_whole_month(daily: DataFrame, day: str, month: str) -> DataFrame:
     """The rows of ``month`` (yyyy-MM), refused when any of its days is absent."""
     rows = daily.where(F.date_format(day, "yyyy-MM") == month)

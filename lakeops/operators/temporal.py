@@ -51,6 +51,11 @@ def runs(df: DataFrame, keys: Sequence[str], ts: str, flag: str, max_step_second
     return found.where("_on").drop("_on")
 
 
+def envelope(*coordinates: str, prefix: str = "bbox") -> dict[str, Column]:
+    """Aggregates for the smallest box around the rows of a group: ``bbox_lat_min``, ``bbox_lat_max`` and so on."""
+    return {f"{prefix}_{c}_{side}": agg(c) for c in coordinates for side, agg in (("min", F.min), ("max", F.max))}
+
+
 def derive_intervals(df: DataFrame, key: str, ts: str, value: str, min_delta: float,
                      slice_seconds: int = 30 * sliced.DAY) -> DataFrame:
     """Validity intervals of an observed value: ``[effective_start, effective_end)``, last one open.

@@ -13,10 +13,10 @@ from lakeops.operators.quantiles import exact_percentiles
 
 def breaches(readings: DataFrame, subject: str, ts: str, value: str, low: str, high: str, *,
              min_minutes: float = 30.0, carry: dict[str, Column] | None = None,
-             max_step_seconds: int | None = None, tie: Sequence[str] = ()) -> DataFrame:
+             max_step_seconds: int | None = None, tie: Sequence[str] = (), box: Sequence[str] = ()) -> DataFrame:
     """Unbroken stretches out of range for longer than ``min_minutes``, with extremes and severity.
 
-    ``carry`` adds further aggregates of the stretch, such as its bounding box.
+    ``box`` names coordinates whose envelope over the stretch is reported, ``carry`` adds further aggregates of it.
     """
     out = readings.withColumn("_out", (F.col(value) < F.col(low)) | (F.col(value) > F.col(high)))
     stretch = temporal.runs(out, [subject], ts, "_out", max_step_seconds, tie)
@@ -24,7 +24,7 @@ def breaches(readings: DataFrame, subject: str, ts: str, value: str, low: str, h
     return (stretch.groupBy(subject, "run_id")
             .agg(F.min(ts).alias("breach_start"), F.max(ts).alias("breach_end"), F.min(value).alias("min_value"),
                  F.max(value).alias("max_value"), F.count(F.lit(1)).alias("readings"),
-                 *[agg.alias(name) for name, agg in (carry or {}).items()])
+                 *[agg.alias(name) for name, agg in (temporal.envelope(*box) | (carry or {})).items()])
             .withColumn("duration_min", minutes).where(F.col("duration_min") > min_minutes)
             .withColumn("severity", F.when(F.col("duration_min") > 120, "CRITICAL")
                         .when(F.col("duration_min") > 60, "HIGH").otherwise("MEDIUM")))

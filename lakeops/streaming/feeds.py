@@ -161,7 +161,7 @@ def upsert_partitions(path: str, keys: Sequence[str], order: Sequence[str], vers
         touched = [r[0] for r in staged.select("_bucket").distinct().collect()]  # at most ``buckets``
         state = read_state(spark, path, state_schema(batch.schema, op, deleted)).where(F.col("_bucket").isin(touched))
         merged = merge_cdc(state, staged, [*keys, "_bucket"], version=version, op=op, deleted=deleted, check=False, **options)
-        overwrite_slices(materialised(merged, "merged"), f"{path}/rows", ["_bucket"])
+        overwrite_slices(materialised(merged, "merged").hint("rebalance", "_bucket"), f"{path}/rows", ["_bucket"])
         noted = batch.agg(F.count(F.lit(1)).alias("rows")).select("rows", staged.agg(F.count(F.lit(1))).scalar().alias("keys"), F.lit(batch_id).cast("long").alias("batch_id"))
         overwrite_slices(noted, f"{path}/applied", ["batch_id"])
 

@@ -318,17 +318,24 @@ def unit_and_position(t: Tables):
                            F.round(fahrenheit_to_celsius("value", F.col("event_type") == "view"), 8).alias("celsius"))
 
 
-@query("""WITH w AS (SELECT user_id, date_trunc('hour', ts) AS hour, arg_min(value, (ts, event_id)) FILTER (event_type='view') AS "view",
-    arg_min(value, (ts, event_id)) FILTER (event_type='click') AS click, arg_min(value, (ts, event_id)) FILTER (event_type='purchase') AS purchase
-    FROM events GROUP BY 1, 2)
-  SELECT *, CAST((view IS NOT NULL)::INT + (click IS NOT NULL)::INT + (purchase IS NOT NULL)::INT AS INTEGER) AS filled FROM w""")
+MEASURES = ("view", "click", "purchase", "signup", "error")
+WIDE = """w AS (SELECT user_id, date_trunc('hour', ts) AS hour, """ + ", ".join(
+    f"""arg_min(value, (ts, event_id)) FILTER (event_type='{m}') AS "{m}\"""" for m in MEASURES) + " FROM events GROUP BY 1, 2), f AS (SELECT *, CAST(" + " + ".join(
+    f'("{m}" IS NOT NULL)::INT' for m in MEASURES) + """ AS INTEGER) AS filled, (epoch_us(hour) - epoch_us(lag(hour) OVER (PARTITION BY user_id ORDER BY hour))) / 60000000.0 AS gap_minutes FROM w)"""
+
+
+@query(f"WITH {WIDE} SELECT * FROM f")
 def long_to_wide(t: Tables):
-    """One row per series and hour, one column per measure, first reading wins; how many are filled."""
-    first = F.min_by("value", F.struct("ts", "event_id"))
-    wide = (t.events.groupBy("user_id", F.date_trunc("hour", "ts").alias("hour"))
-            .pivot("event_type", ["view", "click", "purchase"]).agg(first))
-    filled = sum((F.col(c).isNotNull().cast("int") for c in ("view", "click", "purchase")), F.lit(0))
-    return wide.withColumn("filled", filled)
+    """One row per series and hour, one column per measure, first reading wins; how many are filled, minutes since the row before."""
+    return temporal.widen(t.events, ["user_id"], F.date_trunc("hour", "ts"), "hour", "event_type", "value", MEASURES, ["ts", "event_id"])
+
+
+@query(f"""WITH {WIDE} SELECT k.least_filled, count(*) FILTER (filled >= k.least_filled) AS rows, round(count(*) FILTER (filled >= k.least_filled) / CAST(count(*) AS DOUBLE), 6) AS share,
+  max(gap_minutes) FILTER (filled >= k.least_filled) AS longest_gap FROM f, (SELECT unnest([1, 3, 5]) AS least_filled) k GROUP BY 1""")
+def wide_sparsity(t: Tables):
+    """What share of the wide rows hold all measures, three, one."""
+    wide = temporal.widen(t.events, ["user_id"], F.date_trunc("hour", "ts"), "hour", "event_type", "value", MEASURES, ["ts", "event_id"])
+    return temporal.sparsity(wide, "filled", [1, 3, 5], "gap_minutes")
 
 
 @query(f"""WITH {RESAMPLED}, an AS (SELECT DISTINCT user_id, ts AS anchor_ts FROM events WHERE event_type = 'error'),

@@ -192,6 +192,47 @@ def create_table_as(t: Tables):
     return t.spark.sql(f"SELECT o_orderstatus, count(*) AS n FROM seen_{tag} GROUP BY o_orderstatus")
 
 
+@query("""SELECT o_orderstatus, count(*) AS n, CAST(min(o_totalprice) AS DOUBLE) AS least, 'second' AS release FROM orders GROUP BY 1""")
+def create_or_replace(t: Tables):
+    """A table that is made, then replaced by one with another schema and other properties."""
+    table, o = f"replaced_{uuid.uuid4().hex}", t.orders
+    tables.create_or_replace(o.where("o_orderstatus = 'F'").select("o_orderkey"), table, scratch(t.spark, "first-table"), {"release": "first", "only": "here"})
+    tables.create_or_replace(o.select("o_orderkey", "o_totalprice", "o_orderstatus"), table, scratch(t.spark, "second-table"), {"release": "second"}, ["o_orderstatus"])
+    known = {r["key"]: r["value"] for r in t.spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    return t.spark.table(table).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("least")).withColumn(
+        "release", F.lit(known["release"] if "only" not in known else "mixed"))
+
+
+@query("""SELECT CASE o_orderstatus WHEN 'F' THEN 'c1' WHEN 'O' THEN 'c2' ELSE 'c3' END AS _commit, o_orderkey FROM orders""")
+def append_commits(t: Tables):
+    """Three commits added one after the other, one of them told twice."""
+    path = scratch(t.spark, "appended")
+    for status, commit in (("F", "c1"), ("O", "c2"), ("P", "c3"), ("O", "c2")):
+        tables.append_commit(t.orders.where(F.col("o_orderstatus") == status).select("o_orderkey"), path, commit)
+    return t.spark.read.parquet(path).select("_commit", "o_orderkey")
+
+
+@query("""SELECT 'orders' AS table_name, count(*) > 0 AS passed FROM orders UNION ALL SELECT 'events', count(*) > 0 FROM events
+  UNION ALL SELECT 'dear', count(*) > 0 FROM orders WHERE o_totalprice > 1e12""")
+def not_empty(t: Tables):
+    return quality.not_empty({"orders": t.orders, "events": t.events, "dear": t.orders.where("o_totalprice > 1e12")})
+
+
+@query("""SELECT o_orderstatus, CASE o_orderstatus WHEN 'F' THEN count(DISTINCT o_orderkey % 6) FILTER (o_orderkey % 2 = 0) ELSE 0 END AS added_files,
+    CASE o_orderstatus WHEN 'F' THEN count(DISTINCT o_orderkey % 6) ELSE 0 END AS deleted_files, CASE o_orderstatus WHEN 'F' THEN 0 ELSE count(DISTINCT o_orderkey % 6) END AS kept_files,
+    CASE o_orderstatus WHEN 'F' THEN count(*) FILTER (o_orderkey % 2 = 0) ELSE 0 END AS added_rows, CASE o_orderstatus WHEN 'F' THEN count(*) ELSE 0 END AS deleted_rows,
+    CASE o_orderstatus WHEN 'F' THEN 0 ELSE count(*) END AS kept_rows FROM orders GROUP BY 1""")
+def commit_summary(t: Tables):
+    """One slice is replaced: files and rows added, deleted and kept, from the listings before and after."""
+    path, files = scratch(t.spark, "commits"), F.col("o_orderkey") % 6
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice").withColumn("_file", files).repartition(12, "o_orderstatus", "_file")
+    rows.write.partitionBy("o_orderstatus", "_file").parquet(path)
+    before = materialised(layout.file_listing(t.spark, path, ["o_orderstatus"]), "listing")
+    slice_ = rows.where("o_orderstatus = 'F' and o_orderkey % 2 = 0")
+    tables.replace_slice(slice_, path, "o_orderstatus", "F", ["_file"])
+    return layout.commit_summary(before, layout.file_listing(t.spark, path, ["o_orderstatus"]))
+
+
 @query("""SELECT count(*) AS rows, count(l.quality) AS labelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def training_csv(t: Tables):
     """Label first, no header; a missing feature is 0 with an indicator beside it."""
@@ -392,9 +433,18 @@ COMPACTED = """SELECT o_orderstatus, count(*) AS rows, CAST(sum(o_orderkey) AS B
   sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total FROM orders GROUP BY 1"""
 
 
-@query("SELECT o_orderstatus, count(*) AS rows, true AS many_files FROM orders GROUP BY 1")
+def _dealt(t: Tables, part: Column) -> str:
+    """Orders with one file for each status and part, so that any engine can count the files."""
+    path = scratch(t.spark, "dealt")
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", part.alias("_part"))
+    rows.repartition(24, "o_orderstatus", "_part").write.partitionBy("o_orderstatus", "_part").parquet(path)
+    return path
+
+
+@query("""SELECT o_orderstatus, count(DISTINCT o_orderkey % 24) AS files, count(*) AS rows, count(DISTINCT o_orderkey % 24) > 9 AS compact FROM orders GROUP BY 1""")
 def file_stats(t: Tables):
-    return layout.file_stats(t.spark, _many_files(t), ["o_orderstatus"]).select("o_orderstatus", "rows", (F.col("files") > 4).alias("many_files"))
+    stats = layout.needs_compaction(layout.file_stats(t.spark, _dealt(t, F.col("o_orderkey") % 24), ["o_orderstatus"]), 9)
+    return stats.select("o_orderstatus", "files", "rows", "compact")
 
 
 @query("SELECT o_orderstatus, true AS over_8_files, false AS over_500_files FROM orders GROUP BY 1")
@@ -426,17 +476,18 @@ def compact_zorder(t: Tables):
     return _contents(t, after)
 
 
-@query("SELECT true AS most_before, true AS few_after FROM region LIMIT 1")
+_FILES = "SELECT min(o_custkey) AS lo, max(o_custkey) AS hi FROM orders GROUP BY o_orderstatus, {part}"
+
+
+@query(f"""WITH m AS (SELECT CAST(quantile_disc(c_custkey, 0.5) AS BIGINT) AS k FROM customer), a AS ({_FILES.format(part='o_orderkey % 24')}), b AS ({_FILES.format(part='o_custkey // 64')})
+  SELECT 'by order' AS layout, count(*) AS files, count(*) FILTER (lo <= k AND hi >= k) AS can_match FROM a, m
+  UNION ALL SELECT 'by customer', count(*), count(*) FILTER (lo <= k AND hi >= k) FROM b, m""")
 def file_pruning(t: Tables):
-    """How many files can hold the middle customer, before and after sorting."""
-    before, after = _many_files(t), scratch(t.spark, "prune")
-    tenth = layout.file_stats(t.spark, before).first()["bytes"] // 10  # ten files, whatever the size of the table
-    layout.compact_sorted(t.spark, before, after, max(tenth, 1), ["o_custkey"])
-    middle = t.customer.agg(F.percentile_approx("c_custkey", 0.5)).first()[0]
-    share = lambda path: layout.prunable(t.spark, path, "o_custkey", middle, middle).select(
-        F.col("can_match") / F.col("files"))
-    return share(before).toDF("share").select((F.col("share") > 0.5).alias("most_before"),
-                                              (share(after).scalar() < 0.5).alias("few_after"))
+    """How many files can hold the middle customer, dealt out by order and by range of customers."""
+    middle = t.customer.agg(F.percentile_approx("c_custkey", 0.5, 1_000_000)).first()[0]
+    told = [layout.prunable(t.spark, _dealt(t, part), "o_custkey", middle, middle).select(F.lit(name).alias("layout"), "files", "can_match")
+            for name, part in (("by order", F.col("o_orderkey") % 24), ("by customer", F.floor(F.col("o_custkey") / 64)))]
+    return told[0].unionByName(told[1])
 
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")

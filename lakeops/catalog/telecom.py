@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.catalog.registry import Tables, query
+from lakeops.catalog.registry import ORACLES, Tables, query
 from lakeops.functions.columns import money
 from lakeops.operators import cdc, features, publish, temporal
 from lakeops.operators.quality import sigma_anomaly
@@ -320,9 +322,9 @@ def feat_device(t: Tables):
 
 NETWORK = f"""u AS (SELECT l_suppkey AS s, l_partkey AS c, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS sec, count(*) FILTER (l_returnflag = 'R') AS dr FROM lineitem
     WHERE l_shipdate <= TIMESTAMP '{RUN}' AND l_shipdate > TIMESTAMP '{RUN}' - INTERVAL 180 DAY GROUP BY 1, 2),
-  q AS (SELECT l_partkey AS c, round(100.0 * count(*) FILTER (l_linestatus = 'F') / count(*), 4) AS drop_rate, round(avg(l_tax), 2) AS cong, arg_max(l_linestatus, (l_shipdate, l_linestatus)) AS tech FROM lineitem
+  q AS (SELECT l_partkey AS c, round(100.0 * count(*) FILTER (l_linestatus = 'F') / count(*), 4) AS drop_rate, round(avg(l_tax), 2) AS cong, round(avg(l_quantity), 3) AS mbps, arg_max(l_linestatus, (l_shipdate, l_linestatus)) AS tech FROM lineitem
     WHERE l_shipdate <= TIMESTAMP '{RUN}' AND l_shipdate > TIMESTAMP '{RUN}' - INTERVAL 180 DAY GROUP BY 1)
-  SELECT s AS subscriber_id, round(sum(drop_rate * sec) / greatest(sum(sec), 1), 4) AS weighted_drop_rate_exposure, count(*) AS distinct_cells_30d, CAST(sum(dr) AS BIGINT) AS own_dropped_calls_30d,
+  SELECT s AS subscriber_id, round(sum(drop_rate * sec) / greatest(sum(sec), 1), 4) AS weighted_drop_rate_exposure, round(sum(mbps * sec) / greatest(sum(sec), 1), 4) AS weighted_throughput_exposure, arg_max(mbps, (sec, u.c)) AS home_cell_throughput, count(*) AS distinct_cells_30d, CAST(sum(dr) AS BIGINT) AS own_dropped_calls_30d,
   arg_max(u.c, (sec, u.c)) AS home_cell_id, arg_max(tech, (sec, u.c)) AS home_cell_technology, round(100.0 * sum(dr) / sum(n), 4) AS own_drop_rate_30d,
   CASE WHEN count(*) <= 3 THEN 'STATIC' WHEN count(*) <= 20 THEN 'LOCAL' ELSE 'MOBILE' END AS mobility_bucket FROM u LEFT JOIN q ON u.c = q.c GROUP BY 1"""
 
@@ -335,10 +337,10 @@ def feat_network(t: Tables):
         F.when(F.col("l_returnflag") == "R", "DROPPED").otherwise("NORMAL").alias("call_end_cause"))
     cells = t.lineitem.select(
         F.col("l_partkey").alias("cell_id"), F.col("l_shipdate").alias("window_start"), F.lit(1).alias("call_attempts"),
-        F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("call_drops"), F.col("l_tax").alias("prb_utilisation"),
+        F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("call_drops"), F.col("l_tax").alias("prb_utilisation"), F.col("l_quantity").alias("throughput_mbps"),
         F.col("l_linestatus").alias("technology"))
     return telco.network_features(records, cells, RUN, days=180).select(
-        "subscriber_id", "weighted_drop_rate_exposure", "distinct_cells_30d", "own_dropped_calls_30d", "home_cell_id",
+        "subscriber_id", "weighted_drop_rate_exposure", "weighted_throughput_exposure", "home_cell_throughput", "distinct_cells_30d", "own_dropped_calls_30d", "home_cell_id",
         "home_cell_technology", "own_drop_rate_30d", "mobility_bucket")
 
 
@@ -373,6 +375,58 @@ def training_split(t: Tables):
     return both.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum("label_churned").alias("positives"))
 
 
+#: The six domains of a subject and what each gives.
+DOMAINS = {
+    "usage": ["voice_sec_7d", "voice_sec_90d", "events_30d", "distinct_b_90d", "charge_90d", "voice_trend_7_90", "offnet_share_30d", "is_dormant_7d"],
+    "billing": ["avg_bill_12m", "max_bill_12m", "bills_12m", "payments_12m", "late_payments_12m", "bill_shock_ratio", "late_payment_rate_12m"],
+    "topups": ["topups_180d", "topup_amount_180d", "median_gap_days", "distinct_channels", "days_since_last_topup", "is_overdue_2x"],
+    "network_experience": ["weighted_drop_rate_exposure", "weighted_throughput_exposure", "distinct_cells_30d", "own_dropped_calls_30d", "home_cell_id", "own_drop_rate_30d"],
+    "care": ["care_contacts_180d", "care_contacts_7d", "repeat_contacts_180d", "min_csat", "unresolved_rate", "recent_escalation"],
+    "device": ["monthly_fee", "is_5g_capable", "days_on_current_device", "days_to_contract_end", "in_churn_window"]}
+FEATURES = [f"{d}__{c}" for d, cols in DOMAINS.items() for c in cols]
+FEATURE_QUERY = {"usage": "feat_usage", "billing": "feat_billing", "topups": "feat_topups", "network_experience": "feat_network", "care": "feat_care", "device": "feat_device"}
+
+
+def _subject_sql() -> str:
+    listed = ", ".join(f"d_{d} AS ({ORACLES[q]})" for d, q in FEATURE_QUERY.items())
+    columns = ", ".join(f"d_{d}.{c} AS {d}__{c}" for d, cols in DOMAINS.items() for c in cols)
+    joins = " ".join(f"LEFT JOIN d_{d} ON ba.subscriber_id = d_{d}.subscriber_id" for d in DOMAINS)
+    label = f"CASE WHEN churn IS NULL THEN 0 WHEN churn <= DATE '{RUN}' + 180 THEN 1 ELSE 0 END"
+    known = f"DATE '{RUN}' + 180 <= (SELECT CAST(max(o_orderdate) AS DATE) FROM orders)"
+    return f"WITH {BASE}, {listed}, wide AS (SELECT ba.subscriber_id, segment, {columns}, {label} AS label_churned, {known} AS label_is_observable FROM ba {joins})"
+
+
+def _subject_360(t: Tables) -> DataFrame:
+    """Six feature domains on the subjects of the run date, with the label and whether its horizon is over."""
+    made = {"usage": feat_usage, "billing": feat_billing, "topups": feat_topups, "network_experience": feat_network, "care": feat_care, "device": feat_device}
+    base = telco.base_as_of(_subjects(t), RUN).select("subscriber_id", "segment", "churn_date")
+    wide = features.assemble(base, {d: made[d](t).select("subscriber_id", *cols) for d, cols in DOMAINS.items()}, "subscriber_id")
+    until = t.orders.agg(F.max("o_orderdate")).scalar()
+    return wide.withColumns({"label_churned": features.future_label("churn_date", RUN, 180), "label_is_observable": features.observable(RUN, 180, until)}).drop("churn_date")
+
+
+@query(_subject_sql() + " SELECT * FROM wide")
+def subject_360(t: Tables):
+    return _subject_360(t).select("subscriber_id", "segment", *FEATURES, "label_churned", "label_is_observable")
+
+
+SUMMED = ["usage__events_30d", "billing__bills_12m", "topups__topups_180d", "care__care_contacts_180d", "network_experience__distinct_cells_30d", "device__days_on_current_device"]
+
+
+@query(_subject_sql() + f""", x AS (SELECT *, CAST('0x' || substr(sha256('42:' || CAST(subscriber_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 8000 AS fit, {' + '.join(f'coalesce({c}, 0)' for c in SUMMED)} AS total FROM wide),
+  y AS (SELECT CASE WHEN fit THEN 'train' ELSE 'validation' END AS part, label_churned AS first, total FROM x WHERE label_is_observable UNION ALL SELECT 'inference', subscriber_id, total FROM x)
+  SELECT part, count(*) AS rows, CAST({len(FEATURES) + 1} AS INTEGER) AS columns, CAST(sum(first) AS BIGINT) AS first_column, CAST(sum(total) AS BIGINT) AS total FROM y GROUP BY part""")
+def model_sets(t: Tables):
+    """Train, validation and inference files written without a header and read back by position."""
+    paths = features.write_model_sets(_subject_360(t), "subscriber_id", "label_churned", "label_is_observable", FEATURES, scratch(t.spark, "model-sets"))
+    parts = []
+    for name, path in paths.items():
+        back = t.spark.read.schema(", ".join(["first double", *(f"`{c}` double" for c in FEATURES)])).csv(path)
+        parts.append(back.agg(F.count(F.lit(1)).alias("rows"), F.sum("first").cast("long").alias("first_column"), F.sum(sum((F.col(c) for c in SUMMED), F.lit(0))).cast("long").alias("total"))
+                     .select(F.lit(name).alias("part"), "rows", F.lit(len(back.columns)).alias("columns"), "first_column", "total"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("""WITH s AS (SELECT doc_id, lang, least(n_chars / 20000.0, 1.0) AS score FROM documents),
   r AS (SELECT *, CAST(ntile(10) OVER (PARTITION BY lang ORDER BY score DESC, doc_id) AS INTEGER) AS risk_decile FROM s)
   SELECT doc_id, lang, score, risk_decile, CASE WHEN risk_decile = 1 THEN 'CRITICAL' WHEN risk_decile <= 2 THEN 'HIGH' WHEN risk_decile <= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk_band FROM r""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -270,9 +272,15 @@ def _scope(t: Tables) -> dict[str, DataFrame]:
             "events": t.events.withColumnRenamed("user_id", "subject")}
 
 
-@query("""SELECT o_orderkey, o_custkey AS subject FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
+@query("""WITH g AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
+  SELECT 'orders' AS table_name, o_orderkey AS row_key, o_custkey AS subject FROM orders WHERE o_custkey NOT IN (FROM g)
+  UNION ALL SELECT 'customer', c_custkey, c_custkey FROM customer WHERE c_custkey NOT IN (FROM g)
+  UNION ALL SELECT 'events', event_id, user_id FROM events WHERE user_id NOT IN (FROM g)""")
 def erase(t: Tables):
-    return privacy.erase(_scope(t), _asked(t), "subject")["orders"].select("o_orderkey", "subject")
+    """What is left of all three tables of the scope."""
+    left = privacy.erase(_scope(t), _asked(t), "subject")
+    keys = {"orders": "o_orderkey", "customer": "subject", "events": "event_id"}
+    return reduce(DataFrame.unionByName, [left[n].select(F.lit(n).alias("table_name"), F.col(k).alias("row_key"), "subject") for n, k in keys.items()])
 
 
 @query("""WITH g AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
@@ -286,14 +294,16 @@ def erase_audit(t: Tables):
   SELECT 'customer' AS table_name, count(*) AS rows_before, count(*) FILTER (c_custkey NOT IN (FROM g)) AS rows_after, CAST(0 AS BIGINT) AS residual, CAST(1 AS BIGINT) AS readable_versions FROM customer
   UNION ALL SELECT 'orders', count(*), count(*) FILTER (o_custkey NOT IN (FROM g)), 0, 1 FROM orders
   UNION ALL SELECT 'events', count(*), count(*) FILTER (user_id NOT IN (FROM g)), count(*) FILTER (user_id IN (FROM g)), 2 FROM events)
-  SELECT *, rows_before - rows_after AS erased, residual = 0 AS attested FROM r""")
+  SELECT *, rows_before - rows_after AS erased, residual = 0 AS attested, DATE '2001-08-20' + CASE table_name WHEN 'events' THEN 10 ELSE 3 END AS unrecoverable_at,
+    CASE table_name WHEN 'events' THEN 'VERSION_EXPIRY' ELSE 'FILE_REMOVAL' END AS mechanism FROM r""")
 def attest(t: Tables):
     """The old version of one table can still be read, so that table is not attested."""
     before = _scope(t)
     after = privacy.erase(before, _asked(t), "subject")
     readable = {n: [after[n]] for n in before}
     readable["events"] = [before["events"], after["events"]]
-    return privacy.attest_erasure(before, readable, _asked(t), "subject")
+    rules = t.spark.sql("VALUES ('customer', 5, 3, true), ('orders', 5, 3, false), ('events', 7, 3, false) AS (table_name, version_days, noncurrent_days, pinned)")
+    return privacy.unrecoverable(privacy.attest_erasure(before, readable, _asked(t), "subject"), rules, F.lit("2001-08-20").cast("date"))
 
 
 @query("""WITH r AS (SELECT o_custkey, max(o_orderdate) AS requested FROM orders GROUP BY 1), d AS (SELECT *, CAST(date_diff('day', CAST(requested AS DATE), DATE '2001-08-20') AS INTEGER) AS days_open FROM r)

@@ -26,6 +26,18 @@ def file_stats(spark: SparkSession, path: str, partition_cols: Sequence[str] = (
         F.min("bytes").alias("min_bytes"), F.max("bytes").alias("max_bytes"))
 
 
+def commit_summary(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Files and rows that a commit added, deleted and left, per partition, from two listings of :func:`file_listing`."""
+    parts = [c for c in before.columns if c not in ("file", "bytes", "rows")]
+    old, new = (df.select(*parts, "file", F.col("rows").alias(n)) for df, n in ((before, "was"), (after, "now")))
+    both = old.join(new, [*parts, "file"], "full")
+    added, deleted = F.col("was").isNull(), F.col("now").isNull()
+    total = lambda cond, rows: F.coalesce(F.sum(F.when(cond, F.col(rows))), F.lit(0))
+    return both.groupBy(*parts).agg(
+        F.count_if(added).alias("added_files"), F.count_if(deleted).alias("deleted_files"), F.count_if(~added & ~deleted).alias("kept_files"),
+        total(added, "now").alias("added_rows"), total(deleted, "was").alias("deleted_rows"), total(~added & ~deleted, "now").alias("kept_rows"))
+
+
 def needs_compaction(stats: DataFrame, max_files: int = 500) -> DataFrame:
     return stats.withColumn("compact", F.col("files") > max_files)
 

@@ -43,6 +43,20 @@ def attest_erasure(before: Mapping[str, DataFrame], readable: Mapping[str, Seque
             .withColumn("attested", F.col("residual") == 0))
 
 
+def unrecoverable(attestation: DataFrame, retention: DataFrame, erased_at: Column) -> DataFrame:
+    """Add from when on the erased rows cannot be brought back, and what decides it.
+
+    ``retention`` has per ``table_name`` the days until an old version expires, the days its files stay after that, and
+    whether a branch or tag pins one. Pinned versions never expire, so there is no such time; without an old version that
+    can be read, only the files' days count. A table without a rule has no time either.
+    """
+    old, days = F.col("readable_versions") > 1, F.col("noncurrent_days")
+    until = F.when(F.col("pinned") & old, None).otherwise(days + F.when(old, F.col("version_days")).otherwise(0))
+    why = (F.when(days.isNull(), "NO_RULE").when(F.col("pinned") & old, "PINNED").when(old, "VERSION_EXPIRY").otherwise("FILE_REMOVAL"))
+    return (attestation.join(retention, "table_name", "left")
+            .withColumns({"unrecoverable_at": F.date_add(erased_at, until.cast("int")), "mechanism": why}).drop("version_days", "noncurrent_days", "pinned"))
+
+
 def deadline_watch(requests: DataFrame, requested: str, as_of: str, limit_days: int = 30,
                    warn_days: int = 7) -> DataFrame:
     """Open requests that breach the deadline or are within ``warn_days`` of it."""

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,13 @@ def assert_not_empty(df: DataFrame, what: str = "input") -> DataFrame:
     return df
 
 
+def not_empty(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per table: whether it holds a row; no table is read further than its first one."""
+    firsts = [df.select(F.lit(name).alias("table_name")).limit(1).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), (F.col("n") > 0).alias("passed"))
+              for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, firsts)
+
+
 def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "table") -> DataFrame:
     if not duplicate_keys(df, keys).isEmpty():
         raise QualityError(f"{what} holds duplicates of {list(keys)}")

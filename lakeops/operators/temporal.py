@@ -229,3 +229,24 @@ def lead_features(hourly: DataFrame, anchors: DataFrame, key: str, bucket: str,
     return hit.groupBy(key, anchor).agg(
         F.max("_lead").alias("earliest_lead_h"), F.max_by("_signal", "_lead").alias("first_signal"),
         F.count(F.lit(1)).alias("breach_hours"))
+
+
+def widen(df: DataFrame, keys: Sequence[str], bucket: Column, name: str, measure: str, value: str, measures: Sequence[str],
+          first_by: Sequence[str], slice_seconds: int = 30 * sliced.DAY) -> DataFrame:
+    """Long readings to one row per key and bucket with a column per measure, the first reading winning.
+
+    Adds ``filled``, the number of measures present, and ``gap_minutes`` since the key's row before; the gap is taken over
+    the wide rows, slice by slice.
+    """
+    wide = df.groupBy(*keys, bucket.alias(name)).pivot(measure, list(measures)).agg(F.min_by(value, F.struct(*first_by)))
+    filled = wide.withColumn("filled", sum((F.col(m).isNotNull().cast("int") for m in measures), F.lit(0)))
+    spaced = gaps(filled, keys, name, slice_seconds=slice_seconds)
+    return spaced.withColumn("gap_minutes", F.col("gap_seconds") / 60).drop("gap_seconds")
+
+
+def sparsity(wide: DataFrame, filled: str, levels: Sequence[int], gap: str) -> DataFrame:
+    """For each level the rows with at least as many values, their share of all rows and the longest gap before one; one aggregate."""
+    at = {n: F.col(filled) >= n for n in levels}
+    one = wide.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(f"r{n}") for n, c in at.items()], *[F.max(F.when(c, F.col(gap))).alias(f"g{n}") for n, c in at.items()])
+    rows = [F.struct(F.lit(n).alias("least_filled"), F.col(f"r{n}").alias("rows"), F.round(F.try_divide(f"r{n}", "n"), 6).alias("share"), F.col(f"g{n}").alias("longest_gap")) for n in levels]
+    return one.select(F.inline(F.array(*rows)))

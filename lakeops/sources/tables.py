@@ -40,6 +40,26 @@ def overwrite_slices(df: DataFrame, path: str, slice_cols: Sequence[str]) -> Non
      .partitionBy(*slice_cols).parquet(path))
 
 
+def replace_slice(df: DataFrame, path: str, slice_col: str, value: str, partition_by: Sequence[str] = ()) -> None:
+    """Make ``df`` all there is in one slice, also where the slice's own partitions become fewer."""
+    target = f"{path}/{slice_col}={value}"
+    df.where(F.col(slice_col) == value).drop(slice_col).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*partition_by).parquet(target)
+
+
+def append_commit(df: DataFrame, path: str, commit: str, column: str = "_commit") -> None:
+    """Add rows as one commit, in a directory of its own; a commit that is written again replaces itself and nothing else."""
+    overwrite_slices(df.withColumn(column, F.lit(commit)), path, [column])
+
+
+def create_or_replace(df: DataFrame, table: str, path: str, properties: dict[str, str], partition_by: Sequence[str] = ()) -> None:
+    """A catalog table over Parquet files with the given properties; one of that name is replaced, schema and all."""
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    df.write.mode("overwrite").option("path", path).partitionBy(*partition_by).format("parquet").saveAsTable(table)
+    listed = ", ".join(f"'{k}' = '{v}'" for k, v in properties.items())
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({listed})")
+
+
 def refresh_slice(source: DataFrame, build: Callable[[DataFrame], DataFrame], path: str,
                   slice_col: str, since: Column) -> None:
     """Recompute a stored aggregate from ``since`` on and swap in those slices only."""

@@ -9,6 +9,8 @@ name of the document - the same person all the way through. Windows whose words
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,18 +73,38 @@ def raw_words(text: Column) -> Column:
     return _cut(F.lower(text))
 
 
-def _windows(words: Column, size: Column) -> Column:
-    """A hash for each run of ``size`` words."""
-    return F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(F.slice(words, i + 1, size)))
+def _hashes(words: Column) -> Column:
+    """A hash for each word."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _windows(hashes: Column, size: Column | int) -> Column:
+    """A hash for each run of ``size`` words, from the hashes of the words. A known size needs no array for each run."""
+    if isinstance(size, int):
+        return F.transform(F.sequence(F.lit(0), F.size(hashes) - size), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(size)]))
+    return F.transform(F.sequence(F.lit(0), F.size(hashes) - size), lambda i: F.xxhash64(F.slice(hashes, i + 1, size)))
+
+
+def _turned(h: Column, place: Column | int) -> Column:
+    """A hash turned by its place in a window, so that hashes of words can be put together by exclusive or."""
+    by = F.lit(7 * place + 1) if isinstance(place, int) else place * 7 + 1
+    return F.call_function("shiftleft", h, by).bitwiseOR(F.call_function("shiftrightunsigned", h, 64 - by))
 
 
 def _left_out(run: Column, size: int, mask: int) -> Column:
-    """The hash of a window whose words at the bits of ``mask`` are names."""
-    return F.xxhash64(*[F.lit(NAME) if mask >> j & 1 else F.get(run, F.lit(j)) for j in range(size)])
+    """The hash of a window whose words at the bits of ``mask`` are names, from the hashes of its words: one step a word."""
+    told = [_turned(F.get(run, F.lit(j)), j) for j in range(size) if not mask >> j & 1]
+    return reduce(lambda x, y: x.bitwiseXOR(y), told, F.xxhash64(F.lit(size), F.lit(mask)))
+
+
+def _held(win: Column, size: Column, mask: Column) -> Column:
+    """The same hash of an item's window, whatever its mask."""
+    told = F.transform(win, lambda w, j: F.when(w == NAME, F.lit(0).cast("long")).otherwise(_turned(F.xxhash64(w), j)))
+    return F.aggregate(told, F.xxhash64(size, mask), lambda x, y: x.bitwiseXOR(y))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_windows: int = 6, least_share: float = 0.5, least_literal: int = 5,
-                 small: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                 id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row for each document and benchmark item of which it holds a passage.
 
     A pair is reported if, over the runs whose names agree, ``least_windows`` consecutive windows (13 words) or
@@ -92,7 +114,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_w
     document is reported for each row, a repeated item once.
 
     Columns: doc_id, tkey (hash of the text), item_id, n_windows (of the item), n_matched, n_slots (placeholders compared),
-    exact (no slot differs). The benchmark's windows are broadcast only if they are ``small`` or fewer.
+    exact (no slot differs). Whether the benchmark's windows are broadcast is up to the planner, by their size. Words are hashed
+    once each; the hash of a window with names left out is put together from those of its words.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     given = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
@@ -103,14 +126,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_w
     joined = materialised(_collapsed(one.withColumn("seq", F.lit(JOINED)).withColumn("_n", F.size("w")), NAME), "joined").filter("size(w) < _n").drop("_n")
     items = one.union(joined).union(given.select("item", F.lit(RAW), raw_words(F.col("text")), raw_words(F.col("text")))).filter("size(w) >= 3").dropDuplicates(["item", "seq", "raw"])
     items = materialised(items.withColumn("size", F.least(F.size("w"), F.lit(window))).withColumn("n_windows", F.size("w") - F.col("size") + 1), "items")
-    spots = items.select("item", "seq", "size", "n_windows", "w", F.posexplode(_windows(F.col("w"), F.col("size"))).alias("at", "h"))
+    spots = items.select("item", "seq", "size", "n_windows", "w", F.posexplode(_windows(_hashes(F.col("w")), F.col("size"))).alias("at", "h"))
     in_window = F.slice("w", F.col("at") + 1, F.col("size"))
     literal = F.size(F.filter(in_window, lambda w: ~w.isin(NUMBER, NAME, UNIT)))
     mask = F.aggregate(F.transform(in_window, lambda w, j: F.when(w == NAME, F.pow(F.lit(2), j)).otherwise(F.lit(0.0))), F.lit(0.0), lambda m, v: m + v).cast("int")
-    spots = materialised(spots.filter(literal * window >= F.col("size") * least_literal).withColumn("slots", literal < F.col("size")).withColumn("mask", mask).drop("w").withColumn("rank", F.row_number().over(Window.partitionBy("item", "seq").orderBy("at"))), "spots")
+    spots = materialised(spots.filter(literal * window >= F.col("size") * least_literal).withColumn("slots", literal < F.col("size")).withColumn("mask", mask).withColumn(
+        "h", F.when(mask > 0, _held(in_window, F.col("size"), mask)).otherwise(F.col("h"))).drop("w").withColumn("rank", F.row_number().over(Window.partitionBy("item", "seq").orderBy("at"))), "spots")
     # Sequences, sizes and placements of names that windows have: at most 93 placements for each size, by least_literal.
     kinds = spots.groupBy(F.expr(f"seq = '{RAW}'").alias("plain"), "size", F.expr("mask > 0").alias("named")).agg(F.sort_array(F.collect_set("mask")).alias("masks")).collect()
-    build = F.broadcast(spots) if spots.count() <= small else spots
 
     keyed = rows.withColumn("tkey", F.xxhash64("text"))
     close = keyed.select("id", "tkey", _apart(F.col("text")).alias("text"))
@@ -120,15 +143,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_w
         worded[seq] = _collapsed(texts.select("id", "tkey", typed_words(F.col("text")).alias("words")), NUMBER, "words", None)
     columns = ["id", "tkey", "place", "item", "seq", "doc_seq", "at", "rank", "n_windows", "size", "slots"]
     hits = None
-    for seq, (plain, size, named, masks) in [(seq, k) for k in kinds for seq in ((RAW,) if k["plain"] else (TEMPLATE, JOINED))]:
+    # Neighbouring names of a document count as one only where the benchmark has names: no other window can span a joined word.
+    templates = (TEMPLATE, JOINED) if any(k["named"] for k in kinds) else (TEMPLATE,)
+    for seq, (plain, size, named, masks) in [(seq, k) for k in kinds for seq in ((RAW,) if k["plain"] else templates)]:
+        hashed = worded[seq].select("id", "tkey", _hashes(F.col("words")).alias("hashes"))
         if named:  # the document's words at the places of names may be any, so each placement is tried
-            runs = F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), lambda i: F.slice("words", i, size))
-            exploded = worded[seq].select("id", "tkey", F.posexplode(F.when(F.size("words") >= size, runs)).alias("place", "run"))
+            runs = F.transform(F.sequence(F.lit(1), F.size("hashes") - size + 1), lambda i: F.slice("hashes", i, size))
+            exploded = hashed.select("id", "tkey", F.posexplode(F.when(F.size("hashes") >= size, runs)).alias("place", "run"))
             exploded = exploded.select("id", "tkey", "place", F.explode(F.array(*[_left_out(F.col("run"), size, m) for m in masks])).alias("hash"))
         else:
-            runs = F.when(F.size("words") >= size, _windows(F.col("words"), F.lit(size)))  # a filter would make the words twice
-            exploded = worded[seq].select("id", "tkey", F.posexplode(runs).alias("place", "hash"))
-        wanted = build.filter(((F.col("seq") == RAW) == plain) & (F.col("size") == size) & ((F.col("mask") > 0) == named))
+            runs = F.when(F.size("hashes") >= size, _windows(F.col("hashes"), size))  # a filter would make the words twice
+            exploded = hashed.select("id", "tkey", F.posexplode(runs).alias("place", "hash"))
+        wanted = spots.filter(((F.col("seq") == RAW) == plain) & (F.col("size") == size) & ((F.col("mask") > 0) == named))
         found = exploded.join(wanted, F.col("hash") == F.col("h")).withColumn("doc_seq", F.lit(seq)).select(*columns)
         hits = found if hits is None else hits.union(found)
     if hits is None:

@@ -121,7 +121,9 @@ def test_decontamination(spark):
     found = {(r.doc_id, r.item_id): r for r in got.collect()}
     assert set(found) == {(1, 1), (2, 1), (4, 2), (5, 2), (None, 2), (10, 5), (11, 2), (12, 2), (12, None)}
     assert found[1, 1].exact and not found[2, 1].exact and found[2, 1].n_slots > 5
-    shuffled = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench, small=0).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    shuffled = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert shuffled == set(found)  # the same without a broadcast
     left = decontamination.decontaminated(docs, bench)
     assert left.schema == docs.schema and {r.doc_id for r in left.collect()} == {3, 6, 7, 8, 9, 13}

@@ -37,6 +37,18 @@ def task(fn: Callable, *args):
     return run
 
 
+_REMEMBERED: dict = {}
+
+
+def remembered(key, make: Callable):
+    """What a worker keeps from task to task: one thing at a time, so that a worker that is used again by another operator
+    does not carry along what the one before it has learned."""
+    if key not in _REMEMBERED:
+        _REMEMBERED.clear()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
 def in_batches(batches: Iterator[pa.RecordBatch], rows: int = 256, chars: int = 4 << 20, column: str = "text"):
     """Cut Arrow batches into lists of Python rows of bounded count and text length."""
     for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import in_batches, matching, task, texts
+from lakeops.llm.common import in_batches, matching, remembered, task, texts
 from lakeops.llm.components import components
 from lakeops.session import materialised
 
@@ -40,15 +40,14 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 600_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
 
 
-@functools.cache
 def _hashes() -> _Hashes:
-    return _Hashes()
+    return remembered("hyperminhash", _Hashes)
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:

@@ -8,7 +8,6 @@ texts with characters whose cutting rule depends on the context, go through the
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -16,6 +15,8 @@ import struct
 
 import numpy as np
 
+from lakeops.llm.common import remembered
+
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ"
 MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation and symbols but the apostrophe, which begins contractions
 ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
@@ -113,10 +114,9 @@ def _kind(spec: dict) -> str | None:
     return None
 
 
-@functools.cache
 def encoder(path: str) -> Encoder:
-    """One encoder for each file and Python worker."""
-    return Encoder(path)
+    """One encoder for each Python worker."""
+    return remembered(("encoder", path), lambda: Encoder(path))
 
 
 def vocabulary(name: str) -> str:

@@ -8,11 +8,11 @@ n-grams with the words it comes from. Since all steps are linear, scoring needs
 
 from __future__ import annotations
 
-import functools
 import re
 import uuid
 import zlib
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.llm.common import in_batches, task, texts
+from lakeops.llm.common import in_batches, remembered, task, texts
 
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -129,22 +129,14 @@ class _Margins(dict):
         own = self.margins[grams(word, self.size)]
         own = own[~np.isnan(own)]
         value = float(own.mean()) if len(own) else self.typical
-        if len(self) < 600_000:
+        if len(self) < 300_000:
             self[word] = value
         return value
 
 
-@functools.lru_cache(maxsize=1)
-def _known(key: str) -> list:
-    return []
-
-
 def _margins(model: Model) -> _Margins:
     """The words of a model that this worker has met, kept from task to task."""
-    kept = _known(model.key)
-    if not kept:
-        kept.append(_Margins(model))
-    return kept[0]
+    return remembered(("toxicity", model.key), lambda: _Margins(model))
 
 
 def score_text(text: str, model: Model, known: _Margins) -> float:
@@ -164,12 +156,11 @@ def _scores(batches, shared):
                                          names=[*(c for c in batch.schema.names if c != "text"), "score"])
 
 
-def _kept(batches, shared, column: str):
+def _clean(batches, shared):
     model = shared.value
     known = _margins(model)
-    for batch in in_batches(batches, column=column):
-        keep = [score_text(t or "", model, known) < model.at for t in batch.column(column).to_pylist()]
-        yield batch.filter(pa.array(keep, pa.bool_()))
+    for column in batches:
+        yield pa.array([score_text(t or "", model, known) < model.at for t in column.to_pylist()], pa.bool_())
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
@@ -205,6 +196,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are not predicted toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(task(_kept, shared, text_col), docs.schema)
+    """The rows of ``docs``, all columns, that are not predicted toxic.
+
+    Only texts go to Python and only verdicts come back; the rows wait in the JVM, which spills them if it must.
+    """
+    run = task(_clean, docs.sparkSession.sparkContext.broadcast(model))
+
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from run(texts)
+
+    return docs.filter(clean(F.col(text_col)))

@@ -1,9 +1,17 @@
 """Secret scans: fixed patterns, and a lexer that follows literals to the names they are assigned to.
 
-The lexer reads source and configuration syntax - ``name = "x"``, ``"name": "x"``, ``name: x``, ``NAME=x``, ``name := "x"``,
-``a["name"] = "x"``, ``<name>x</name>`` - into pairs of a name and a value. A value is built from literals and from names
-that hold a constant (joined with ``+``, or named inside ``${...}``), so a literal is judged by every name it reaches, not only
-by the one it is written next to. A literal that reaches a sensitive name is scored by that name and by its own looks.
+The lexer reads source and configuration syntax into pairs of a name and the literals its expression stands for:
+assignments (``name = "x"``, ``name: str = "x"``, ``var name string = "x"``, ``a["name"] = "x"``, ``name := "x"``, ``$n => "x"``),
+mappings (``"name": "x"``, ``name: x``, block scalars after ``name: |``), ``NAME=x``, ``<name>x</name>``,
+``<entry key="name">x</entry>``, ``<add key="name" value="x"/>`` and ``call("name", "x")``. An expression is a literal, neighbouring or added
+literals, arguments of a call, items of a list, or alternatives. Names that hold a constant stand for it, alone, in a sum or inside
+``${...}``, so a literal is judged by every name it reaches, not only by the one it is written next to. Calls, types
+and unknown names are never literals; the key of a lookup (``environ.get("KEY", "x")``, ``a["KEY"]``) is a name; a value without quotes
+is a literal only in configuration syntax, alone on its line or after ``=`` without blanks. A literal that reaches a sensitive name is scored by
+that name and by its own looks.
+
+Texts are read whole in time that grows with their length: an expression ends where the next pair begins. An empty or NULL text has
+no spans; rows never meet, so repeated rows, ties and clashing columns do not matter.
 """
 
 from __future__ import annotations
@@ -25,21 +33,38 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # 20 characters or more
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGNED = 6
+INDENT = 1000  # white space looked through before a name, to tell whether it leads its line
 KINDS = ("assign", "access", "hex", "literal", "flow")
 
 # Words of sensitive names, pairs of words that are sensitive together, words that make a name harmless,
 # and literals that stand for a secret without being one.
-SENSITIVE = {"password", "passwd", "pwd", "passphrase", "secret", "secrets", "token", "apikey", "credential", "credentials", "privatekey", "authkey"}
+SENSITIVE = {"password", "passwords", "passwd", "pwd", "passphrase", "secret", "secrets", "token", "apikey", "credential", "credentials", "privatekey", "authkey"}
 SENSITIVE_PAIRS = {("api", "key"), ("access", "key"), ("private", "key"), ("auth", "key"), ("signing", "key"), ("encryption", "key"), ("secret", "key"), ("session", "key")}
 HARMLESS = {"length", "len", "count", "policy", "name", "file", "path", "url", "type", "ttl", "expiry", "field", "label", "hint", "prompt", "regex", "pattern", "limit", "max", "min"}
+LOOKUPS = {"get", "getenv", "env", "environ", "getproperty", "property", "lookup", "fetch", "read", "load", "open", "input", "prompt", "getpass", "find", "resolve", "config", "option", "param"}
+READS = {"print", "printf", "println", "format", "log", "info", "debug", "warn", "warning", "error", "assert", "raise", "replace", "split", "join", "encode", "decode", "match", "compile", "startswith", "endswith"}
+KEYWORDS = {"new": "", "await": "", "const": "", "static": "", "or": "other", "if": "other", "else": "other"}
 PLACEHOLDER = re.compile(r"(?i)change.?me|example|placeholder|dummy|your[_\- ]|x{4,}|\*{3,}|\.{3,}|^<.*>$|^(?:none|null|true|false|todo|test|redacted|undefined)$")
 
 STRING = r'(?:[rbuf]{0,2}(?:"""(?:[^"\\]|\\.|"(?!""))*+"""|"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|`[^`\n]*+`))'
+NAME = r"[A-Za-z_$][\w$]*+(?:(?:\.|::|->|\?\.)[A-Za-z_$][\w$]*+)*+"
+TYPE = r"(?:&(?:'\w++[ \t]+)?(?:mut[ \t]+)?|\*+)?[A-Za-z_]\w*+(?:(?:\.|::)\w++)*+(?:\[[^\]\n]{0,60}\]|<[^>\n=]{0,60}>)?[?!]?(?:[ \t]*\|[ \t]*\w++)*+"
 PAIR = re.compile(
-    r"(?<![\w.\-$])(?P<name>[A-Za-z_][\w.\-]*+)(?:[\"']?\]|[\"'])?[ \t]*+(?:=>|:=|=(?![=~>])|:(?!:|//))[ \t]*+"
-    rf"(?P<value>(?:{STRING}|[A-Za-z_][\w.]*+(?=[ \t]*\+))(?:[ \t]*+\+[ \t]*+(?:{STRING}|[A-Za-z_][\w.]*+))*+|[^\s\"'`,;(){{}}\[\]<>#]++)", re.DOTALL)
+    r"(?<![\w.\-])-{0,2}+(?P<name>[A-Za-z_][\w.\-]*+)(?P<close>[\"']?\]|[\"']|\[\d*\])?[ \t]*+"
+    rf"(?P<op>=>|:=|\+=|=(?![=~>])|:[ \t]*+{TYPE}[ \t]*+=(?![=~>])|:(?!:|//))[ \t]*+")
 TAGGED = re.compile(r"<(?P<name>[A-Za-z_][\w.\-]*+)>(?P<value>[^<>\n]++)</(?P=name)>")
-PART = re.compile(rf"({STRING})|([A-Za-z_][\w.]*+)")
+TAG = re.compile(r"<[A-Za-z][\w:.\-]*+(?=\s)(?P<attributes>[^<>]*+)>(?:(?P<value>[^<>\n]++)</)?")
+ATTRIBUTE = re.compile(r"([A-Za-z_][\w:.\-]*+)\s*+=\s*+(?:\"([^\"<>]*+)\"|'([^'<>]*+)')")
+ARGUMENTS = re.compile(rf"\(\s*+(?P<q>[\"'])(?P<name>[A-Za-z_][\w.\-]*+)(?P=q)\s*+,\s*+(?:(?P<literal>{STRING})|(?P<known>{NAME}))\s*+[,)]", re.DOTALL)
+TOKEN = re.compile(
+    rf"(?P<blank>[ \t]++|\\\r?\n|/\*(?:[^*]|\*(?!/))*+\*/)|(?P<line>\r?\n)|(?P<literal>{STRING})|(?P<name>{NAME}!?(?=(?P<call>[ \t]*+\()?))|(?P<number>\d[\w.]*+)"
+    rf"|(?P<member>\??\.[A-Za-z_]\w*+)|(?P<join>\+(?!=)|\.\.|\.)|(?P<open>[(\[])|(?P<close>[)\]])|(?P<other>,|\|\||\?\??)|(?P<pair>=>?|:)|(?P<rest>.)", re.DOTALL)
+BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>#]++")
+ALONE = re.compile(r"[ \t]*+(?:[;,][ \t]*+)?(?:#[^\n]*+)?(?:\r?\n|$)")
+LEADS = re.compile(r"[ \t]*+(?:(?:#|//)[ \t]*+)?(?:(?:export|set|setx|ENV|ARG)[ \t]++|-[ \t]++|--?|-D)?[\"']?$")
+SCALAR = re.compile(r"[|>][+\-\d]*+[ \t]*+(?:#[^\n]*+)?\r?\n")
+GOES_ON = re.compile(r"[ \t]++(?:\+[ \t]|\.\.|\|\||\?\?)|[ \t]*+[\"'`](?![^\n]*?[\"'`][ \t]*+[:=])")
+SHELL = re.compile(r"\$\{?([A-Za-z_]\w*+)\}?")
 INSIDE = re.compile(r"\$?\{([A-Za-z_][\w.]*)\}|\$([A-Za-z_]\w*)")
 SUBWORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
@@ -84,39 +109,236 @@ def _literal(raw: str, start: int) -> Constant:
     return Constant(raw[head + quotes:len(raw) - quotes], ((start + head + quotes, start + len(raw) - quotes),))
 
 
-def _value(raw: str, start: int, known: dict[str, Constant]) -> tuple[Constant, bool]:
-    """The constant that an expression stands for, and whether names took part in it."""
-    if raw[:1] in "\"'`" or re.match(r"[rbuf]{1,2}[\"'`]", raw) or "+" in raw and PART.match(raw) and not re.fullmatch(r"[\w+/=.\-]+", raw):
-        parts, through = [], False
-        for m in PART.finditer(raw):
-            if m[1] is not None:
-                part = _literal(m[1], start + m.start())
-                named = [known[n] for n in (a or b for a, b in INSIDE.findall(part.text)) if n in known]
-                parts += [part, *named] if not named else [Constant(part.text, ()), *named]
-                through = through or bool(named)
-            elif m[2] in known:
-                parts.append(known[m[2]])
-                through = True
-        return Constant("".join(p.text for p in parts), tuple(s for p in parts for s in p.spans)), through
-    named = INSIDE.fullmatch(raw)
-    name = (named[1] or named[2]) if named else raw
-    if name in known:
-        return known[name], True
-    return Constant(raw, ((start, start + len(raw)),)), False
+class Known(dict):
+    """What the names of a text hold: for each, the constants that it may stand for."""
+
+    def inside(self, literal: Constant) -> tuple[Constant, bool]:
+        """A literal with the constants that it names in ``${...}``; without them, only its own words count."""
+        if "$" not in literal.text and "{" not in literal.text:
+            return literal, False
+        names = [a or b for a, b in INSIDE.findall(literal.text)]
+        held = [self[n][0] for n in names if n in self]
+        if held:
+            return Constant(literal.text + "".join(c.text for c in held), tuple(s for c in held for s in c.spans)), True
+        return (Constant(INSIDE.sub("", literal.text), literal.spans) if names else literal), False
+
+
+class Expression:
+    """The constants that an expression may stand for, taken in from left to right: neighbours and sums are one constant."""
+
+    def __init__(self, known: Known):
+        self.known, self.constants, self.parts, self.through, self.flows = known, [], [], False, []
+
+    def add(self, constants: list[Constant], through: bool):
+        if len(constants) > 1 and not self.parts:
+            self.constants += constants
+            self.flows += [through] * len(constants)
+        else:
+            self.parts += constants[:1]
+            self.through = self.through or through
+
+    def finish(self):
+        """What was read so far is one constant; another one may follow."""
+        if self.parts:
+            self.constants.append(Constant("".join(p.text for p in self.parts), tuple(s for p in self.parts for s in p.spans)))
+            self.flows.append(self.through)
+        self.parts, self.through = [], False
+
+
+def _bare(text: str, m: re.Match, known: Known) -> tuple[list[Constant], bool]:
+    """A value without quotes that is a literal, since the pair stands in configuration syntax, or a shell variable."""
+    at = m.end()
+    value = BARE.match(text, at)
+    shell = SHELL.match(text, at)
+    if shell and (not value or shell.end() >= value.end()):
+        return known.get(shell[1], []), True
+    if value is None or value[0] in known:
+        return [], False
+    word, end = value[0], value.end()
+    if text[end:end + 1] in ("(", "[", "{", "<", '"', "'", "`"):
+        return [], False
+    blanks = m["op"] == ":" or text[m.start("op") - 1] in " \t" or text[at - 1] in " \t"
+    if m["op"] not in ("=", ":") or m["close"]:
+        return [], False
+    before = max(text.rfind("\n", max(0, m.start() - INDENT), m.start()) + 1, m.start() - INDENT, 0)
+    leads = LEADS.match(text, before, m.start()) is not None and ALONE.match(text, end) is not None
+    if not leads and blanks:
+        return [], False
+    if re.fullmatch(NAME, word):  # a name, unless nothing but a value can stand there
+        digits = any(c.isdigit() for c in word) and "_" not in word
+        if "." in word or "::" in word or "->" in word or not leads or blanks and not digits and (m["op"] == "=" or word[0].isupper()):
+            return [], False
+    return [Constant(word, ((at, end),))], False
+
+
+def _scalar(text: str, m: re.Match) -> list[Constant]:
+    """The lines of a block scalar: those after ``name: |`` that are indented deeper than the name."""
+    first = SCALAR.match(text, m.end())
+    if m["op"] != ":" or not first:
+        return []
+    begins = text.rfind("\n", 0, m.start()) + 1
+    depth = len(text[begins:m.start()]) - len(text[begins:m.start()].lstrip(" "))
+    at, lines, spans = first.end(), [], []
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        if line.strip():
+            indent = len(line) - len(line.lstrip(" "))
+            if indent <= depth:
+                break
+            lines.append(line.strip())
+            spans.append((at + len(line) - len(line.lstrip()), at + len(line.rstrip())))
+        at = end + 1
+    return [Constant("\n".join(lines), tuple(spans))] if lines else []
+
+
+def _expression(text: str, m: re.Match, known: Known) -> tuple[list[Constant], list[bool], bool]:
+    """The constants after a pair's sign, whether each came through names, and whether the value is the next pair's.
+
+    Brackets are a stack of what they open: a call whose first argument is a key, one that makes nothing of its literals, a
+    subscript, or a plain group. The text is read up to the end of the statement or to the next pair.
+    """
+    out, stack, at, last, condition, opening = Expression(known), [], m.end(), "", False, ""
+    while at < len(text):
+        t = TOKEN.match(text, at)
+        kind = t.lastgroup if t.lastgroup != "call" else "name"
+        at = t.end()
+        if kind == "blank":
+            continue
+        if kind == "line":
+            if stack or last in ("join", "other"):
+                continue
+            if not last and (m["op"] != ":" or m["close"]) and text[at:at + 200].lstrip()[:1] in ("'", '"', "`", "(", "["):
+                continue
+            if last and m["op"] != ":" and GOES_ON.match(text, at):
+                continue
+            break
+        if kind == "literal":
+            after = text[at:at + 2].lstrip()[:1]
+            if after in (":", "=") and not condition:  # a key: the next pair begins
+                break
+            role = stack[-1] if stack else ""
+            if role == "key":
+                stack[-1] = "group"
+            elif "skip" not in stack and "key" not in stack:
+                constant, through = known.inside(_literal(t["literal"], t.start()))
+                if not (role == "group" and re.fullmatch(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+", constant.text)):
+                    out.add([constant], through)
+        elif kind == "name":
+            word = t["name"].lstrip("$")
+            if word in KEYWORDS:
+                kind = KEYWORDS[word] or last
+                condition = condition or word == "if"
+                if kind == "other":
+                    out.finish()
+            elif t["call"] is not None:
+                tail = re.split(r"\W+", word.rstrip("!"))[-1].lower()
+                opening = "skip" if tail in READS else "key" if tail in LOOKUPS else "group"
+            elif text[at:at + 1] == "[":
+                opening = "skip"
+            elif not stack and last in ("literal", "name", "close"):
+                break
+            elif word in known and "skip" not in stack and "key" not in stack[-1:]:
+                out.add(known[word], True)
+        elif kind == "member":
+            tail = t["member"].lstrip("?.").lower()
+            opening = "key" if tail in LOOKUPS else "skip"
+            kind = "name"
+        elif kind == "open":
+            stack.append(opening or ("skip" if last in ("name", "close", "literal") and t["open"] == "[" else "group"))
+            opening = ""
+            if last != "join":
+                out.finish()
+        elif kind == "close":
+            if not stack:
+                break
+            stack.pop()
+        elif kind == "other":
+            if t["other"] == "," and not stack:
+                break
+            condition = condition or t["other"] == "?"
+            out.finish()
+        elif kind == "pair":
+            if not condition or t["pair"] != ":":
+                return out.constants, out.flows, last == "name" and not stack and not out.constants and t["pair"] == "=" and text[at:at + 1] != "="
+            condition = False
+            out.finish()
+        elif kind in ("number", "rest"):
+            if not stack or t[0] in ";{}":
+                break
+            out.finish()
+        last = kind
+    out.finish()
+    return out.constants, out.flows, False
+
+
+def _pairs(text: str):
+    """All matches that give a name and a value, in order."""
+    pairs = [*PAIR.finditer(text)] if ":" in text or "=" in text else []
+    if "</" in text or "/>" in text:
+        pairs += [*TAGGED.finditer(text), *TAG.finditer(text)]
+    if "(" in text and "," in text:
+        pairs += ARGUMENTS.finditer(text)
+    return sorted(pairs, key=lambda m: m.start())
+
+
+def _tagged(m: re.Match) -> tuple[str | None, list[Constant]]:
+    """The name that a tag's ``key``, ``name`` or ``id`` gives, and the value attribute or the text behind the tag."""
+    at, attributes = m.start("attributes"), {}
+    for a in ATTRIBUTE.finditer(m["attributes"]):
+        group = 2 if a[2] is not None else 3
+        attributes[a[1].lower()] = Constant(a[group], ((at + a.start(group), at + a.end(group)),))
+    name = next((attributes[k].text for k in ("key", "name", "id") if k in attributes), None)
+    if "value" in attributes:
+        return name, [attributes["value"]]
+    return name, [Constant(m["value"], (m.span("value"),))] if m["value"] else []
 
 
 def assigned(text: str) -> list[Span]:
     """Literals that reach a sensitive name: ``literal`` beside the name, ``flow`` through other names."""
-    found, known = {}, {}
-    pairs = [*PAIR.finditer(text)] if ":" in text or "=" in text else []
-    if "</" in text:
-        pairs = sorted([*pairs, *TAGGED.finditer(text)], key=lambda m: m.start())
-    for m in pairs:
-        value, through = _value(m["value"], m.start("value"), known)
-        known[m["name"]] = value
-        if name_score(m["name"]) + literal_score(value.text) >= 0.7:
-            for start, end in value.spans:
-                found.setdefault((start, end), Span("flow" if through else "literal", start, end, start))
+    found, known, waiting = {}, Known(), []
+    for m in _pairs(text):
+        awaits, names = False, []
+        if m.re is PAIR:
+            name = m["name"]
+            if name in ("string", "String"):  # ``var name string = "x"``: the type stands before the sign
+                declared = re.search(r"\b(?:var|const)[ \t]+(\w+)[ \t]+$", text[max(0, m.start() - 200):m.start()])
+                name = declared[1] if declared else name
+            waiting.append(name)
+            names = waiting
+            constants, through = _scalar(text, m), False
+            if not constants:
+                constants, through = _bare(text, m, known)
+            flows = [through] * len(constants)
+            if not constants and text[m.end():m.end() + 1] not in ("", "{"):
+                constants, flows, awaits = _expression(text, m, known)
+            if m["op"] == "+=" and name in known and constants:
+                old = known[name][0]
+                constants = [Constant(old.text + c.text, old.spans + c.spans) for c in constants]
+        elif m.re is TAG:
+            name, constants = _tagged(m)
+            names, flows = [name] if name else [], [False] * len(constants)
+        elif m.re is TAGGED:
+            names, constants, flows = [m["name"]], [Constant(m["value"], (m.span("value"),))], [False]
+        else:
+            names = [m["name"]]
+            constant, through = known.inside(_literal(m["literal"], m.start("literal"))) if m["literal"] else (None, True)
+            constants = [constant] if constant else known.get(m["known"], [])
+            constants = [c for c in constants if not any(x.isspace() for x in c.text)]
+            flows = [through] * len(constants)
+        waiting = waiting if awaits else []
+        for name in names if not awaits else []:
+            if m.re is not ARGUMENTS:
+                if constants:
+                    known[name] = constants
+                else:
+                    known.pop(name, None)
+            score = name_score(name)
+            for constant, through in zip(constants, flows) if score else ():
+                if score + literal_score(constant.text) >= 0.7:
+                    for start, end in constant.spans:
+                        found.setdefault((start, end), Span("flow" if through else "literal", start, end, start))
     return [*found.values()]
 
 

@@ -87,35 +87,6 @@ def test_licences(spark):
     assert licenses.scan(no_docs(spark), weights, least).collect() == []
 
 
-WORDINGS = [
-    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction", {"mit"}),
-    ("// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation, either version 3 of the License", {"gpl"}),
-    (" * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:", {"bsd"}),
-    ("This package is distributed under the MIT licence.", {"mit"}), ("You may copy it under the terms of the BSD license.", {"bsd"}), ("The tool was released under the GPLv3 last week.", {"gpl"}),
-    ('"license": "(MIT OR Apache-2.0)"', {"mit", "apache"}), ("SPDX-License-Identifier: (MIT OR Apache-2.0)", {"mit", "apache"}), ("Licensed under the Apache License 2.0.", {"apache"}),
-    ("SPDX-License-Identifier: GPL-2.0-only", {"gpl"}), ("MIT License", {"mit"}), ("License: MIT", {"mit"}), ("released under the\nMIT license", {"mit"}),
-]
-
-
-def test_licence_wordings(spark):
-    """Wrapped notices, other wordings and several licences at once; prose around them says nothing."""
-    rows = [(i, f"{prose(i, 30)}\n\n{text}\n\n{prose(900 + i, 30)}", "en", "a", 0) for i, (text, _) in enumerate(WORDINGS)]
-    rows += [(100 + k, f"{prose(k, 20)}\n{a}\n{b}", "en", "a", 0) for k, (a, b) in enumerate(zip(licenses.OTHERS, licenses.OTHERS[1:]))]
-    rows += [(7000 + k, "\n".join(prose(k * 9 + j, 15) for j in range(4)), "en", "a", 0) for k in range(100)] + [(8000, prose(5, 30_000), "en", "a", 0)]
-    docs = edge_docs(spark, rows)
-    weights, least = licenses.train(spark, docs)
-    got = {}
-    for r in licenses.scan(docs, weights, least).collect():
-        got.setdefault(r.doc_id, set()).add(r.family)
-    assert got == {i: families for i, (_, families) in enumerate(WORDINGS)}
-
-
-def test_licence_paragraphs(spark):
-    rows = [(1, "a b\r\n# c d\n\n  \n * e\n * f\n\ng", "en", "a", 0), (2, None, None, None, None), (3, "", "en", "a", 0)]
-    got = sorted((r.id, r.kind, r.paragraph, " ".join(r.w)) for r in licenses.paragraphs(edge_docs(spark, rows)).collect())
-    assert got == [(1, "block", 0, "a b c d"), (1, "block", 1, "e f"), (1, "line", 0, "a b"), (1, "line", 1, "c d"), (1, "line", 4, "e"), (1, "line", 5, "f"), (1, "line", 7, "g")]
-
-
 def test_licence_probabilities_are_the_model(spark):
     """The joined weights give what the sum over a line's grams gives."""
     docs = edge_docs(spark, [(i, f"{t}", "en", "a", 0) for i, t in enumerate([licenses.TEMPLATES["gpl"][0], "the software license of MIT", "public work"])])

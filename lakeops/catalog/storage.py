@@ -597,8 +597,8 @@ def stream_sessions(t: Tables):
 @query("""WITH x AS (SELECT user_id, CAST(value AS DECIMAL(12,2)) AS v, unnest(generate_series(date_trunc('minute', ts) - INTERVAL 14 MINUTE, date_trunc('minute', ts), INTERVAL 1 MINUTE)) AS window_start FROM events)
   SELECT window_start, user_id, CAST(sum(v) AS DOUBLE) AS outflow FROM x GROUP BY 1, 2""")
 def stream_sliding(t: Tables):
-    got = feeds.run_closed(feeds.read_table_stream(t.spark, t.root, "events"), "ts", lambda s: feeds.tumbling(
-        s, "ts", ["user_id"], "15 minutes", {"outflow": F.sum(money("value"))}, slide="1 minute"), "sliding")
+    got = feeds.run_closed(feeds.read_table_stream(t.spark, t.root, "events"), "ts", lambda s: feeds.sliding_sums(
+        s, "ts", ["user_id"], 15 * 60, 60, {"outflow": money("value")}), "sliding")
     return got.select("window_start", "user_id", F.col("outflow").cast("double").alias("outflow"))
 
 

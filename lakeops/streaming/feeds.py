@@ -51,6 +51,35 @@ def tumbling(stream: DataFrame, ts: str, keys: Sequence[str], width: str, aggs:
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *aggs))
 
 
+def sliding_sums(stream: DataFrame, ts: str, keys: Sequence[str], width: int, slide: int, sums: Mapping[str, Column],
+                 late: str = LATE) -> DataFrame:
+    """Sums per key over overlapping windows of ``width`` seconds, one beginning every ``slide`` seconds, as ``tumbling`` gives them.
+
+    The state does not hold a row for each of the ``width / slide`` windows an event is in. It holds the event in two blocks twice as
+    long as a window; a block gives the windows that begin in its first half, when it closes. So a late row counts until its block
+    has closed, up to ``width`` after its window, and a key's events of one block must fit a row.
+    """
+    if width % slide:
+        raise ValueError("the width of a window is no multiple of the slide")
+    n, step = width // slide, slide * 1_000_000
+    kinds = dict(stream.agg(*[F.sum(c).alias(a) for a, c in sums.items()]).dtypes)
+    held = F.struct(F.floor(F.unix_micros(ts) / F.lit(step)).alias("at"), *[c.alias(a) for a, c in sums.items()])
+    blocks = (stream.withWatermark(ts, late).withColumn("_held", held)
+              .groupBy(F.window(ts, f"{2 * width} seconds", f"{width} seconds").alias("w"), *keys).agg(F.collect_list("_held").alias("_all")))
+    first = F.floor(F.unix_micros("w.start") / F.lit(step))
+    inside = lambda i: F.filter("_all", lambda e: (e["at"] >= first + i) & (e["at"] < first + i + n))
+    windows = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct((first + i).alias("at"), inside(i).alias("rows")))
+    each = blocks.select(*keys, F.explode(F.filter(windows, lambda x: F.size(x["rows"]) > 0)).alias("_x"))
+
+    def total(a: str) -> Column:
+        kind = kinds[a]
+        return F.aggregate("_x.rows", F.lit(None).cast(kind), lambda s, e: F.coalesce((s + e[a]).cast(kind), s, e[a].cast(kind))).alias(a)
+
+    start = F.col("_x.at") * step
+    return each.select(F.timestamp_micros(start).alias("window_start"), F.timestamp_micros(start + width * 1_000_000).alias("window_end"),
+                       *keys, *map(total, sums))
+
+
 def without_replays(stream: DataFrame, ids: Sequence[str], ts: str, late: str = LATE) -> DataFrame:
     """Drop repeated ids that arrive within the late window; the first one stays."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(ids))

@@ -52,3 +52,21 @@ def test_upserts_by_batch_equal_the_final_state_and_apply_once(spark, tmp_path):
     versions_before = table.history().count()
     apply(spark.createDataFrame([(9, "z", T0, 1, "u")], SCHEMA), 0)
     assert table.history().count() == versions_before == 3
+
+
+def test_sliding_sums_are_the_windows_of_tumbling(spark, tmp_path):
+    """Also for empty sums, equal times, the bounds of blocks and a second batch; the state holds two rows an event."""
+    minutes = [0, 0, 1, 14, 14.5, 15, 29, 29.99, 30, 44, 700, 701, -3]
+    data = [(i, "ab"[i % 2] if i % 5 else None, m / 60, None if i % 4 == 1 else i + 1, "u") for i, m in enumerate(minutes)]
+    stream = lambda n: feed(spark, tmp_path / n, data[:7], data[7:])
+    want = feeds.run_closed(stream("a"), "ts", lambda s: feeds.tumbling(s, "ts", ["k"], "15 minutes", {"s": F.sum("v")}, slide="1 minute"), "plain")
+    got = feeds.run_closed(stream("b"), "ts", lambda s: feeds.sliding_sums(s, "ts", ["k"], 900, 60, {"s": F.col("v")}), "blocks")
+    assert got.schema.names == want.schema.names and [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+    assert rows(got) == rows(want) and len(rows(got)) > 100
+
+
+def test_sliding_sums_hold_two_rows_an_event(spark, tmp_path):
+    stream = feed(spark, tmp_path, [(i, "a", i, 1, "u") for i in range(20)])
+    built = feeds.sliding_sums(stream, "ts", ["k"], 900, 60, {"s": F.col("v")}, late="9 days")
+    query = feeds._run(built, str(tmp_path / "out"), str(tmp_path / "progress"))
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) == 40

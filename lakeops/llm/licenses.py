@@ -64,31 +64,61 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.select("id", "tkey", "paragraph", words(F.col("line")).alias("w"))
 
 
-def train(spark: SparkSession, docs: DataFrame, sample: int = 2000, clean_rate: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float]:
+#: What the corpus' lines weigh together in the fit, however many there are; a template line weighs 8, one of ``OTHERS`` 1.
+CORPUS_WEIGHT = 1000.0
+BANDS = 16_384
+
+
+def clean_lines(docs: DataFrame, vocabulary: list[str], triples_known: list[str], text_col: str = "text") -> DataFrame:
+    """grams and n: which sets of known grams the lines of all documents hold, and how many lines hold each.
+
+    To a model over known grams, lines of one set are the same row, so counting loses nothing. Lines that share a word triple with a template are
+    left out, since they may state a licence.
+    """
+    listed = sorted({w for g in vocabulary for w in g.split(" ") if w not in STOPWORDS})
+    each = docs.filter(F.col(text_col).isNotNull()).select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).select(words(F.col("line")).alias("w"))
+    some = F.arrays_overlap("w", F.array(*map(F.lit, listed)))
+    kept = each.filter(~some | ~F.arrays_overlap(triples(F.col("w")), F.array(*map(F.lit, triples_known))))
+    held = F.when(some, F.array_sort(F.array_intersect(grams(F.col("w")), F.array(*map(F.lit, vocabulary))))).otherwise(F.array().cast("array<string>"))
+    return kept.select(held.alias("grams")).groupBy("grams").agg(F.count(F.lit(1)).alias("n"))
+
+
+def train(spark: SparkSession, docs: DataFrame, clean_rate: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float]:
     """Weights by gram and family, and the least probability of a family.
 
-    Learned from the templates, from ``OTHERS`` and from at most ``sample`` of the corpus' first lines (of the texts whose hash is
-    lowest) that share no word triple with a template. Half of those lines are kept out of the fit; the least probability is
-    where ``clean_rate`` of them stay unknown, and never below one half.
+    Learned from the templates, from ``OTHERS`` and from every line of the corpus that shares no word triple with a template. Half of
+    the sets of grams (by hash) are kept out of the fit; the least probability is the first multiple of ``1 / BANDS``, one half or above,
+    where ``clean_rate`` of their lines that hold a known gram stay unknown.
     """
     known = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts] + [(UNKNOWN, t) for t in OTHERS], "family string, line string")
-    known = known.select("family", words(F.col("line")).alias("w"), F.lit(False).alias("held"))
-    all_triples = [r.t for r in known.filter(F.col("family") != UNKNOWN).select(F.explode(triples(F.col("w"))).alias("t")).distinct().collect()]
-    lowest = docs.filter(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(text_col)).alias("h"), F.left(F.substring_index(F.col(text_col), "\n", 1), F.lit(2000)).alias("line")).orderBy("h", "line").limit(sample)
-    lines = lowest.select(F.lit(UNKNOWN).alias("family"), words(F.col("line")).alias("w"), (F.pmod("h", F.lit(2)) == 1).alias("held"))
-    lines = lines.filter(~F.arrays_overlap(triples(F.col("w")), F.array(*map(F.lit, all_triples))))
-    rows = materialised(known.union(lines).withColumn("grams", grams(F.col("w"))).withColumn("label", F.array_position(F.array(*map(F.lit, [UNKNOWN, *TEMPLATES])), F.col("family")).cast("double") - 1), "licence-training")
-    counted = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=8192).fit(rows.filter(F.col("family") != UNKNOWN))
-    fit = rows.filter("not held")
-    weight = F.when(F.col("family") == UNKNOWN, F.lit(1.0)).otherwise(F.lit(8.0))
-    model = LogisticRegression(family="multinomial", regParam=0.002, maxIter=80, weightCol="weight").fit(counted.transform(fit).withColumn("weight", weight))
+    known = known.select("family", words(F.col("line")).alias("w")).withColumn("grams", grams(F.col("w")))
+    named = known.filter(F.col("family") != UNKNOWN)
+    all_triples = [r.t for r in named.select(F.explode(triples(F.col("w"))).alias("t")).distinct().collect()]
+    counted = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=8192).fit(named)
+    clean = materialised(clean_lines(docs, counted.vocabulary, all_triples, text_col), "licence-clean")
+    held = (F.size("grams") > 0) & (F.pmod(F.xxhash64("grams"), F.lit(2)) == 1)
+    lines = clean.filter(~held).agg(F.sum("n")).first()[0] or 1
+    rows = known.select("family", "grams", F.when(F.col("family") == UNKNOWN, F.lit(1.0)).otherwise(F.lit(8.0)).alias("weight")).union(
+        clean.filter(~held).select(F.lit(UNKNOWN), "grams", F.col("n") * F.lit(CORPUS_WEIGHT / lines)))
+    label = F.array_position(F.array(*map(F.lit, [UNKNOWN, *TEMPLATES])), F.col("family")).cast("double") - 1
+    fit = rows.withColumn("label", label)
+    model = LogisticRegression(family="multinomial", regParam=0.002, maxIter=80, weightCol="weight").fit(counted.transform(fit))
     matrix, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     table = [(g, [float(x) for x in matrix[:, k]]) for k, g in enumerate(counted.vocabulary)] + [(None, [float(x) for x in bias])]
     weights = materialised(spark.createDataFrame(table, T.StructType([T.StructField("gram", T.StringType()), T.StructField("w", T.ArrayType(T.DoubleType()))])).coalesce(1), "licence-weights")
-    held = rows.filter("held").select(F.monotonically_increasing_id().alias("id"), F.lit(0).cast("long").alias("tkey"), F.lit(0).alias("paragraph"), "w")
-    scored = probabilities(held, weights)
-    least = scored.agg(F.percentile_approx("p", F.lit(clean_rate), F.lit(100_000))).first()[0]
-    return weights, max(0.5, least or 0.0)
+    by = F.floor(F.col("p") * BANDS).alias("band")
+    scored = _scored(clean.filter(held).select("grams", "n", F.explode("grams").alias("gram")), weights, ["grams", "n"])
+    return weights, _least({r.band: r.n for r in scored.groupBy(by).agg(F.sum("n").alias("n")).collect()}, clean_rate)
+
+
+def _least(bands: dict[int, int], clean_rate: float) -> float:
+    """The first band edge, one half or above, with at most ``1 - clean_rate`` of all lines in the bands from it on."""
+    spare, above = (1 - clean_rate) * sum(bands.values()), 0
+    for band in range(BANDS, BANDS // 2 - 1, -1):
+        above += bands.get(band, 0)
+        if above > spare:
+            return (band + 1) / BANDS
+    return 0.5
 
 
 def probabilities(lines: DataFrame, weights: DataFrame) -> DataFrame:
@@ -99,16 +129,21 @@ def probabilities(lines: DataFrame, weights: DataFrame) -> DataFrame:
     """
     table = weights.filter("gram is not null")
     vocabulary = [r.word for r in table.select(F.explode(F.split("gram", " ")).alias("word")).distinct().collect() if r.word not in STOPWORDS]
-    bias = weights.filter("gram is null").first()["w"]
     some = lines.filter(F.arrays_overlap("w", F.array(*map(F.lit, vocabulary))))
-    each = some.select("id", "tkey", "paragraph", F.explode(grams(F.col("w"))).alias("gram")).join(F.broadcast(table), "gram")  # the templates' grams: fixed
+    return _scored(some.select("id", "tkey", "paragraph", F.explode(grams(F.col("w"))).alias("gram")), weights, ["id", "tkey", "paragraph"])
+
+
+def _scored(each: DataFrame, weights: DataFrame, by: list[str]) -> DataFrame:
+    """The likeliest family and its probability for the rows ``by``, given one row for each of their grams."""
+    bias = weights.filter("gram is null").first()["w"]
+    each = each.join(F.broadcast(weights.filter("gram is not null")), "gram")  # the templates' grams: fixed
     classes = [UNKNOWN, *TEMPLATES]
-    sums = each.groupBy("id", "tkey", "paragraph").agg(*[F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(classes))])
+    sums = each.groupBy(*by).agg(*[F.sum(F.col("w")[k]).alias(f"s{k}") for k in range(len(classes))])
     z = F.array(*[F.col(f"s{k}") + F.lit(float(bias[k])) for k in range(len(classes))])
-    scored = sums.select("id", "tkey", "paragraph", z.alias("z")).withColumn("top", F.array_max("z")).withColumn("families", F.slice("z", 2, len(TEMPLATES)))
+    scored = sums.select(*by, z.alias("z")).withColumn("top", F.array_max("z")).withColumn("families", F.slice("z", 2, len(TEMPLATES)))
     total = F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top")))
     family = F.element_at(F.array(*map(F.lit, TEMPLATES)), F.array_position("families", F.array_max("families")).cast("int"))
-    return scored.select("id", "tkey", "paragraph", family.alias("family"), (F.exp(F.array_max("families") - F.col("top")) / total).alias("p"))
+    return scored.select(*by, family.alias("family"), (F.exp(F.array_max("families") - F.col("top")) / total).alias("p"))
 
 
 def scan(docs: DataFrame, weights: DataFrame, least: float, overlap: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -180,3 +180,17 @@ def test_plain_passages_by_brute_force(spark, sf):
         want |= {(r.doc_id, i) for k in range(len(w) - 12) for i in windows.get(tuple(w[k:k + 13]), ())}
     got = {(r.doc_id, r.item_id) for r in queries.op8_template_windows(spark, sf).collect()}
     assert want <= got and len(got) <= len(want) + 3
+
+
+def test_licence_training_counts_every_line(spark):
+    """More than 2,000 texts, and lines after the first, all take part."""
+    rows = [(i, f"first {i}\nthe software of day {i % 3}\nquiet words here", "en", "a", 0) for i in range(2500)]
+    clean = {tuple(r.grams): r.n for r in licenses.clean_lines(edge_docs(spark, rows), ["software", "terms"], ["no such triple"]).collect()}
+    assert clean == {(): 5000, ("software",): 2500}
+
+
+def test_licence_threshold_keeps_the_clean_rate(spark):
+    half = licenses.BANDS // 2
+    assert licenses._least({0: 10}, 0.999) == licenses._least({}, 0.999) == 0.5
+    assert licenses._least({0: 9990, half + 7: 10}, 0.999) == 0.5
+    assert licenses._least({0: 9980, half + 7: 10, half + 9: 10}, 0.999) == (half + 8) / licenses.BANDS

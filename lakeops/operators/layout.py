@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeops.functions.columns import stable_salt
@@ -51,7 +53,7 @@ def compact(spark: SparkSession, path: str, out: str, target_bytes: int, partiti
     """Rewrite small files into files of about ``target_bytes``.
 
     Rows of a partition are spread over as many salts as it needs files, so a partition that holds
-    most of the table is written by many tasks.
+    most of the table is written by many tasks. Files are numbered and each is a task of its own: a task never holds two.
     """
     wanted = _files_wanted(spark, path, target_bytes, partition_cols)
     df = spark.read.parquet(path)
@@ -59,9 +61,11 @@ def compact(spark: SparkSession, path: str, out: str, target_bytes: int, partiti
         df.repartition(wanted.first()["_files"]).write.mode("overwrite").option("compression", "zstd").parquet(out)
         return
     total = wanted.agg(F.sum("_files")).first()[0]
-    salted = df.join(wanted, list(partition_cols), "left").withColumn(
-        "_salt", stable_salt(list(df.columns), F.col("_files")))
-    (salted.repartition(total, *partition_cols, "_salt").drop("_salt", "_files")
+    before = Window.orderBy(*partition_cols).rowsBetween(Window.unboundedPreceding, -1)
+    first = wanted.select(*[F.col(c).alias(f"_p_{c}") for c in partition_cols], "_files", F.coalesce(F.sum("_files").over(before), F.lit(0)).alias("_first"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in partition_cols])
+    number = (F.col("_first") + stable_salt(list(df.columns), F.col("_files"))).cast("int")
+    (df.join(first, same, "left").select(*df.columns, number.alias("_file")).repartitionById(total, "_file").drop("_file")
      .write.mode("overwrite").option("compression", "zstd").partitionBy(*partition_cols).parquet(out))
 
 

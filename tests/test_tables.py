@@ -170,3 +170,25 @@ def test_fixed_width_has_five_implied_decimals(spark, tmp_path):
     got = dialects.read_fixed_width(spark, str(path)).first()
     assert (got.a_number, got.duration_sec, got.charged_units, float(got.charge_amount)) == ("4411", 90, 2, 12.34567)
     assert got.event_ts == dt.datetime(2024, 1, 1, 10)
+
+
+def test_compaction_gives_every_file_a_task_of_its_own(spark, tmp_path):
+    """NULL partitions too; tasks that held two files grew with the table's largest partitions."""
+    src, out = str(tmp_path / "in"), tmp_path / "out"
+    spark.range(20_000).select("id", F.when(F.col("id") % 9 > 0, F.col("id") % 9).alias("p")).repartition(3).write.partitionBy("p").parquet(src)
+    target = 4_000
+    wanted = sum(r["_files"] for r in layout._files_wanted(spark, src, target, ["p"]).collect())
+    layout.compact(spark, src, str(out), target, ["p"])
+    files = [f.name for f in out.rglob("part-*.parquet")]
+    assert len(files) == len({f[:10] for f in files}) == wanted > 9
+    assert rows(spark.read.parquet(str(out)).select("id", "p")) == rows(spark.read.parquet(src).select("id", "p"))
+
+
+def test_model_sets_are_written_from_one_wide_table(spark, tmp_path, monkeypatch):
+    from lakeops.operators import features
+    made = []
+    monkeypatch.setattr(features, "materialised", lambda df, label: made.append(label) or materialised(df, label))
+    wide = spark.range(50).select("id", (F.col("id") % 2).alias("y"), (F.col("id") > 4).alias("known"), F.lit(None).cast("int").alias("x"), F.lit("unused").alias("z"))
+    paths = features.write_model_sets(wide, "id", "y", "known", ["x"], str(tmp_path))
+    n = {name: spark.read.schema("a double, x double").csv(p).count() for name, p in paths.items()}
+    assert made == ["wide"] and n["inference"] == 50 and n["train"] + n["validation"] == 45

@@ -77,12 +77,13 @@ def stable_salt(keys: list[str | Column], buckets: int | Column) -> Column:
     return F.pmod(F.xxhash64(*[_col(k) for k in keys], F.spark_partition_id()), n).cast("int")
 
 
-def count_upto(ascending: str | Column, x: Column, inclusive: bool = True, steps: int = 31) -> Column:
+def count_upto(ascending: str | Column, x: Column, inclusive: bool = True, steps: int | None = None) -> Column:
     """How many elements of a sorted array are at most ``x`` (below it, when not ``inclusive``), by binary search.
 
-    ``steps`` halvings serve arrays of up to ``2 ** steps - 1`` elements.
+    ``steps`` halvings serve arrays of up to ``2 ** steps - 1`` elements; without it an array is halved as often as its own size needs.
     """
     values = _col(ascending)
+    halvings = F.length(F.bin(F.size(values))) if steps is None else F.lit(steps)
 
     def halve(at: Column, _: Column) -> Column:
         middle = F.shiftright(at["low"] + at["high"], 1).cast("int")
@@ -92,4 +93,4 @@ def count_upto(ascending: str | Column, x: Column, inclusive: bool = True, steps
                         F.when(going & ~passed, middle).otherwise(at["high"]).alias("high"))
 
     start = F.struct(F.lit(0).alias("low"), F.size(values).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda at: at["low"])
+    return F.aggregate(F.sequence(F.lit(1), halvings), start, halve, lambda at: at["low"])

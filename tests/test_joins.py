@@ -159,3 +159,12 @@ def test_copies_of_one_row_spread(spark):
     copies = spark.range(0, 400, 1, 16).select(F.lit(1).alias("k"))
     from lakeops.functions.columns import stable_salt
     assert copies.select(stable_salt(["k"], 8).alias("s")).distinct().count() > 3
+
+
+def test_a_search_halves_an_array_as_often_as_its_size_needs(spark):
+    from lakeops.functions.columns import count_upto
+    df = spark.createDataFrame([(list(range(n)), x) for n in (0, 1, 2, 3, 7, 8, 9, 40) for x in (-1, 0, 1, 6, 8, 39, 50)] + [(None, 1)], "a array<int>, x int")
+    got = df.select("a", "x", count_upto("a", F.col("x")).alias("le"), count_upto("a", F.col("x"), inclusive=False).alias("lt"))
+    for r in got.where("a is not null").collect():
+        assert (r.le, r.lt) == (sum(v <= r.x for v in r.a), sum(v < r.x for v in r.a))
+    assert "sequence(1, 31" not in plan_text(got) and "[1,2,3,4,5,6,7,8,9,10,11,12," not in plan_text(got).replace(" ", "")

@@ -42,6 +42,12 @@ def _matched(t: Tables) -> DataFrame:
                            "duration", 60, sliced.value_slice("duration", 600))
 
 
+def _daily(t: Tables) -> DataFrame:
+    """Variance by partner and day, written once: its aggregate and that of the months need not share a task's memory."""
+    daily = recon.variance_report(_matched(t).withColumn("day", F.to_date("call_minute")), ["partner", "day"], "duration", "charge")
+    return materialised(daily, "daily-variance")
+
+
 def _doubles(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
@@ -72,8 +78,7 @@ def leakage(t: Tables):
   round(matched_legs / CAST(total_legs AS DOUBLE), 5) AS match_rate, CASE WHEN nv > 0 THEN 'PARTNER_OWES_US' WHEN nv < 0 THEN 'WE_OWE_PARTNER' ELSE 'BALANCED' END AS settlement_direction,
   days_included = day(last_day(statement_month)) AS month_is_whole FROM s""")
 def monthly_statement(t: Tables):
-    daily = recon.variance_report(_matched(t).withColumn("day", F.to_date("call_minute")), ["partner", "day"], "duration", "charge")
-    got = recon.monthly_statement(daily, "partner", "day").drop("our_minutes", "their_minutes", "missing_ours", "missing_theirs")
+    got = recon.monthly_statement(_daily(t), "partner", "day").drop("our_minutes", "their_minutes", "missing_ours", "missing_theirs")
     return _doubles(got, "we_billed", "they_billed", "net_variance")
 
 
@@ -93,8 +98,7 @@ def _digest(*cols: str) -> str:
   UNION ALL SELECT NULL, statement_month, 'REFUSED', days_present, NULL, NULL, NULL, NULL, NULL, NULL, NULL, source_digest FROM q WHERE days_present < day(last_day(statement_month))""")
 def settlement_statements(t: Tables):
     """Monthly statements with digests of themselves and of their source; incomplete months are refused."""
-    daily = recon.variance_report(_matched(t).withColumn("day", F.to_date("call_minute")), ["partner", "day"], "duration", "charge")
-    got = recon.settlement(materialised(daily, "daily-variance"), "partner", "day")
+    got = recon.settlement(_daily(t), "partner", "day")
     return _doubles(got, "we_billed", "they_billed", "net_variance")
 
 

@@ -49,8 +49,10 @@ def reconcile(ours: DataFrame, theirs: DataFrame, keys: Sequence[str], order: Se
     A key may occur several times on both sides; its rows are numbered by ``order`` and the number
     joins the key, so nothing multiplies and a hot key spreads over its numbers.
     """
-    both = (_numbered(ours, keys, order, slice_by, "our")
-            .join(_numbered(theirs, keys, order, slice_by, "their"), [*keys, "pair_no"], "full"))
+    on = [*keys, "pair_no"]
+    rows = ours.count() + theirs.count()
+    left, right = (sliced.dealt(_numbered(df, keys, order, slice_by, side), on, rows) for df, side in ((ours, "our"), (theirs, "their")))
+    both = left.join(right, on, "full")
     diff = F.abs(F.col(f"our_{measure}") - F.col(f"their_{measure}"))
     status = (F.when(F.col("_our").isNull(), "MISSING_ON_OUR_SIDE")
               .when(F.col("_their").isNull(), "MISSING_ON_THEIR_SIDE")

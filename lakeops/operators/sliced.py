@@ -7,6 +7,8 @@ every slice to one summary row, carries the summaries along the key, and joins t
 are shuffled once, on ``(key, slice)``; what is ordered per key is only the summaries, whose
 number is bounded by the length of the axis.
 
+Neighbours and ranks count first: where no key holds more than a thousandth of the rows, keys stay whole.
+
 As in SQL windows, rows whose key is NULL are one group: keys are compared as one struct, in which NULLs are equal.
 """
 
@@ -25,6 +27,8 @@ from lakeops.session import materialised
 SLICE, KEY = "_slice", "_key"
 DAY = 86_400
 _BEFORE_ALL = -(1 << 60)
+SMALL_KEYS = 1000  # the fewest times that the largest key goes into all rows where keys stay whole
+TASK_ROWS = 250_000
 
 
 def time_slice(ts: str | Column, seconds: int = DAY) -> Column:
@@ -46,6 +50,20 @@ def _cut(df: DataFrame, keys: Sequence[str], slice_by: Column) -> tuple[DataFram
     return (sliced.withColumn(KEY, F.struct(*keys)), [KEY]) if keys else (sliced, [])
 
 
+def dealt(df: DataFrame, keys: Sequence[str | Column], rows: int) -> DataFrame:
+    """``rows`` rows by key, over more tasks than the session's shuffles have when those would get over ``TASK_ROWS`` each."""
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def _whole(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The rows, to be put in order key by key; None if a key holds so many that it has to be cut."""
+    if not keys:
+        return None
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("most"), F.sum("_n").alias("rows")).first()
+    return dealt(df, keys, n["rows"]) if n["rows"] and n["most"] * SMALL_KEYS <= n["rows"] else None
+
+
 def _along(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy(SLICE)
 
@@ -59,6 +77,11 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_b
                following: Mapping[str, str] | None = None) -> DataFrame:
     """``lag`` / ``lead`` by one row: ``prev={"prev_price": "price"}`` adds the previous row's price."""
     prev, following = dict(prev or {}), dict(following or {})
+    whole = _whole(df, keys)
+    if whole is not None:
+        beside = Window.partitionBy(*keys).orderBy(*order)
+        near = [F.lag(F.col(c)).over(beside).alias(a) for a, c in prev.items()] + [F.lead(F.col(c)).over(beside).alias(a) for a, c in following.items()]
+        return whole.select(*[F.col(c) for c in df.columns if c not in (*prev, *following)], *near)
     sliced, keys = _cut(df, keys, slice_by)
     at = F.struct(*order)
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
@@ -126,6 +149,12 @@ def ranks(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], sli
           size: str | None = None) -> DataFrame:
     """Ranking columns and the group size.  ``slice_by`` must rise along ``order``; equal order
     values share a slice by construction, so ties rank as in a plain window."""
+    asked = {row_number: F.row_number(), rank: F.rank(), dense_rank: F.dense_rank()}
+    uncut = _whole(df, keys)
+    if uncut is not None:
+        ordered, every = Window.partitionBy(*keys).orderBy(*order), Window.partitionBy(*keys)
+        out = [c.over(ordered).cast("long").alias(name) for name, c in asked.items() if name]
+        return uncut.select("*", *out, *([F.count(F.lit(1)).over(every).alias(size)] if size else []))
     sliced, keys = _cut(df, keys, slice_by)
     inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
     before = _along(keys).rowsBetween(Window.unboundedPreceding, -1)

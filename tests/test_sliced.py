@@ -141,3 +141,23 @@ def test_tied_ranks_equal_windows_and_spread_a_hot_key(spark):
     assert sliced.tied_ranks(df.limit(0), ["k"], ["v"], ["t"], row_number="rn", rank="rk", dense_rank="dr", size="n").count() == 0
     many = sliced.running(sliced.cut(df, ["k"], ["v", "t"], 16), ["k"], ["v", "t"], F.col("_cut"), {"c": ("count", F.lit(1))})
     assert rows(many.select("k", "v", "t", "c")) == rows(want.select("k", "v", "t", F.col("rn").alias("c")))
+
+
+def test_small_keys_stay_whole_and_give_the_same(spark, monkeypatch):
+    """Neighbours and ranks with keys that stay whole equal those with keys that are cut, NULL keys and ties included."""
+    data = [(None if i % 41 == 0 else i % 40, i * 7 % 13, i) for i in range(400)]
+    df = spark.createDataFrame(data, "k int, x int, id int")
+
+    def both():
+        near = sliced.neighbours(df, ["k"], ["x", "id"], sliced.value_slice("x", 4), prev={"was": "id"}, following={"next": "id"})
+        ranked = sliced.ranks(df, ["k"], ["x"], sliced.value_slice("x", 4), rank="r", dense_rank="d", size="n")
+        numbered = sliced.ranks(df, ["k"], ["x", "id"], sliced.value_slice("x", 4), row_number="no")
+        return [(x.schema, sorted(map(tuple, x.collect()), key=str)) for x in (near, ranked, numbered)]
+
+    cut = both()
+    monkeypatch.setattr(sliced, "SMALL_KEYS", 10)
+    monkeypatch.setattr(sliced, "TASK_ROWS", 20)  # 20 tasks, more than the session's 8
+    whole = both()
+    assert [w[1] for w in whole] == [c[1] for c in cut]
+    assert [[f.dataType for f in w[0]] for w in whole] == [[f.dataType for f in c[0]] for c in cut]
+    assert sliced._whole(df, ["k"]).rdd.getNumPartitions() == 20 and sliced._whole(df.withColumn("k", F.lit(1)), ["k"]) is None

@@ -134,3 +134,13 @@ def test_lookback_is_half_open_on_dates_and_timestamps(spark):
     assert days == [4, 10]
     dates = df.select(F.to_date("ts").alias("ts"))
     assert [r.ts.day for r in features.lookback(dates, "ts", "2024-01-10", days=7).orderBy("ts").collect()] == [4, 10]
+
+
+def test_unordered_digest_sums_sixty_bits_exactly(spark):
+    import hashlib
+    df = spark.createDataFrame([(i % 900, str(i)) for i in range(1000)] + [(None, None)], "a int, b string")
+    texts = [f"{i % 900}|{i}" for i in range(1000)] + ["<null>|<null>"]
+    got = df.agg(quality.unordered_digest(["a", "b"]).alias("d"))
+    assert got.first().d == str(sum(int(hashlib.sha256(t.encode()).hexdigest()[:15], 16) for t in texts))
+    assert df.limit(0).agg(quality.unordered_digest(["a"])).first()[0] is None
+    assert "sum(cast(conv" not in got._jdf.queryExecution().toString().lower()

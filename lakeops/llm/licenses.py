@@ -76,7 +76,8 @@ def clean_lines(docs: DataFrame, vocabulary: list[str], triples_known: list[str]
     left out, since they may state a licence.
     """
     listed = sorted({w for g in vocabulary for w in g.split(" ") if w not in STOPWORDS})
-    each = docs.filter(F.col(text_col).isNotNull()).select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).select(words(F.col("line")).alias("w"))
+    each = docs.filter(F.col(text_col).isNotNull()).select(F.explode(F.split(F.col(text_col), "\n")).alias("line"))
+    each = each.select(F.explode(F.array(words(F.col("line")))).alias("w"))  # generated, so that no expression below splits a line again
     some = F.arrays_overlap("w", F.array(*map(F.lit, listed)))
     kept = each.filter(~some | ~F.arrays_overlap(triples(F.col("w")), F.array(*map(F.lit, triples_known))))
     held = F.when(some, F.array_sort(F.array_intersect(grams(F.col("w")), F.array(*map(F.lit, vocabulary))))).otherwise(F.array().cast("array<string>"))
